@@ -190,10 +190,10 @@ def order_history(orders: DataFrame, order_items: DataFrame, limit: int = 20) ->
         .withColumn("position", F.row_number().over(newest))
         .filter(F.col("position") <= limit)
     )
-    lines = order_items.select("order_id", "product_id", "variant_id", "quantity", "unit_price")
-    return recent.join(lines, F.col("id") == F.col("order_id"), "left").select(
+    lines = order_items.select(F.col("order_id").alias("_order_id"), "product_id", "variant_id", "quantity", "unit_price")
+    return recent.join(lines, F.col("id") == F.col("_order_id"), "left").select(
         "customer_id",
-        F.col("id").alias("order_number_id"),
+        F.col("id").alias("order_id"),
         F.col("position").cast("long").alias("position"),
         F.to_date("placed_at").alias("placed_on"),
         "status",

@@ -96,15 +96,15 @@ ENTITIES: dict[str, str] = {
         SELECT i.variant_id, 'MAIN', -i.quantity, 'sale', i.order_id, o.placed_at
         FROM e_order_items i JOIN e_orders o ON o.id = i.order_id""",
     "shop_events": """
-        SELECT event_id AS id, user_id, event_type, CAST(ts AS TIMESTAMP) - to_days(8218) AS occurred_at,
+        SELECT event_id AS id, user_id,
+               CASE event_type WHEN 'click' THEN 'add_to_cart' WHEN 'error' THEN 'remove_from_cart'
+                    WHEN 'signup' THEN 'wishlist' ELSE event_type END AS event_type, CAST(ts AS TIMESTAMP) - to_days(8218) AS occurred_at,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
                CASE WHEN event_id % 5 >= 2 THEN user_id END AS customer_id,
                user_id || '-' || CAST(CAST(ts AS TIMESTAMP) - to_days(8218) AS DATE) AS session_id
         FROM events""",
     "product_events": """
-        SELECT id, session_id, customer_id, product_id,
-               CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'add_to_cart'
-                    WHEN 'error' THEN 'remove_from_cart' ELSE 'wishlist' END AS event_type, occurred_at
+        SELECT id, session_id, customer_id, product_id, event_type, occurred_at
         FROM e_shop_events WHERE event_type <> 'purchase'""",
     "page_views": f"""
         SELECT id, session_id, customer_id, {_DEV}[user_id % 3 + 1] AS device_type, occurred_at
@@ -115,7 +115,7 @@ ENTITIES: dict[str, str] = {
                CASE WHEN status = 'converted' THEN occurred_at + to_minutes(5 + id % 50) END AS converted_at
         FROM (SELECT *, CASE WHEN id % 10 < 3 THEN 'abandoned' WHEN id % 10 < 9 THEN 'converted'
                              ELSE 'active' END AS status
-              FROM e_shop_events WHERE event_type = 'click')""",
+              FROM e_shop_events WHERE event_type = 'add_to_cart')""",
     "cart_items": """
         SELECT l.cart_id, l.product_id,
                CASE WHEN l.cart_id % 3 > 0 THEN l.product_id * 4 + l.cart_id % 4 END AS variant_id,
@@ -123,7 +123,7 @@ ENTITIES: dict[str, str] = {
         FROM (SELECT id AS cart_id, 1 + id % 3 AS quantity,
                      unnest(CASE WHEN id % 2 = 0 THEN [product_id, (product_id + 7) % 100]
                                  ELSE [product_id] END) AS product_id
-              FROM e_shop_events WHERE event_type = 'click') l
+              FROM e_shop_events WHERE event_type = 'add_to_cart') l
         JOIN e_products p ON p.id = l.product_id""",
     "promotions": """
         SELECT * FROM (VALUES (1, 'WELCOME10', 'percent', CAST(10.00 AS DECIMAL(12,2))),

@@ -134,19 +134,24 @@ def metric_query(
 ) -> DataFrame:
     """Measures by dimensions. `dates` is inclusive; `granularity` adds the truncated time dimension."""
     labels = _labels([*measures, *dimensions])
-    dims = {labels[d]: (_split(d)[0], model[_split(d)[0]].dimensions[_split(d)[1]]) for d in dimensions}
-    group = list(dims)
+    # Wanted columns travel under names of their own, so they never meet a table's own column.
+    dims = {
+        f"_dim_{labels[d]}": (_split(d)[0], model[_split(d)[0]].dimensions[_split(d)[1]]) for d in dimensions
+    }
+    keep: list[str] = []
     if time_dimension:
         cube, name = _split(time_dimension)
         at = model[cube].dimensions[name]
         if granularity:
-            dims[granularity] = (cube, F.date_trunc(granularity, at).cast("date"))
-            group.append(granularity)
+            dims[f"_dim_{granularity}"] = (cube, F.date_trunc(granularity, at).cast("date"))
         if dates:
             dims["_in_range"] = (cube, F.to_date(at).between(date_lit(dates[0]), date_lit(dates[1])))
+            keep.append("_in_range")
     for i, s in enumerate(segments):
         cube, name = _split(s)
         dims[f"_segment_{i}"] = (cube, model[cube].segments[name])
+        keep.append(f"_segment_{i}")
+    group = [d for d in dims if d not in keep]
 
     by_owner: dict[str, list[str]] = {}
     for m in measures:
@@ -155,7 +160,7 @@ def metric_query(
     parts: list[DataFrame] = []
     for owner, owned in by_owner.items():
         frame, fans_out = _with_dimensions(model, owner, dims)
-        for column in [c for c in dims if c.startswith("_")]:
+        for column in keep:
             frame = frame.filter(F.col(column))
         if fans_out:
             pairs = frame.select(F.col(model[owner].key).alias("_owner"), *group).distinct()
@@ -177,7 +182,9 @@ def metric_query(
             result = merged
         else:
             result = result.withColumns({c: other.select(c).scalar() for c in other.columns})
-    result = result.select(*group, *[labels[m] for m in measures])
+    result = result.select(
+        *[F.col(g).alias(g.removeprefix("_dim_")) for g in group], *[labels[m] for m in measures]
+    )
     if order:
         keys = [F.desc(labels.get(m, m)) if way == "desc" else F.asc(labels.get(m, m)) for m, way in order]
         result = result.orderBy(*keys)

@@ -209,9 +209,12 @@ class Shop:
         )
         return initial.unionByName(sales)
 
-    def _shop_events(self) -> DataFrame:
+    def shop_events(self) -> DataFrame:
+        """All events in shop terms, purchases included."""
         return self.table("events").selectExpr(
-            "event_id as id", "user_id", "event_type",
+            "event_id as id", "user_id",
+            """case event_type when 'click' then 'add_to_cart' when 'error' then 'remove_from_cart'
+                 when 'signup' then 'wishlist' else event_type end as event_type""",
             f"timestampadd(DAY, -{EVENT_SHIFT_DAYS}, ts) as occurred_at",
             "cast(get_json_object(props, '$.k') as bigint) as product_id",
             "case when event_id % 5 >= 2 then user_id end as customer_id",
@@ -219,22 +222,19 @@ class Shop:
         )
 
     def product_events(self) -> DataFrame:
-        return self._shop_events().filter("event_type <> 'purchase'").selectExpr(
-            "id", "session_id", "customer_id", "product_id",
-            """case event_type when 'view' then 'view' when 'click' then 'add_to_cart'
-                 when 'error' then 'remove_from_cart' else 'wishlist' end as event_type""",
-            "occurred_at",
+        return self.shop_events().filter("event_type <> 'purchase'").selectExpr(
+            "id", "session_id", "customer_id", "product_id", "event_type", "occurred_at"
         )
 
     def page_views(self) -> DataFrame:
-        return self._shop_events().filter("event_type = 'view'").selectExpr(
+        return self.shop_events().filter("event_type = 'view'").selectExpr(
             "id", "session_id", "customer_id", "concat('/product/', product_id) as path",
             "cast(null as string) as referrer", f"{_pick('user_id % 3', DEVICES)} as device_type",
             "occurred_at",
         )
 
     def carts(self) -> DataFrame:
-        clicks = self._shop_events().filter("event_type = 'click'").selectExpr(
+        clicks = self.shop_events().filter("event_type = 'add_to_cart'").selectExpr(
             "*",
             "case when id % 10 < 3 then 'abandoned' when id % 10 < 9 then 'converted' else 'active' end as status",
         )
@@ -248,8 +248,8 @@ class Shop:
 
     def cart_items(self) -> DataFrame:
         lines = (
-            self._shop_events()
-            .filter("event_type = 'click'")
+            self.shop_events()
+            .filter("event_type = 'add_to_cart'")
             .selectExpr(
                 "id as cart_id", "1 + id % 3 as quantity",
                 """explode(case when id % 2 = 0 then array(product_id, (product_id + 7) % 100)
