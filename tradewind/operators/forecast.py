@@ -84,7 +84,7 @@ def fit_predict(
     origin, span = int(train_days.min()), int(train_days.max() - train_days.min())
     x = _design(train_days, origin, span, yearly)
     penalty = np.full(x.shape[1], RIDGE)
-    penalty[0] = 0.0
+    penalty[:2] = 0.0  # level and trend are not shrunk
     beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
     spread = float(np.std(y - x @ beta))
     return _design(ask_days, origin, span, yearly) @ beta, spread

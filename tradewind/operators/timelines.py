@@ -27,7 +27,7 @@ def stock_running(moves: DataFrame) -> DataFrame:
 
 
 def sessionize(events: DataFrame, gap: timedelta = timedelta(hours=24), user: str = "user_id") -> DataFrame:
-    """Sessions per user, closed after `gap` without an event; `abandoned` if nothing was bought.
+    """Sessions per user: a longer pause than `gap` starts a new one; `abandoned` if nothing was bought.
 
     Events of one user within a bucket no wider than the gap always share a session, so they
     collapse to first, last and count before the per-user step.
@@ -47,7 +47,7 @@ def sessionize(events: DataFrame, gap: timedelta = timedelta(hours=24), user: st
     idle_us = F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(
         F.lag("last").over(along).cast("timestamp")
     )
-    starts = F.coalesce((idle_us >= int(gap.total_seconds()) * 1_000_000).cast("int"), F.lit(1))
+    starts = F.coalesce((idle_us > int(gap.total_seconds()) * 1_000_000).cast("int"), F.lit(1))
     sessions = (
         buckets.withColumn("starts", starts)
         .withColumn("session", F.sum("starts").over(along))

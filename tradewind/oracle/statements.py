@@ -754,7 +754,7 @@ _RAW["events_hourly"] = f"""
 SELECT date_trunc('hour', occurred_at) AS hour, event_type, {_b('count(*)')} AS n FROM e_product_events GROUP BY 1, 2"""
 
 _RAW["sessionize"] = f"""
-WITH g AS (SELECT *, CASE WHEN occurred_at - lag(occurred_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s
+WITH g AS (SELECT *, CASE WHEN occurred_at - lag(occurred_at) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s
            FROM e_shop_events WINDOW w AS (PARTITION BY user_id ORDER BY occurred_at, id)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY occurred_at, id) AS session FROM g)
 SELECT user_id, min(occurred_at) AS session_start, max(occurred_at) AS session_end, {_b('count(*)')} AS n_events,

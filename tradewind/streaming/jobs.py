@@ -76,11 +76,15 @@ def dedupe_stream(stream: DataFrame, key: str = "id", time: str = "occurred_at",
 
 
 def event_counts(
-    stream: DataFrame, width: str = "1 hour", slide: str | None = None, time: str = "occurred_at", delay: str = DELAY
+    stream: DataFrame,
+    width: str = "1 hour",
+    slide: str | None = None,
+    time: str = "occurred_at",
+    delay: str | None = DELAY,
 ) -> DataFrame:
-    """Counts per window and event type."""
+    """Counts per window and event type. After `dedupe_stream`, which sets the watermark, pass delay=None."""
     return (
-        stream.withWatermark(time, delay)
+        (stream.withWatermark(time, delay) if delay else stream)
         .groupBy(F.window(time, width, slide), "event_type")
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
