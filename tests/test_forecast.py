@@ -91,9 +91,9 @@ def test_errors_skip_zero_days(spark):
 
 
 def test_history_and_total(spark):
-    lines = frame(spark, "product_id bigint, order_date date, placed_at timestamp_ntz, line_revenue decimal(12|2)",
-                  [(1, "2024-01-02", "2024-01-02 00:00:00", "5.00"), (2, "2024-01-02", "2024-01-02 09:00:00", "6.00"),
-                   (3, "2024-01-02", "2024-01-02 09:00:00", "7.00"), (1, "2023-12-01", "2023-12-01 00:00:00", "8.00")])
+    lines = frame(spark, "product_id bigint, order_date date, placed_at timestamp_ntz, revenue_cents bigint",
+                  [(1, "2024-01-02", "2024-01-02 00:00:00", 500), (2, "2024-01-02", "2024-01-02 09:00:00", 600),
+                   (3, "2024-01-02", "2024-01-02 09:00:00", 700), (1, "2023-12-01", "2023-12-01 00:00:00", 800)])
     dim = frame(spark, "product_id bigint, category_name string", [(1, "a"), (2, "b"), (3, None)])
     history = fc.forecast_history(lines, dim, datetime(2024, 1, 3), history_days=1)
     got = {(r.category_name, r.date): float(r.revenue) for r in fc.forecast_series(history).collect()}
@@ -121,8 +121,8 @@ def test_alert_needs_two_runs_over_target(spark):
 def test_cover_counts_whole_days(spark):
     f = frame(spark, "category_name string, forecast_date date, yhat double",
               [("a", f"2024-01-{d:02d}", 10) for d in range(1, 6)])
-    lines = frame(spark, "product_id bigint, order_date date, quantity bigint, line_revenue decimal(12|2)",
-                  [(1, "2023-12-30", 5, "50.00"), (2, "2023-12-30", 5, "50.00")])
+    lines = frame(spark, "product_id bigint, order_date date, quantity bigint, revenue_cents bigint",
+                  [(1, "2023-12-30", 5, 5000), (2, "2023-12-30", 5, 5000)])
     dim = frame(spark, "product_id bigint, sku string, category_name string", [(1, "A", "a"), (2, "B", "a")])
     stock = frame(spark, "product_id bigint, on_hand bigint", [(1, 1), (2, 100)])
     got = {r.sku: (r.days_of_cover, r.lasts_horizon) for r in fc.forecast_cover(f, lines, dim, stock, date(2023, 12, 31)).collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import ratio
+from tradewind.session import run_path
 
 SMALL_BASKET = 64
 SALTS = 32
@@ -54,30 +55,41 @@ def _looked_up(pairs: DataFrame, large: DataFrame, rare: DataFrame) -> DataFrame
     )
 
 
-def mart_product_affinity(
-    fct_items: DataFrame, min_orders: int = 2, small_basket: int = SMALL_BASKET, salts: int = SALTS
-) -> DataFrame:
-    """Pairs found together in at least `min_orders` baskets."""
-    baskets = fct_items.select("order_id", "product_id").distinct()
-    support = baskets.groupBy("product_id").agg(F.count("*").alias("n_orders"))
-    often = support.filter(F.col("n_orders") >= min_orders)
-    # A pair is never more frequent than its rarer item.
-    kept = baskets.join(often.select("product_id"), "product_id", "left_semi")
+def _counted(kept: DataFrame, min_orders: int, small_basket: int, salts: int) -> DataFrame:
+    """(a, b) → baskets with both, over all baskets."""
     sizes = kept.groupBy("order_id").agg(F.count("*").alias("size"))
     large_ids = sizes.filter(F.col("size") > small_basket).select("order_id")
-    small_ids = sizes.filter((F.col("size") > 1) & (F.col("size") <= small_basket)).select("order_id")
-    small = kept.join(small_ids, "order_id", "left_semi")
+    if large_ids.isEmpty():
+        return _pairs(kept)
+    known = _pairs(kept.join(large_ids, "order_id", "left_anti"))
     large = kept.join(large_ids, "order_id", "left_semi")
-
-    known = _pairs(small)
     in_large = large.groupBy("product_id").agg(F.count("*").alias("n_large"))
     shared_items = in_large.filter(F.col("n_large") >= min_orders).select("product_id")
     rare_items = in_large.filter(F.col("n_large") < min_orders).select("product_id")
     shared = large.join(shared_items, "product_id", "left_semi")
     rare = large.join(rare_items, "product_id", "left_semi")
+    parts = known.unionByName(_pairs(shared, salts)).unionByName(_looked_up(known, large, rare))
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
 
-    counted = known.unionByName(_pairs(shared, salts)).unionByName(_looked_up(known, large, rare))
-    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_orders)
+def mart_product_affinity(
+    fct_items: DataFrame, min_orders: int = 2, small_basket: int = SMALL_BASKET, salts: int = SALTS
+) -> DataFrame:
+    """Pairs found together in at least `min_orders` baskets.
+
+    The distinct baskets are used several times, so they are written to the shared folder first.
+    """
+    spark = fct_items.sparkSession
+    path = run_path(spark, "baskets")
+    distinct = fct_items.select("order_id", "product_id").distinct()
+    distinct.write.parquet(path)
+    baskets = spark.read.schema(distinct.schema).parquet(path)
+
+    support = baskets.groupBy("product_id").agg(F.count("*").alias("n_orders"))
+    # A pair is never more frequent than its rarer item.
+    often = support.filter(F.col("n_orders") >= min_orders).select("product_id")
+    kept = baskets.join(often, "product_id", "left_semi")
+    pairs = _counted(kept, min_orders, small_basket, salts).filter(F.col("n") >= min_orders)
 
     total = baskets.agg(F.countDistinct("order_id")).scalar()
     na = support.select(F.col("product_id").alias("a"), F.col("n_orders").alias("n_a"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.functions.money import cents, sum_cents, sum_money
 from tradewind.schemas import (
     CART_STATUSES,
     EVENT_TYPES,
@@ -45,7 +46,7 @@ def order_pricing(
         wanted.join(p, "product_id", "left")
         .groupBy("order_id")
         .agg(
-            F.sum(F.col("price") * F.col("quantity")).cast(AMOUNT).alias("subtotal"),
+            sum_cents(cents("price") * F.col("quantity")).cast(AMOUNT).alias("subtotal"),
             F.count_if(~purchasable).alias("rejected"),
         )
         .filter("rejected = 0")
@@ -107,7 +108,7 @@ def order_rejects(
 def cart_totals(carts: DataFrame, cart_items: DataFrame) -> DataFrame:
     """Totals before any promotion; an empty cart still shows the flat shipping rate."""
     per_cart = cart_items.groupBy("cart_id").agg(
-        F.sum("quantity").alias("item_count"), F.sum(F.col("unit_price") * F.col("quantity")).alias("s")
+        F.sum("quantity").alias("item_count"), sum_cents(cents("unit_price") * F.col("quantity")).alias("s")
     )
     subtotal = F.coalesce("s", F.lit(0)).cast(AMOUNT)
     return (
@@ -208,9 +209,9 @@ def order_history(orders: DataFrame, order_items: DataFrame, limit: int = 20) ->
 def order_audit(orders: DataFrame, order_items: DataFrame, payments: DataFrame) -> DataFrame:
     """Orders whose stored subtotal or payment differs from what the lines and totals say."""
     recomputed = order_items.groupBy("order_id").agg(
-        F.sum(F.col("quantity") * F.col("unit_price")).cast(AMOUNT).alias("s")
+        sum_cents(F.col("quantity") * cents("unit_price")).cast(AMOUNT).alias("s")
     )
-    paid = payments.groupBy("order_id").agg(F.sum("amount").alias("paid"))
+    paid = payments.groupBy("order_id").agg(sum_money("amount").alias("paid"))
     o = orders.select(F.col("id").alias("order_id"), F.col("subtotal").alias("stored"), "grand_total")
     amount = F.coalesce("s", F.lit(0)).cast(AMOUNT)
     return (

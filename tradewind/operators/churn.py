@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import date_lit, dbl, sum_if
+from tradewind.functions.money import cents, money
 from tradewind.plans.marts import recognized_orders
 
 CHURN_DAYS = 90
@@ -28,7 +29,7 @@ def rfm(fct_orders: DataFrame, cut: date) -> DataFrame:
         .agg(
             F.datediff(date_lit(cut), last).cast("long").alias("recency_days"),
             F.count_if(before).alias("frequency"),
-            sum_if(before, "grand_total").alias("monetary"),
+            money(sum_if(before, cents("grand_total"))).alias("monetary"),
             F.count_if(~before).alias("later_orders"),
         )
         .filter("frequency > 0 and customer_id is not null")

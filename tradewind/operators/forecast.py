@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import dbl, in_date_window, ratio, ts_lit
+from tradewind.functions.money import cents, money, sum_cents
+from tradewind.functions.sizing import sums_by_attribute
 from tradewind.schemas import (
     MAPE_TARGET_CATEGORY,
     MAPE_TARGET_TOTAL,
@@ -43,20 +45,19 @@ def forecast_history(
 ) -> DataFrame:
     """Category × day line revenue of the last `history_days`; products without a category drop out."""
     recent = fct_items.filter(F.col("placed_at") >= ts_lit(as_of - timedelta(days=history_days)))
-    per_product = recent.groupBy("product_id", "order_date").agg(F.sum("line_revenue").alias("revenue"))
-    p = dim_product.filter("category_name is not null").select("product_id", "category_name")
-    return (
-        per_product.join(p, "product_id")
-        .groupBy(F.col("order_date").alias("date"), "category_name")
-        .agg(F.sum("revenue").alias("revenue"))
-    )
+    named = dim_product.filter("category_name is not null")
+    sums = {"revenue": F.col("revenue_cents")}
+    daily = sums_by_attribute(recent, named, "product_id", ["category_name"], sums, ["order_date"])
+    return daily.select(F.col("order_date").alias("date"), "category_name", money("revenue").alias("revenue"))
 
 
 def forecast_series(history: DataFrame) -> DataFrame:
-    """The categories plus the top line; one row per series and day."""
-    total = history.groupBy("date").agg(F.sum("revenue").alias("revenue"))
-    return history.select("category_name", "date", "revenue").unionByName(
-        total.select(F.lit(TOTAL_SERIES).alias("category_name"), "date", "revenue")
+    """The categories plus the top line; one row per series and day, from one reading of the history."""
+    both = F.explode(F.array("category_name", F.lit(TOTAL_SERIES)))
+    return (
+        history.select(both.alias("category_name"), "date", cents("revenue").alias("c"))
+        .groupBy("category_name", "date")
+        .agg(sum_cents("c").alias("revenue"))
     )
 
 
@@ -152,14 +153,11 @@ def forecast_all(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
 EPOCH = "2000-01-01"
 
 
-def _trend(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per series and weekday: least-squares line and the weekday's mean distance from it.
-
-    All sums are exact (whole days, two-digit decimals); the line follows from them in closed form.
-    """
+def _weekday_sums(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact sums per series and weekday: at most seven rows per series."""
     t = F.datediff(F.col("date"), F.lit(EPOCH).cast("date")).cast("long")
     y = F.col("revenue").cast("decimal(18,2)")
-    by_weekday = (
+    return (
         series.withColumns({"t": t, "y": y, "dow": F.dayofweek("date")})
         .groupBy(*keys, "dow")
         .agg(
@@ -168,37 +166,54 @@ def _trend(series: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sum(F.col("t") * F.col("t")).alias("stt"),
             F.sum("y").alias("sy"),
             F.sum(F.col("t") * F.col("y")).alias("sty"),
+            F.sum(F.col("y") * F.col("y")).alias("syy"),
             F.max("date").alias("last"),
         )
     )
+
+
+def _trend(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per series: least-squares line, each weekday's mean distance from it, and the residual spread.
+
+    Everything follows in closed form from the weekday sums, so the series is read once.
+    """
+    c = F.col
     whole = Window.partitionBy(*keys)
-    sums = by_weekday.select(
+    sums = _weekday_sums(series, keys).select(
         *keys,
         "dow",
-        *[dbl(c).alias(f"{c}_d") for c in ("n", "st", "sy")],
-        *[dbl(F.sum(c).over(whole)).alias(c) for c in ("n", "st", "stt", "sy", "sty")],
+        *[dbl(x).alias(f"{x}_d") for x in ("n", "st", "stt", "sy", "sty", "syy")],
+        *[dbl(F.sum(x).over(whole)).alias(x) for x in ("n", "st", "stt", "sy", "sty")],
         F.max("last").over(whole).alias("last"),
     )
-    c = F.col
     slope = ratio(c("n") * c("sty") - c("st") * c("sy"), c("n") * c("stt") - c("st") * c("st"))
+    # Within a weekday the spread is that of y - slope × t around its own mean.
+    mean = (c("sy_d") - c("slope") * c("st_d")) / c("n_d")
+    square = c("syy_d") - 2 * c("slope") * c("sty_d") + c("slope") * c("slope") * c("stt_d") - c("n_d") * mean * mean
     return (
         sums.withColumn("slope", F.coalesce(slope, F.lit(0.0)))
         .withColumn("intercept", (c("sy") - c("slope") * c("st")) / c("n"))
         .withColumn("weekday", c("sy_d") / c("n_d") - c("intercept") - c("slope") * c("st_d") / c("n_d"))
-        .select(*keys, "dow", "n", "last", "slope", "intercept", "weekday")
+        .withColumn("square", F.greatest(square, F.lit(0.0)))
+        .groupBy(*keys, "last", "n", "slope", "intercept")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("dow", "weekday"))).alias("weekdays"),
+            F.sqrt(F.sum("square") / c("n")).alias("spread"),
+        )
     )
 
 
 def _level(day: Column) -> Column:
+    """Line plus weekday level; a weekday never seen stays on the line."""
     t = dbl(F.datediff(day, F.lit(EPOCH).cast("date")))
-    return F.col("intercept") + F.col("slope") * t + F.col("weekday")
+    weekday = F.coalesce(F.try_element_at(F.col("weekdays"), F.dayofweek(day)), F.lit(0.0))
+    return F.col("intercept") + F.col("slope") * t + weekday
 
 
 def baseline_residuals(series: DataFrame, keys: Sequence[str] = ("category_name",)) -> DataFrame:
     fit = _trend(series, keys)
-    dated = series.withColumn("dow", F.dayofweek("date"))
-    return dated.join(fit, [*keys, "dow"]).select(
-        *keys, "date", "revenue", "n", F.round(dbl("revenue") - _level(F.col("date")), 4).alias("resid")
+    return series.join(fit, list(keys)).select(
+        *keys, "date", "revenue", F.round(dbl("revenue") - _level(F.col("date")), 4).alias("resid")
     )
 
 
@@ -206,25 +221,15 @@ def forecast_baseline(
     series: DataFrame, horizon: int = HORIZON, keys: Sequence[str] = ("category_name",)
 ) -> DataFrame:
     """Linear trend plus weekday level, with an 80% band from the residual spread."""
-    spread = baseline_residuals(series, keys).groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("resid") * F.col("resid")) / F.count("*")).alias("spread")
-    )
-    fit = _trend(series, keys)
-    ends = fit.groupBy(*keys).agg(F.max("last").alias("last"))
-    ahead = ends.select(
-        *keys, F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", horizon))).alias("forecast_date")
-    ).withColumn("dow", F.dayofweek("forecast_date"))
+    days = F.sequence(F.date_add("last", 1), F.date_add("last", horizon))
+    ahead = _trend(series, keys).withColumn("forecast_date", F.explode(days))
     yhat = _level(F.col("forecast_date"))
-    return (
-        ahead.join(fit.drop("last"), [*keys, "dow"])
-        .join(spread, list(keys))
-        .select(
-            *keys,
-            "forecast_date",
-            F.round(yhat, 2).alias("yhat"),
-            F.round(yhat - F.lit(Z80) * F.col("spread"), 2).alias("yhat_lower"),
-            F.round(yhat + F.lit(Z80) * F.col("spread"), 2).alias("yhat_upper"),
-        )
+    return ahead.select(
+        *keys,
+        "forecast_date",
+        F.round(yhat, 2).alias("yhat"),
+        F.round(yhat - F.lit(Z80) * F.col("spread"), 2).alias("yhat_lower"),
+        F.round(yhat + F.lit(Z80) * F.col("spread"), 2).alias("yhat_upper"),
     )
 
 
@@ -399,7 +404,7 @@ def forecast_cover(
     sold = (
         fct_items.filter(in_date_window("order_date", as_of, days))
         .groupBy("product_id")
-        .agg(F.sum("quantity").alias("units"), F.sum("line_revenue").alias("revenue"))
+        .agg(F.sum("quantity").alias("units"), sum_cents("revenue_cents").alias("revenue"))
     )
     named = sold.join(
         dim_product.filter("category_name is not null").select("product_id", "sku", "category_name"), "product_id"

@@ -686,9 +686,10 @@ def _baseline(source: str, keys: str, p: str = "") -> str:
 {p}f AS (SELECT {', '.join(f'i.{k}' for k in keys.split(', '))}, w.dow, i.last, i.slope, i.intercept,
               {_d('w.sy')} / {_d('w.n')} - i.intercept - i.slope * {_d('w.st')} / {_d('w.n')} AS weekday
        FROM {p}i i JOIN {p}w w USING ({keys})),
-{p}res AS (SELECT {scols}, s.date, round({_d('s.revenue')} - {level.format(t=_T.format('s.date'))}, 4) AS resid
+{p}res AS (SELECT {scols}, s.date, {_d('s.revenue')} - {level.format(t=_T.format('s.date'))} AS exact,
+                round({_d('s.revenue')} - {level.format(t=_T.format('s.date'))}, 4) AS resid
          FROM {source} s JOIN {p}f f ON {on_res} AND f.dow = dayofweek(s.date)),
-{p}sp AS (SELECT {keys}, sqrt(sum(resid * resid) / count(*)) AS spread FROM {p}res GROUP BY {keys}),
+{p}sp AS (SELECT {keys}, sqrt(sum(exact * exact) / count(*)) AS spread FROM {p}res GROUP BY {keys}),
 {p}ahead AS (SELECT {keys}, CAST(last + CAST(h AS INTEGER) AS DATE) AS forecast_date
            FROM {p}a, (SELECT unnest(generate_series(1, 30)) AS h)),
 {p}fc AS (SELECT {cols}, a.forecast_date, {level.format(t=_T.format('a.forecast_date'))} AS y, spread

@@ -19,6 +19,7 @@ from tradewind.functions.exprs import (
     ratio,
     zero_if_null,
 )
+from tradewind.functions.money import cents, sum_cents, sum_money
 from tradewind.functions.predicates import not_cancelled, reached_checkout, recognized, sellable
 from tradewind.functions.quantiles import group_quantiles
 from tradewind.plans.marts import cohort_activity
@@ -32,9 +33,9 @@ def kpi_summary(orders: DataFrame, as_of: datetime, days: int = 30, offset: int
     per_customer = (
         orders.filter(recognized() & in_ts_window("placed_at", as_of, days, offset))
         .groupBy("customer_id")
-        .agg(F.count("*").alias("n"), F.sum("grand_total").alias("s"))
+        .agg(F.count("*").alias("n"), F.sum(cents("grand_total")).alias("s"))
     )
-    revenue, n = F.sum("s"), F.sum("n")
+    revenue, n = sum_cents("s"), F.sum("n")
     return per_customer.agg(
         zero_if_null(n).alias("orders"),
         F.coalesce(revenue, F.lit(0)).alias("revenue"),
@@ -48,7 +49,7 @@ def revenue_by_day(orders: DataFrame, as_of: datetime, days: int = 90) -> DataFr
     return (
         orders.filter(not_cancelled() & in_ts_window("placed_at", as_of, days))
         .groupBy(F.to_date("placed_at").alias("day"))
-        .agg(F.sum("grand_total").alias("revenue"), F.count("*").alias("orders"))
+        .agg(sum_money("grand_total").alias("revenue"), F.count("*").alias("orders"))
         .orderBy("day")
     )
 
@@ -57,7 +58,7 @@ def _orders_by(orders: DataFrame, key: str, as_of: datetime, days: int) -> DataF
     return (
         orders.filter(not_cancelled() & in_ts_window("placed_at", as_of, days))
         .groupBy(key)
-        .agg(F.count("*").alias("orders"), F.sum("grand_total").alias("revenue"))
+        .agg(F.count("*").alias("orders"), sum_money("grand_total").alias("revenue"))
         .withColumn("aov", ratio("revenue", "orders"))
         .orderBy(F.desc("revenue"), key)
     )
@@ -75,7 +76,7 @@ def aov_median(orders: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Mean and exact median order value by device and channel."""
     kept = orders.filter(not_cancelled() & in_ts_window("placed_at", as_of, days))
     keys = ["device_type", "channel"]
-    means = kept.groupBy(*keys).agg(F.count("*").alias("orders"), F.sum("grand_total").alias("s"))
+    means = kept.groupBy(*keys).agg(F.count("*").alias("orders"), sum_money("grand_total").alias("s"))
     medians = group_quantiles(
         kept.select(*keys, "grand_total"), keys, "grand_total", {"median_aov": 0.5}, bucket_width=100
     )
@@ -92,12 +93,12 @@ def sold_lines(order_items: DataFrame, orders: DataFrame, keep: Column) -> DataF
 
 def product_sales(order_items: DataFrame, orders: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Sellable units, revenue, cost and margin per product in the window."""
-    qty = F.col("quantity")
+    qty, price, cost = F.col("quantity"), cents("unit_price"), cents("unit_cost")
     lines = sold_lines(order_items, orders, sellable() & in_ts_window("placed_at", as_of, days))
     return lines.groupBy("product_id").agg(
         F.sum("quantity").alias("units"),
-        F.sum(qty * F.col("unit_price")).alias("revenue"),
-        F.sum(qty * (F.col("unit_price") - F.col("unit_cost"))).alias("gross_margin"),
+        sum_cents(qty * price).alias("revenue"),
+        sum_cents(qty * (price - cost)).alias("gross_margin"),
     )
 
 

@@ -15,6 +15,7 @@ from tradewind.functions.exprs import (
     whole_hours,
     whole_minutes,
 )
+from tradewind.functions.money import cents
 from tradewind.functions.predicates import recognized, sellable
 
 
@@ -139,6 +140,9 @@ def fct_order_items(order_items: DataFrame, orders: DataFrame) -> DataFrame:
         (qty * F.col("unit_price")).alias("line_revenue"),
         (qty * F.col("unit_cost")).alias("line_cost"),
         (qty * (F.col("unit_price") - F.col("unit_cost"))).alias("line_margin"),
+        # The same amounts as whole cents, which the marts add up.
+        (qty * cents("unit_price")).alias("revenue_cents"),
+        (qty * cents("unit_cost")).alias("cost_cents"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import (
@@ -22,18 +22,24 @@ from tradewind.functions.exprs import (
     sum_if,
     zero_if_null,
 )
+from tradewind.functions.money import cents, money, sum_cents, sum_money
 from tradewind.functions.predicates import reached_checkout
 from tradewind.functions.quantiles import group_quantiles
+from tradewind.functions.sizing import sums_by_attribute
 from tradewind.plans.dims_facts import calendar
 
 
+def _margin() -> Column:
+    return sum_cents(F.col("revenue_cents") - F.col("cost_cents"))
+
+
 def recognized_orders(fct_orders: DataFrame) -> DataFrame:
     return fct_orders.filter("is_revenue_recognized")
 
 
 def _per_member(df: DataFrame, keys: list[str], member: str, total: str) -> DataFrame:
     """(keys, member) → total and row count; the step before counting distinct members."""
-    return df.groupBy(*keys, member).agg(F.sum(total).alias("_sum"), F.count("*").alias("_n"))
+    return df.groupBy(*keys, member).agg(F.sum(cents(total)).alias("_sum"), F.count("*").alias("_n"))
 
 
 def _orders_by(fct_orders: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +48,7 @@ def _orders_by(fct_orders: DataFrame, keys: list[str]) -> DataFrame:
         _per_member(fct_orders, keys, "customer_id", "grand_total")
         .groupBy(*keys)
         .agg(
-            F.sum("_sum").alias("revenue"),
+            sum_cents("_sum").alias("revenue"),
             F.sum("_n").alias("orders"),
             F.count("customer_id").alias("unique_customers"),
         )
@@ -104,21 +110,16 @@ def mart_channel_perf(fct_orders: DataFrame) -> DataFrame:
 
 
 def mart_category_pnl(fct_items: DataFrame, dim_product: DataFrame) -> DataFrame:
-    """Lines collapse to product and day before they meet the catalog."""
-    per_product = fct_items.groupBy("product_id", "order_date").agg(
-        F.sum("line_revenue").alias("revenue"),
-        F.sum("line_cost").alias("cost"),
-        F.sum("line_margin").alias("margin"),
-    )
-    return (
-        per_product.join(dim_product.select("product_id", "category_name"), "product_id")
-        .groupBy("category_name", "order_date")
-        .agg(
-            F.sum("revenue").alias("revenue"),
-            F.sum("cost").alias("cost"),
-            F.sum("margin").alias("gross_margin"),
-        )
-        .withColumn("margin_pct", ratio("gross_margin", "revenue"))
+    sums = {"revenue": F.col("revenue_cents"), "cost": F.col("cost_cents")}
+    pnl = sums_by_attribute(fct_items, dim_product, "product_id", ["category_name"], sums, ["order_date"])
+    margin = F.col("revenue") - F.col("cost")
+    return pnl.select(
+        "category_name",
+        "order_date",
+        money("revenue").alias("revenue"),
+        money("cost").alias("cost"),
+        money(margin).alias("gross_margin"),
+        ratio(money(margin), money("revenue")).alias("margin_pct"),
     )
 
 
@@ -133,9 +134,9 @@ def mart_product_velocity(fct_items: DataFrame, dim_product: DataFrame, as_of: d
         .groupBy("product_id")
         .agg(
             sum_if(recent, "quantity").alias("u28"),
-            sum_if(recent, "line_revenue").alias("r28"),
+            sum_if(recent, "revenue_cents").alias("r28"),
             F.sum("quantity").alias("u84"),
-            F.sum("line_revenue").alias("r84"),
+            F.sum("revenue_cents").alias("r84"),
         )
     )
     units = zero_if_null("u28")
@@ -152,9 +153,9 @@ def mart_product_velocity(fct_items: DataFrame, dim_product: DataFrame, as_of: d
             "brand",
             "category_name",
             units.alias("units_28d"),
-            zero_if_null("r28").alias("revenue_28d"),
+            money(zero_if_null("r28")).alias("revenue_28d"),
             zero_if_null("u84").alias("units_84d"),
-            zero_if_null("r84").alias("revenue_84d"),
+            money(zero_if_null("r84")).alias("revenue_84d"),
             (dbl("u28") / 28.0).alias("units_per_day"),
             bucket.alias("velocity_bucket"),
         )
@@ -244,7 +245,7 @@ def _customer_days(fct_orders: DataFrame) -> DataFrame:
     return (
         recognized_orders(fct_orders)
         .groupBy("customer_id", "order_date")
-        .agg(F.sum("grand_total").alias("revenue"), F.count("*").alias("orders"))
+        .agg(sum_money("grand_total").alias("revenue"), F.count("*").alias("orders"))
     )
 
 
@@ -303,7 +304,7 @@ def mart_customer_lifecycle(dim_customer: DataFrame, fct_orders: DataFrame, as_o
         .groupBy("customer_id")
         .agg(
             F.count("*").alias("lifetime_orders"),
-            F.sum("grand_total").alias("lifetime_revenue"),
+            sum_money("grand_total").alias("lifetime_revenue"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
         )
@@ -373,7 +374,7 @@ def mart_attribution(customers: DataFrame, fct_orders: DataFrame) -> DataFrame:
         recognized_orders(fct_orders)
         .filter("customer_id is not null")
         .groupBy("customer_id", "channel")
-        .agg(F.sum("grand_total").alias("revenue"), F.count("*").alias("touches"), F.max(when).alias("last_at"))
+        .agg(sum_money("grand_total").alias("revenue"), F.count("*").alias("touches"), F.max(when).alias("last_at"))
     )
     none = on_orders.schema["revenue"].dataType
     at_signup = customers.select(
@@ -439,7 +440,7 @@ def mart_promo_lift_literal(redemptions: DataFrame, fct_orders: DataFrame, fct_i
 
     The repeat is arithmetic, so it is done on one row per order: amount × number of lines.
     """
-    lines = fct_items.groupBy("order_id").agg(F.count("*").alias("n_lines"), F.sum("line_margin").alias("margin"))
+    lines = fct_items.groupBy("order_id").agg(F.count("*").alias("n_lines"), _margin().alias("margin"))
     n = F.col("n_lines")
     return (
         _redemptions(redemptions)
@@ -458,7 +459,7 @@ def mart_promo_lift_literal(redemptions: DataFrame, fct_orders: DataFrame, fct_i
 
 def mart_promo_lift(redemptions: DataFrame, fct_orders: DataFrame, fct_items: DataFrame) -> DataFrame:
     """Every redemption counted once; margin summed per order before it is joined."""
-    margin = fct_items.groupBy("order_id").agg(F.sum("line_margin").alias("margin"))
+    margin = fct_items.groupBy("order_id").agg(_margin().alias("margin"))
     return (
         _redemptions(redemptions)
         .join(fct_orders.select("order_id", "grand_total"), "order_id")
@@ -480,7 +481,7 @@ def promo_incremental_margin(redemptions: DataFrame, fct_items: DataFrame) -> Da
     The baseline of a customer is the mean margin of the orders without a redemption; customers
     without such orders have none and are left out of the comparison.
     """
-    margin = fct_items.groupBy("order_id", "customer_id").agg(F.sum("line_margin").alias("margin"))
+    margin = fct_items.groupBy("order_id", "customer_id").agg(_margin().alias("margin"))
     promo = (
         redemptions.groupBy("order_id", "promotion_id")
         .agg(F.sum("amount_off").alias("amount_off"))

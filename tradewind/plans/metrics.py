@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import date_lit, ratio, zero_if_null
+from tradewind.functions.money import cents, sum_cents, sum_money
 from tradewind.functions.predicates import not_cancelled
 
 BELONGS_TO = "belongsTo"
@@ -201,20 +202,20 @@ def shop_model(
     as_of: datetime,
 ) -> Model:
     """The five cubes of the shop. Orders leave out cancelled ones; lines filter only through Orders."""
-    qty, price, cost = F.col("quantity"), F.col("unit_price"), F.col("unit_cost")
+    qty, price, cost = F.col("quantity"), cents("unit_price"), cents("unit_cost")
     named = categories.select(
         F.col("id").alias("_cid"), F.col("name").alias("category_name"), F.col("slug").alias("category_slug")
     )
-    lifetime = orders.groupBy(F.col("customer_id").alias("_customer")).agg(F.sum("grand_total").alias("_lifetime"))
+    lifetime = orders.groupBy(F.col("customer_id").alias("_customer")).agg(sum_money("grand_total").alias("_lifetime"))
     return {
         "Orders": Cube(
             frame=orders.filter(not_cancelled()),
             key="id",
             measures={
                 "count": F.count("*"),
-                "revenue": F.sum("grand_total"),
-                "aov": ratio(F.sum("grand_total"), F.count("grand_total")),
-                "discount": F.sum("discount_total"),
+                "revenue": sum_money("grand_total"),
+                "aov": ratio(sum_money("grand_total"), F.count("grand_total")),
+                "discount": sum_money("discount_total"),
                 "unique_customers": F.countDistinct("customer_id"),
             },
             dimensions={
@@ -237,10 +238,10 @@ def shop_model(
             key="id",
             measures={
                 "units": F.sum("quantity"),
-                "revenue": F.sum(qty * price),
-                "cost": F.sum(qty * cost),
-                "gross_margin": F.sum(qty * (price - cost)),
-                "margin_pct": ratio(F.sum(qty * (price - cost)), F.sum(qty * price)),
+                "revenue": sum_cents(qty * price),
+                "cost": sum_cents(qty * cost),
+                "gross_margin": sum_cents(qty * (price - cost)),
+                "margin_pct": ratio(sum_cents(qty * (price - cost)), sum_cents(qty * price)),
             },
             dimensions={"order_id": F.col("order_id"), "product_id": F.col("product_id")},
             joins=(
@@ -318,13 +319,13 @@ def daily_rollup(orders: DataFrame) -> DataFrame:
     per_customer = (
         orders.filter(not_cancelled())
         .groupBy(F.to_date("placed_at").alias("day"), "channel", "device_type", "customer_id")
-        .agg(F.count("*").alias("n"), F.sum("grand_total").alias("s"))
+        .agg(F.count("*").alias("n"), F.sum(cents("grand_total")).alias("s"))
     )
     return (
         per_customer.groupBy(*ROLLUP_KEYS)
         .agg(
             F.sum("n").alias("count"),
-            F.sum("s").alias("revenue"),
+            sum_cents("s").alias("revenue"),
             F.count("customer_id").alias("unique_customers"),
             F.hll_sketch_agg("customer_id").alias("customer_sketch"),
         )

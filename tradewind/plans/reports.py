@@ -21,7 +21,9 @@ from tradewind.functions.exprs import (
     week_of,
     zero_if_null,
 )
+from tradewind.functions.money import cents, money, sum_money
 from tradewind.functions.predicates import not_cancelled, recognized
+from tradewind.functions.sizing import sums_by_attribute
 from tradewind.plans.analytics import (
     funnel_last_30d,
     kpi_summary,
@@ -53,8 +55,8 @@ def kpi_period_delta(orders: DataFrame, as_of: datetime, days: int = 30) -> Data
         .agg(
             F.count_if(now).alias("n1"),
             F.count_if(before).alias("n0"),
-            sum_if(now, "grand_total").alias("r1"),
-            sum_if(before, "grand_total").alias("r0"),
+            money(sum_if(now, cents("grand_total"))).alias("r1"),
+            money(sum_if(before, cents("grand_total"))).alias("r0"),
         )
     )
     known = F.col("customer_id").isNotNull()
@@ -185,7 +187,7 @@ def kpi_mtd(fct_orders: DataFrame, as_of: date) -> DataFrame:
     mtd = recognized_orders(fct_orders).filter(
         F.col("order_date").between(date_lit(as_of.replace(day=1)), date_lit(as_of))
     )
-    s = F.sum("grand_total")
+    s = sum_money("grand_total")
     return mtd.agg(
         F.coalesce(s, F.lit(0)).alias("revenue"),
         F.count("*").alias("orders"),
@@ -197,18 +199,12 @@ def category_vs_prior(fct_items: DataFrame, dim_product: DataFrame, as_of: date,
     """The last `days` dates against the `days` dates before them."""
     d = F.col("order_date")
     now = d > date_lit(as_of - timedelta(days=days))
-    per_product = (
-        fct_items.filter((d > date_lit(as_of - timedelta(days=2 * days))) & (d <= date_lit(as_of)))
-        .groupBy("product_id")
-        .agg(sum_if(now, "line_revenue").alias("c"), sum_if(~now, "line_revenue").alias("p"))
-    )
-    return (
-        per_product.join(dim_product.select("product_id", "category_name"), "product_id")
-        .groupBy(F.col("category_name").alias("category"))
-        .agg(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("current"),
-            F.coalesce(F.sum("p"), F.lit(0)).alias("prior"),
-        )
+    recent = fct_items.filter((d > date_lit(as_of - timedelta(days=2 * days))) & (d <= date_lit(as_of)))
+    sums = {"c": F.when(now, F.col("revenue_cents")), "p": F.when(~now, F.col("revenue_cents"))}
+    return sums_by_attribute(recent, dim_product, "product_id", ["category_name"], sums).select(
+        F.col("category_name").alias("category"),
+        money(zero_if_null("c")).alias("current"),
+        money(zero_if_null("p")).alias("prior"),
     )
 
 

@@ -172,7 +172,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("fct_order_items")
 def _(s: Shop) -> DataFrame:
-    return items(s)
+    return items(s).drop("revenue_cents", "cost_cents")
 
 
 @query("fct_stock_moves")

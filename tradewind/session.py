@@ -35,6 +35,7 @@ def local_session(cores: str = "8", app: str = "tradewind") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRADEWIND_DRIVER_MEMORY", "8g"))
     )
     spark = tune(builder.getOrCreate())
