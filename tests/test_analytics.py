@@ -146,10 +146,11 @@ def test_same_weekday(spark):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    orders = tiny_orders(spark)
     carts = frame(spark, "id bigint, status string, created_at timestamp_ntz", [(1, "active", "2024-03-01")])
-    return mt.shop_model(orders, tiny_items(spark), tiny_products(spark), tiny_categories(spark),
-                         tiny_customers(spark), carts, AS_OF)
+    makers = {"orders": tiny_orders, "order_items": tiny_items, "products": tiny_products,
+              "categories": tiny_categories, "customers": tiny_customers}
+    tables = {name: (lambda make=make: make(spark)) for name, make in makers.items()}
+    return mt.shop_model({**tables, "carts": lambda: carts}, AS_OF)
 
 
 def test_metric_equals_analytics(spark, model):

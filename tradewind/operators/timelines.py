@@ -16,7 +16,9 @@ def stock_running(moves: DataFrame) -> DataFrame:
     """
     keys = ["variant_id", "warehouse_code"]
     moments = moves.groupBy(*keys, "occurred_at").agg(F.sum("delta").alias("delta"))
-    moments = moments.withColumn("hour", F.date_trunc("HOUR", "occurred_at"))
+    # Never null, so both uses of `moments` below plan alike and share one shuffle.
+    hour = F.coalesce(F.date_trunc("HOUR", "occurred_at"), F.lit("1970-01-01").cast("timestamp_ntz").cast("timestamp"))
+    moments = moments.withColumn("hour", hour)
     hours = moments.groupBy(*keys, "hour").agg(F.sum("delta").alias("hour_delta"))
     upto = F.sum("hour_delta").over(Window.partitionBy(*keys).orderBy("hour"))
     opening = hours.select(*keys, "hour", (upto - F.col("hour_delta")).alias("opening"))

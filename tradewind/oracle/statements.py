@@ -871,5 +871,39 @@ _RAW["dq_checks"] = "\nUNION ALL\n".join([
 ])
 
 
+# ---- streams ----------------------------------------------------------------------------------------
+
+_RAW["stream_ingest"] = f"""
+SELECT CASE WHEN event_type = 'purchase' THEN 'unknown event_type' ELSE 'accepted' END AS reason, event_type,
+       {_b('count(*)')} AS n FROM e_shop_events GROUP BY 1, 2"""
+
+_RAW["stream_dedupe"] = "SELECT id, event_type, session_id FROM e_shop_events"
+
+_RAW["stream_events_hourly"] = f"""
+SELECT date_trunc('hour', occurred_at) AS hour, event_type, {_b('count(*)')} AS n FROM e_shop_events
+GROUP BY 1, 2
+HAVING date_trunc('hour', occurred_at) + INTERVAL 1 HOUR
+       <= (SELECT date_trunc('milliseconds', max(occurred_at)) - INTERVAL 2 HOUR FROM e_shop_events)"""
+
+_RAW["stream_sessions"] = f"""
+WITH g AS (SELECT *, CASE WHEN occurred_at - lag(occurred_at) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s
+           FROM e_shop_events WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at, id)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY occurred_at, id) AS session FROM g)
+SELECT session_id, min(occurred_at) AS session_start, max(occurred_at) AS session_end, {_b('count(*)')} AS n_events,
+       CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'converted'
+            WHEN count(*) FILTER (event_type = 'add_to_cart') > 0 THEN 'abandoned' ELSE 'browsing' END AS status
+FROM n GROUP BY session_id, session
+HAVING max(occurred_at) + INTERVAL 6 HOUR
+       <= (SELECT date_trunc('milliseconds', max(occurred_at)) - INTERVAL 2 HOUR FROM e_shop_events)"""
+
+_RAW["stream_cart_to_order"] = f"""
+SELECT c.id AS cart_id, o.id AS order_id, {_b("date_sub('minute', c.created_at, o.placed_at)")} AS minutes
+FROM e_carts c JOIN e_orders o ON o.customer_id = c.customer_id
+ AND o.placed_at BETWEEN c.created_at AND c.created_at + INTERVAL 24 HOUR"""
+
+_RAW["stream_stock_totals"] = f"""
+SELECT variant_id, 'MAIN' AS warehouse_code, {_b('-sum(quantity)')} AS on_hand FROM e_order_items GROUP BY 1"""
+
+
 def all_statements() -> dict[str, str]:
     return {name: with_entities(body) for name, body in _RAW.items()}

@@ -8,9 +8,10 @@ one-to-many join is first reduced to distinct (owner key, dimension) pairs, so s
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ class Edge:
 
 @dataclass(frozen=True)
 class Cube:
-    frame: DataFrame
+    """`rows` builds the table when a query first asks for it; unused cubes cost nothing."""
+
+    rows: Callable[[], DataFrame]
     key: str
     measures: Mapping[str, Column]
     dimensions: Mapping[str, Column]
@@ -43,7 +46,13 @@ class Cube:
     joins: Sequence[Edge] = ()
 
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.rows()
+
+
 Model = Mapping[str, Cube]
+Entities = Mapping[str, Callable[[], DataFrame]]
 
 
 def date_range(as_of: date, text: str) -> tuple[date, date]:
@@ -192,24 +201,24 @@ def metric_query(
     return result.limit(limit) if limit is not None else result
 
 
-def shop_model(
-    orders: DataFrame,
-    order_items: DataFrame,
-    products: DataFrame,
-    categories: DataFrame,
-    customers: DataFrame,
-    carts: DataFrame,
-    as_of: datetime,
-) -> Model:
-    """The five cubes of the shop. Orders leave out cancelled ones; lines filter only through Orders."""
-    qty, price, cost = F.col("quantity"), cents("unit_price"), cents("unit_cost")
+def _named_products(products: DataFrame, categories: DataFrame) -> DataFrame:
     named = categories.select(
         F.col("id").alias("_cid"), F.col("name").alias("category_name"), F.col("slug").alias("category_slug")
     )
+    return products.join(named, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
+
+
+def _customers_with_revenue(customers: DataFrame, orders: DataFrame) -> DataFrame:
     lifetime = orders.groupBy(F.col("customer_id").alias("_customer")).agg(sum_money("grand_total").alias("_lifetime"))
+    return customers.join(lifetime, F.col("id") == F.col("_customer"), "left").drop("_customer")
+
+
+def shop_model(tables: Entities, as_of: datetime) -> Model:
+    """The five cubes of the shop. Orders leave out cancelled ones; lines filter only through Orders."""
+    qty, price, cost = F.col("quantity"), cents("unit_price"), cents("unit_cost")
     return {
         "Orders": Cube(
-            frame=orders.filter(not_cancelled()),
+            rows=lambda: tables["orders"]().filter(not_cancelled()),
             key="id",
             measures={
                 "count": F.count("*"),
@@ -234,7 +243,7 @@ def shop_model(
             ),
         ),
         "OrderItems": Cube(
-            frame=order_items,
+            rows=tables["order_items"],
             key="id",
             measures={
                 "units": F.sum("quantity"),
@@ -250,7 +259,7 @@ def shop_model(
             ),
         ),
         "Products": Cube(
-            frame=products.join(named, F.col("category_id") == F.col("_cid"), "left").drop("_cid"),
+            rows=lambda: _named_products(tables["products"](), tables["categories"]()),
             key="id",
             measures={
                 "count": F.count("*"),
@@ -270,7 +279,7 @@ def shop_model(
             joins=(Edge("OrderItems", "id", "product_id", HAS_MANY),),
         ),
         "Customers": Cube(
-            frame=customers.join(lifetime, F.col("id") == F.col("_customer"), "left").drop("_customer"),
+            rows=lambda: _customers_with_revenue(tables["customers"](), tables["orders"]()),
             key="id",
             measures={"count": F.count("*"), "lifetime_revenue": F.sum(zero_if_null("_lifetime"))},
             dimensions={
@@ -285,7 +294,7 @@ def shop_model(
             joins=(Edge("Orders", "id", "customer_id", HAS_MANY),),
         ),
         "Carts": Cube(
-            frame=carts,
+            rows=tables["carts"],
             key="id",
             measures={
                 "count": F.count("*"),

@@ -17,6 +17,7 @@ from tradewind.plans import metrics as mt
 from tradewind.plans import reports as rp
 from tradewind.session import run_path, tune
 from tradewind.sources.driver import Shop
+from tradewind.streaming import jobs
 
 AS_OF_TS = datetime(2001, 8, 1, 23, 59, 59)
 AS_OF_DATE = date(2001, 8, 1)
@@ -422,9 +423,8 @@ def _(s: Shop) -> DataFrame:
 
 
 def _model(s: Shop) -> mt.Model:
-    return mt.shop_model(
-        s.orders(), s.order_items(), s.products(), s.categories(), s.customers(), s.carts(), AS_OF_TS
-    )
+    names = ("orders", "order_items", "products", "categories", "customers", "carts")
+    return mt.shop_model({n: getattr(s, n) for n in names}, AS_OF_TS)
 
 
 def _last(days: int) -> tuple[date, date]:
@@ -777,3 +777,72 @@ def _(s: Shop) -> DataFrame:
 @query("dq_checks")
 def _(s: Shop) -> DataFrame:
     return bulk.dq_checks(entities(s))
+
+
+# ---- streams: the same jobs over files that arrive, run until nothing is left -------------------------
+
+
+def _timed(df: DataFrame, *columns: str) -> DataFrame:
+    """Event times as the TIMESTAMP a watermark needs."""
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
+
+
+def _drained(s: Shop, name: str, stream: DataFrame, mode: str = "append") -> DataFrame:
+    return jobs.run_available(stream, run_path(s.spark, name), run_path(s.spark, f"{name}-progress"), mode)
+
+
+def _event_stream(s: Shop) -> DataFrame:
+    return _timed(s.streaming("events").shop_events(), "occurred_at")
+
+
+@query("stream_ingest")
+def _(s: Shop) -> DataFrame:
+    """All events offered to the ingest: purchases are not a click type and land in quarantine."""
+    good, bad, progress = (run_path(s.spark, f"ingest-{x}") for x in ("good", "bad", "progress"))
+    jobs.ingest_events(_event_stream(s), good, bad, progress).start().awaitTermination()
+    kept = s.spark.read.parquet(good).withColumn("reason", F.lit("accepted"))
+    refused = s.spark.read.parquet(bad)
+    both = kept.select("reason", "event_type").unionByName(refused.select("reason", "event_type"))
+    return both.groupBy("reason", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_dedupe")
+def _(s: Shop) -> DataFrame:
+    """Two overlapping pulls of the same events, each event passed on once."""
+    pulls = _event_stream(s).unionByName(_event_stream(s))
+    return _drained(s, "dedupe", jobs.dedupe_stream(pulls).select("id", "event_type", "session_id"))
+
+
+@query("stream_events_hourly")
+def _(s: Shop) -> DataFrame:
+    """Hours the watermark has closed."""
+    counts = jobs.event_counts(_event_stream(s))
+    return _drained(s, "hourly", counts).select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("stream_sessions")
+def _(s: Shop) -> DataFrame:
+    """Sessions the watermark has closed."""
+    closed = _drained(s, "sessions", jobs.cart_sessions(_event_stream(s), gap="6 hours"))
+    return closed.select(
+        "session_id",
+        F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+        F.col("session_end").cast("timestamp_ntz").alias("session_end"),
+        "n_events",
+        "status",
+    )
+
+
+@query("stream_cart_to_order")
+def _(s: Shop) -> DataFrame:
+    live = s.streaming("events", "orders")
+    joined = jobs.cart_to_order(_timed(live.carts(), "created_at"), _timed(live.orders(), "placed_at"))
+    return _drained(s, "conversion", joined)
+
+
+@query("stream_stock_totals")
+def _(s: Shop) -> DataFrame:
+    """Sales as they arrive, out of the stock they touch."""
+    sold = bulk.stock_moves_from_sales(s.streaming("lineitem").order_items())
+    moves = sold.withColumn("warehouse_code", F.lit("MAIN"))
+    return _drained(s, "stock", jobs.stock_totals(moves), mode="complete")

@@ -50,6 +50,10 @@ class Shop:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def streaming(self, *tables: str) -> Shop:
+        """The same shop with the named tables read as streams of files."""
+        return _StreamingShop(self.spark, self.sf_dir, tables)
+
     def customers(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_name")
         joined = self.table("customer").join(nation, nation.n_nationkey == F.col("c_nationkey"), "left")
@@ -286,3 +290,15 @@ class Shop:
                from values ('organic', 4.00), ('paid_search', 38.00), ('paid_social', 45.50), ('email', 6.25),
                            ('direct', 2.00), ('referral', 12.00), ('affiliate', 21.75) as t(channel, cac)"""
         )
+
+
+class _StreamingShop(Shop):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...]):
+        super().__init__(spark, sf_dir)
+        self.streamed = streamed
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.streamed:
+            return super().table(name)
+        # A pattern, since a stream may only start from a folder or a pattern; it matches one name.
+        return self.spark.readStream.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}[.]parquet")

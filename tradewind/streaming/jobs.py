@@ -29,6 +29,18 @@ def _once(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what has arrived, then hand back the stored result. Complete results replace the last."""
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", sink)
+    else:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(
+            lambda batch, _: batch.write.mode("overwrite").parquet(sink)
+        )
+    _once(writer, checkpoint).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(sink)
+
+
 # ---- ingest -----------------------------------------------------------------------------------------
 
 
