@@ -215,3 +215,16 @@ def test_rollup_adds_up(spark):
     approx = {r.channel: r.unique_customers_approx for r in mt.rollup_unique_approx(rollup).collect()}
     assert approx == {"email": 1, "direct": 1, "organic": 1}
     assert rollup.agg(F.sum("count")).first()[0] == 10
+
+
+def test_stored_rollup_is_refreshed_by_day(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    orders = tiny_orders(spark)
+    mt.refresh_rollup(orders, path, date(2000, 1, 1))
+    want = rows(mt.daily_rollup(orders).select("day", "channel", "device_type", "count", "revenue"))
+    stored = lambda: rows(mt.read_rollup(spark, path).select("day", "channel", "device_type", "count", "revenue"))
+    assert stored() == want
+    # The only order of March 3 is cancelled; earlier days change too but lie before the refresh.
+    changed = orders.withColumn("status", F.when(F.col("id").isin(8, 1), "cancelled").otherwise(F.col("status")))
+    mt.refresh_rollup(changed, path, date(2024, 3, 1))
+    assert stored() == [r for r in want if r[0] != date(2024, 3, 3)]

@@ -137,3 +137,16 @@ def test_shared_folder_comes_from_the_session(spark):
     if spark.conf.get("spark.checkpoint.dir", None):
         pytest.skip("the session names one")
     assert shared_dir(spark).endswith("tradewind-shared")
+
+
+def test_small_result_files(spark, tmp_path):
+    f = frame(spark, "category_name string, forecast_date date, yhat double",
+              [("a", "2024-01-02", 2), ("a", "2024-01-01", 1), ("b", "2024-01-01", 3)])
+    etl.write_forecast_json(f.filter("category_name = 'a'"), str(tmp_path / "j"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == [
+        '{"category_name":"a","forecast_date":"2024-01-01","yhat":1.0}',
+        '{"category_name":"a","forecast_date":"2024-01-02","yhat":2.0}']
+    etl.write_category_csv(f, str(tmp_path / "c"))
+    assert sorted(p.name for p in (tmp_path / "c").glob("category_name=*")) == ["category_name=a", "category_name=b"]
+    etl.write_metrics_json(frame(spark, "category_name string, mape double", [("a", 0.1)]), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().mape == 0.1

@@ -215,6 +215,11 @@ def write_category_csv(forecast: DataFrame, path: str) -> None:
     forecast.write.mode("overwrite").partitionBy("category_name").option("header", "true").csv(path)
 
 
+def write_metrics_json(metrics: DataFrame, path: str) -> None:
+    """One record per series with its error and coverage."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
 def pull_report(pulls: Mapping[str, DataFrame]) -> DataFrame:
     """Every row of every pull as (table, id, time)."""
     out = None

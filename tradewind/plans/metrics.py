@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import date_lit, ratio, zero_if_null
@@ -322,26 +322,51 @@ def metric_repeat(orders: DataFrame) -> DataFrame:
 ROLLUP_KEYS = ["day", "channel", "device_type"]
 
 
-def daily_rollup(orders: DataFrame) -> DataFrame:
-    """Day × channel × device. Sum and count are kept beside the average; unique customers beside a
-    mergeable sketch, since neither average nor distinct count can be added up again."""
-    per_customer = (
-        orders.filter(not_cancelled())
-        .groupBy(F.to_date("placed_at").alias("day"), "channel", "device_type", "customer_id")
-        .agg(F.count("*").alias("n"), F.sum(cents("grand_total")).alias("s"))
+def _rollup(orders: DataFrame) -> DataFrame:
+    """Day × channel × device over the orders that are not cancelled; other rows only keep their key."""
+    live = not_cancelled()
+    per_customer = orders.groupBy(F.to_date("placed_at").alias("day"), "channel", "device_type", "customer_id").agg(
+        F.count_if(live).alias("n"), F.sum(F.when(live, cents("grand_total"))).alias("s")
     )
+    buyer = F.when(F.col("n") > 0, F.col("customer_id"))
     return (
         per_customer.groupBy(*ROLLUP_KEYS)
         .agg(
             F.sum("n").alias("count"),
             sum_cents("s").alias("revenue"),
-            F.count("customer_id").alias("unique_customers"),
-            F.hll_sketch_agg("customer_id").alias("customer_sketch"),
+            F.count(buyer).alias("unique_customers"),
+            F.hll_sketch_agg(buyer).alias("customer_sketch"),
         )
         .withColumn("aov", ratio("revenue", "count"))
     )
 
 
+def daily_rollup(orders: DataFrame) -> DataFrame:
+    """Day × channel × device. Sum and count are kept beside the average; unique customers beside a
+    mergeable sketch, since neither average nor distinct count can be added up again."""
+    return _rollup(orders.filter(not_cancelled()))
+
+
+def refresh_rollup(orders: DataFrame, path: str, since: date) -> None:
+    """Recompute the stored rollup from `since` on and replace those days only.
+
+    Cancelled orders keep their day in the write, so a day whose orders were all cancelled is replaced too.
+    """
+    recent = orders.filter(F.to_date("placed_at") >= date_lit(since))
+    (
+        _rollup(recent)
+        .repartition("day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("count > 0")
+
+
 def rollup_unique_approx(rollup: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
     """Approximate unique customers at a coarser level, merged from the stored sketches."""
     return rollup.groupBy(*keys).agg(
