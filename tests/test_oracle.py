@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
-MAY_BE_EMPTY = {"stockouts_at_risk", "slow_movers_literal", "catalog_search", "etl_incremental_items", "mart_product_affinity"}
+MAY_BE_EMPTY = {"stream_cart_to_order"}  # too few customers with carts and orders on one day at this size
 
 
 @pytest.fixture(scope="module")

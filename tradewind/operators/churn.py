@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +49,18 @@ def _numeric(features: DataFrame) -> DataFrame:
 
 
 def churn_score(fct_orders: DataFrame, as_of: date, days: int = CHURN_DAYS) -> DataFrame:
-    """Fit on the past window, then score every buyer as of `as_of`."""
-    training = _numeric(churn_features(fct_orders, as_of, days))
-    stages = [
-        VectorAssembler(inputCols=[f"x_{c}" for c in FEATURES], outputCol="x"),
-        StandardScaler(inputCol="x", outputCol="features", withMean=True),
-        LogisticRegression(featuresCol="features", labelCol="churned", maxIter=50, regParam=0.01),
-    ]
-    model = Pipeline(stages=stages).fit(training)
+    """Fit on the past window, then score every buyer as of `as_of`.
+
+    The fit is distributed; what comes back are one weight per feature and the intercept, and the
+    score is a plain expression of them.
+    """
+    inputs = [f"x_{c}" for c in FEATURES]
+    training = VectorAssembler(inputCols=inputs, outputCol="features").transform(
+        _numeric(churn_features(fct_orders, as_of, days))
+    )
+    model = LogisticRegression(labelCol="churned", maxIter=50, regParam=0.01).fit(training)
+    margin = F.lit(float(model.intercept))
+    for name, weight in zip(inputs, model.coefficients, strict=True):
+        margin = margin + F.col(name) * F.lit(float(weight))
     now = _numeric(rfm(fct_orders.filter(F.col("order_date") <= date_lit(as_of)), as_of))
-    scored = model.transform(now)
-    p = vector_to_array("probability")[1]
-    return scored.select("customer_id", *FEATURES, F.round(p, 6).alias("p_churn"))
+    return now.select("customer_id", *FEATURES, F.round(1 / (1 + F.exp(-margin)), 6).alias("p_churn"))
