@@ -43,6 +43,11 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    # The first queries of a fresh JVM measure its compiler, so they run before the clock starts.
+    for name in ("mart_daily_revenue", "mart_category_pnl", "mart_product_velocity"):
+        for _ in range(2):
+            once(name)
+
     seconds = {}
     for name in names:
         once(name)

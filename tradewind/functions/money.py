@@ -28,3 +28,8 @@ def sum_money(amount: str | Column) -> Column:
 
 def sum_cents(whole_cents: str | Column) -> Column:
     return money(F.sum(col(whole_cents)))
+
+
+def exact_share(value: Column) -> Column:
+    """A divided amount fixed to a millionth, so that its sum does not depend on the order of the rows."""
+    return value.cast("decimal(24,6)")

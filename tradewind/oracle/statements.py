@@ -255,8 +255,9 @@ tot AS (SELECT customer_id, sum(grand_total) AS total, arg_max(channel, (placed_
                count(*) AS n FROM o GROUP BY 1),
 joined AS (SELECT tot.*, c.signup_channel FROM tot JOIN e_customers c ON c.id = tot.customer_id),
 touch AS (SELECT customer_id, channel FROM o UNION ALL SELECT id, signup_channel FROM e_customers),
-lin AS (SELECT t.channel, round(sum({_d('total')} / (n + 1)), 2) AS linear
-        FROM touch t JOIN joined USING (customer_id) GROUP BY 1),
+tc AS (SELECT customer_id, channel, count(*) AS k FROM touch GROUP BY 1, 2),
+lin AS (SELECT tc.channel, CAST(round(sum(CAST({_d('total')} * k / (n + 1) AS DECIMAL(24,6))), 2) AS DOUBLE) AS linear
+        FROM tc JOIN joined USING (customer_id) GROUP BY 1),
 f AS (SELECT signup_channel AS channel, sum(total) AS first_touch FROM joined GROUP BY 1),
 l AS (SELECT last_channel AS channel, sum(total) AS last_touch FROM joined GROUP BY 1)
 SELECT lin.channel, {_d('coalesce(first_touch, 0)')} AS first_touch, {_d('coalesce(last_touch, 0)')} AS last_touch, linear
@@ -324,13 +325,13 @@ _RAW["promo_month_pivot"] = f"WITH {_LIFT} SELECT promotion_id, " + ", ".join(
 
 _RAW["promo_incremental_margin"] = f"""
 WITH mg AS (SELECT order_id, customer_id, sum(line_margin) AS margin FROM e_fct_items GROUP BY 1, 2),
-plain AS (SELECT customer_id, {_ratio('sum(margin)', 'count(*)')} AS baseline FROM mg
+plain AS (SELECT customer_id, CAST({_ratio('sum(margin)', 'count(*)')} AS DECIMAL(24,6)) AS baseline FROM mg
           WHERE order_id NOT IN (SELECT order_id FROM e_promotion_redemptions) GROUP BY 1),
 j AS (SELECT r.promotion_id, m.margin - r.amount_off AS net, baseline
       FROM e_promotion_redemptions r JOIN mg m USING (order_id) JOIN plain ON plain.customer_id = m.customer_id)
 SELECT promotion_id, {_b('count(*)')} AS orders, {_d('sum(net)')} AS net_margin,
-       round(sum(baseline), 2) AS baseline_margin,
-       round({_d('sum(net)')} - round(sum(baseline), 2), 2) AS incremental_margin
+       CAST(round(sum(baseline), 2) AS DOUBLE) AS baseline_margin,
+       {_d('sum(net) - round(sum(baseline), 2)')} AS incremental_margin
 FROM j GROUP BY 1"""
 
 _RAW["executive_daily"] = f"""

@@ -22,7 +22,7 @@ from tradewind.functions.exprs import (
     sum_if,
     zero_if_null,
 )
-from tradewind.functions.money import cents, money, sum_cents, sum_money
+from tradewind.functions.money import cents, exact_share, money, sum_cents, sum_money
 from tradewind.functions.predicates import reached_checkout
 from tradewind.functions.quantiles import group_quantiles
 from tradewind.functions.sizing import sums_by_attribute
@@ -397,7 +397,7 @@ def mart_attribution(customers: DataFrame, fct_orders: DataFrame) -> DataFrame:
         F.sum("revenue").over(whole).alias("total"),
         F.sum("touches").over(whole).alias("all_touches"),
     ).filter("total > 0")
-    linear = dbl("total") * F.col("touches") / F.col("all_touches")
+    linear = exact_share(dbl("total") * F.col("touches") / F.col("all_touches"))
     return credited.groupBy("channel").agg(
         F.coalesce(F.sum(F.when(F.col("is_signup"), F.col("total"))), F.lit(0)).alias("first_touch"),
         F.coalesce(F.sum(F.when(F.col("is_last"), F.col("total"))), F.lit(0)).alias("last_touch"),
@@ -491,7 +491,7 @@ def promo_incremental_margin(redemptions: DataFrame, fct_items: DataFrame) -> Da
         margin.join(redemptions.select("order_id").distinct(), "order_id", "left_anti")
         .groupBy("customer_id")
         .agg(F.sum("margin").alias("_m"), F.count("*").alias("_n"))
-        .select("customer_id", ratio("_m", "_n").alias("baseline"))
+        .select("customer_id", exact_share(ratio("_m", "_n")).alias("baseline"))
     )
     per_customer = promo.groupBy("promotion_id", "customer_id").agg(
         F.count("*").alias("n"), F.sum(F.col("margin") - F.col("amount_off")).alias("net")
@@ -504,7 +504,7 @@ def promo_incremental_margin(redemptions: DataFrame, fct_items: DataFrame) -> Da
             F.sum("net").alias("net_margin"),
             F.round(F.sum(F.col("baseline") * F.col("n")), 2).alias("baseline_margin"),
         )
-        .withColumn("incremental_margin", F.round(dbl("net_margin") - F.col("baseline_margin"), 2))
+        .withColumn("incremental_margin", F.col("net_margin") - F.col("baseline_margin"))
     )
 
 
