@@ -155,3 +155,15 @@ def test_churn_scores_rank_the_idle_higher(spark):
     scored = {r.customer_id: r.p_churn for r in churn.churn_score(fct, date(2024, 10, 26)).collect()}
     assert len(scored) == 60
     assert min(v for k, v in scored.items() if k % 2) > max(v for k, v in scored.items() if k % 2 == 0)
+
+
+def test_model_runs_where_the_package_is_missing():
+    """Executors get the fitting functions by value, not by the name of a module they may lack."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; print(pickle.loads(sys.stdin.buffer.read()).__name__)"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fc.fit_predict), cwd="/", capture_output=True)
+    assert done.stdout.strip() == b"fit_predict", done.stderr

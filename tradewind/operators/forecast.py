@@ -6,11 +6,13 @@ Everything around the fit is plain DataFrame work; a linear baseline needs no Py
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from tradewind.schemas import (
     YEARLY_MIN_POINTS,
 )
 
+# The fitting functions travel to the executors themselves, so nothing has to be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
 HORIZON = 30
 Z80 = 1.2815515655446004  # fixed value: half-width of the central 80% of a normal, in standard deviations
 COLD_START_WIDENING = 2.0
