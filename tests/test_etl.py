@@ -150,3 +150,12 @@ def test_small_result_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "c").glob("category_name=*")) == ["category_name=a", "category_name=b"]
     etl.write_metrics_json(frame(spark, "category_name string, mape double", [("a", 0.1)]), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().mape == 0.1
+
+
+def test_load_refuses_a_table_that_lost_a_column(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    first = raw(spark, [(1, "paid", "1.00", "2024-01-01", "2024-01-01")]).withColumn("channel", F.lit("x"))
+    etl.load_fact(first, "orders", path, "placed_at")
+    with pytest.raises(Exception, match="extra"):
+        etl.load_fact(first.withColumn("extra", F.lit(1)), "orders", path, "placed_at")
+    assert spark.read.parquet(path).count() == 1

@@ -72,9 +72,13 @@ def full_refresh(df: DataFrame, path: str) -> DataFrame:
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).select(*like.columns)
-    except AnalysisException:
-        return None
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        # Only a table that is not there yet counts as absent; any other trouble stops the load.
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return stored.select(*like.columns)
 
 
 def load_fact(
