@@ -21,7 +21,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from tradewind.llm.common import by_value, map_arrow
+from tradewind.llm.common import by_value, map_arrow, worker_memory
 
 by_value(__name__)
 
@@ -181,15 +181,13 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_BUILT: dict[tuple[str, str], Vocabulary] = {}
-
-
 def vocabulary(data: bytes, pattern: str) -> Vocabulary:
     """The tables of a rank file, built once in each Python worker."""
+    built = worker_memory("vocabularies")
     key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _BUILT:
-        _BUILT[key] = Vocabulary(read_ranks(data), pattern)
-    return _BUILT[key]
+    if key not in built:
+        built[key] = Vocabulary(read_ranks(data), pattern)
+    return built[key]
 
 
 def rank_file(path: str) -> bytes:
@@ -209,7 +207,7 @@ def encode_documents(
     """
     sent = docs.sparkSession.sparkContext.broadcast(rank_file(path))
 
-    def run(batch):
+    def run(batch: dict) -> dict:
         vocab = vocabulary(sent.value, pattern)
         out = {carry: batch[carry].to_pylist(), "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
         for text in batch["text"].to_pylist():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,12 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as the Python process, also for functions that were shipped by value."""
+    module = sys.modules.setdefault("_tradewind_worker_memory", types.ModuleType("_tradewind_worker_memory"))
+    return vars(module).setdefault(name, {})
+
+
 def tune(spark: SparkSession) -> SparkSession:
     session.tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -65,7 +72,8 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = fn({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            columns = [c.cast(f.type) if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, kind)
 

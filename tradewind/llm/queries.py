@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, shards
+from tradewind.llm import bpe, chat, quality, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted turn by turn, and one more whose texts look like marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    template = chat.MarkedTurns()
+    return chat.conversation_digests(chat.format_conversations(turns.unionByName(more), template), template)
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law `rows`: shard sizes differ by one row at most."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +47,19 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by a model that never saw the held-out fifth's labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by the multi-language ranks, decoded again."""
     docs = table(spark, sf_dir, "documents")
@@ -45,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_shards, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat, op3_shards, op9_quality, op10_byte_bpe)}
 
 
 def all_statements() -> dict[str, str]:
