@@ -62,12 +62,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(doc, F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
 
 
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def map_arrow(
     df: DataFrame, schema: str | T.StructType, fn: Callable[[dict[str, list]], dict[str, list]]
 ) -> DataFrame:
     """`fn` turns the columns of a batch into the columns of `schema`; Spark deals out the batches."""
-    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(kind)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +78,7 @@ def map_arrow(
             columns = [c.cast(f.type) if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, quality, shards
+from tradewind.llm import bpe, chat, chunks, leaks, nearest, quality, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(more), template), template)
 
 
+def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks that an earlier place in the corpus has."""
+    return chunks.dedupe_chunks(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law `rows`: shard sizes differ by one row at most."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +52,16 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the edits between them."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score by a model that never saw the held-out fifth's labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -67,7 +82,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op3_shards, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op5_leaks, op6_nearest, op9_quality, op10_byte_bpe)}
 
 
 def all_statements() -> dict[str, str]:
