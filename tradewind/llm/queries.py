@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, chunks, leaks, nearest, quality, shards
+from tradewind.llm import bpe, chat, chunks, leaks, lines, nearest, quality, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,45 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier place in the corpus has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return kept.select(
+        "doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("removed_lines").alias("n_removed"), sha.alias("kept_sha256")
+    )
+
+
+OP4_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+each AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM split),
+valued AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM each),
+rolled AS (
+  SELECT *, v * 31 + lag(v, 1, CAST('0x' || substr(md5(''), 1, 8) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM valued
+),
+numbered AS (
+  SELECT doc_id, line, i, coalesce(sum(CASE WHEN r % {lines.MEAN} = 0 THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq
+  FROM rolled
+),
+chunk AS (SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM numbered GROUP BY doc_id, seq),
+placed AS (SELECT doc_id, seq, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, seq) AS k FROM chunk),
+marked AS (
+  SELECT l.doc_id, l.line, l.i, p.n >= {lines.LEAST} AND p.k > 1 AS gone
+  FROM numbered l JOIN placed p ON p.doc_id = l.doc_id AND p.seq = l.seq
+),
+done AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the edits between them."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,9 +121,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op5_leaks, op6_nearest, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op9_quality, op10_byte_bpe)}
 
 
 def all_statements() -> dict[str, str]:
     """DuckDB statements of those queries that SQL can express on whole tables."""
-    return {}
+    return {"op4_lines": OP4_SQL}
