@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, chunks, leaks, lines, nearest, quality, shards
+from tradewind.llm import bpe, chat, chunks, leaks, lines, near, nearest, quality, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the class of near duplicates that it belongs to."""
+    return near.class_ids(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score by a model that never saw the held-out fifth's labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -121,7 +126,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op7_near, op9_quality, op10_byte_bpe)}
 
 
 def all_statements() -> dict[str, str]:
