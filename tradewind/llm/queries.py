@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, chunks, leaks, lines, near, nearest, quality, shards
+from tradewind.llm import bpe, chat, chunks, leaks, lines, near, nearest, quality, repeats, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.class_ids(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a string of 200 bytes covers which starts anywhere else too."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score by a model that never saw the held-out fifth's labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -126,7 +131,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op7_near, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op7_near, op8_repeats, op9_quality, op10_byte_bpe)}
 
 
 def all_statements() -> dict[str, str]:
