@@ -287,12 +287,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return stored(components(links.unionByName(more_links)), "near-roots")
 
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """`docs` with `class_node`: equal for near duplicates, and for copies."""
-    node = free_name(docs, "_node")
-    roots = near_classes(docs).withColumnRenamed("node", node)
+def with_class(docs: DataFrame, name: str = "class_node") -> DataFrame:
+    """`docs` with one more column, equal for near duplicates and for copies."""
+    if name in docs.columns:
+        raise ValueError(f"the input already has a column {name}")
+    node, root = free_name(docs, "_node"), free_name(docs, "_root")
+    roots = near_classes(docs).toDF(node, root)
     rows = docs.withColumn(node, F.substring(text_key(), 1, 16))
-    return rows.join(roots, node, "left").withColumn("class_node", F.coalesce("root", node)).drop("root", node)
+    return rows.join(roots, node, "left").withColumn(name, F.coalesce(root, node)).drop(root, node)
 
 
 def class_ids(docs: DataFrame) -> DataFrame:
@@ -308,7 +310,7 @@ def class_ids(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each class the row with the least doc_id; nulls come last, equal ids in any order."""
-    rank = free_name(docs, "_rank")
-    rows = with_class(docs)
-    order = Window.partitionBy("class_node").orderBy(F.col("doc_id").asc_nulls_last())
+    rank, of = free_name(docs, "_rank"), free_name(docs, "_class")
+    rows = with_class(docs, of)
+    order = Window.partitionBy(of).orderBy(F.col("doc_id").asc_nulls_last())
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)

@@ -29,7 +29,8 @@ by_value(__name__)
 BUCKETS = 1 << 15
 RANK = 8
 SAMPLE = 6_000  # labelled rows at most that a model is fitted on
-EPOCHS = 4
+EPOCHS = 4  # passes over the sample, or more, until STEPS batches are done
+STEPS = 300
 THRESHOLD = 0.3
 
 SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[]^_`{|}~", np.uint8)
@@ -144,7 +145,7 @@ def fit(rows: list[tuple[list[int], list[float], list[float]]], labels: list[int
     y = np.array(labels, float)
     seen_bias, seen_linear, seen_factors = 1e-8, np.full(size, 1e-8), np.full((size, RANK), 1e-8)
     rate, decay = 0.1, 1e-5
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * 128 // n))):
         order = rng.permutation(n)
         for at in range(0, n, 128):
             chosen = order[at : at + 128]
