@@ -1,4 +1,4 @@
-"""Choosing how a fact meets a dimension, by the counted size of the dimension."""
+"""Sums of a fact by attributes of a dimension."""
 
 from __future__ import annotations
 
@@ -7,13 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000  # rows of a key and a few short attributes: tens of megabytes
-
-
-def fits_broadcast(slim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `slim`, a key with a few short attributes, is small enough to send to every executor."""
-    return slim.count() <= max_rows
-
 
 def sums_by_attribute(
     fact: DataFrame,
@@ -22,17 +15,12 @@ def sums_by_attribute(
     by: Sequence[str],
     sums: Mapping[str, Column],
     fact_by: Sequence[str] = (),
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Sums of `sums` by attributes of `dimension` (`by`) and of the fact (`fact_by`).
 
-    A dimension counted to be small is broadcast, and the fact is shuffled once, already summed.
-    Beyond that the fact is first summed per key, so that a key with a large share of the rows
-    reaches the join as a few rows.
+    The fact is summed per key before it meets the dimension, so that a key with a large share of the rows reaches the join
+    as a few rows. Whether the dimension is broadcast is left to Spark and its byte limit.
     """
+    per_key = fact.groupBy(key, *fact_by).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     slim = dimension.select(key, *by)
-    totals = [F.sum(c).alias(name) for name, c in sums.items()]
-    if fits_broadcast(slim, max_rows):
-        return fact.join(F.broadcast(slim), key).groupBy(*by, *fact_by).agg(*totals)
-    per_key = fact.groupBy(key, *fact_by).agg(*totals)
     return per_key.join(slim, key).groupBy(*by, *fact_by).agg(*[F.sum(n).alias(n) for n in sums])

@@ -1,12 +1,8 @@
 """Products bought together, with support, confidence and lift. Exact, whatever the basket sizes.
 
-Small baskets are joined with themselves; their size is bounded, so the work grows with the rows.
-A large basket would produce pairs by the square of its size, so it never does that blindly:
-
-* an item bought in fewer than `min_orders` large baskets needs no pairs from them, since such a
-  pair reaches the support only with help from small baskets. Those pairs are known already and are
-  looked up in the at most `min_orders - 1` large baskets of that item;
-* only items shared by at least `min_orders` large baskets are paired inside them, spread over salts.
+A pair needs a share of all baskets (`min_support`, and two baskets at least), and so does each of its items; items below it are
+cut before any pair is made. A basket of n remaining items is joined with itself in ceil(n / CELL) parts, so a basket of any size
+is spread over tasks by its own size and a small one is not copied at all.
 """
 
 from __future__ import annotations
@@ -15,83 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import ratio
-from tradewind.session import run_path
 
-SMALL_BASKET = 64
-SALTS = 32
+MIN_SUPPORT = 0.0001  # share of baskets that a pair is in
+CELL = 64
 
 
-def _pairs(baskets: DataFrame, salts: int = 1) -> DataFrame:
+def _pairs(baskets: DataFrame) -> DataFrame:
     """(a, b) with a < b → number of baskets with both."""
-    left = baskets.select("order_id", F.col("product_id").alias("a"))
-    right = baskets.select("order_id", F.col("product_id").alias("b"))
-    on = ["order_id"]
-    if salts > 1:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = ["order_id", "salt"]
-    return left.join(right, on).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
-def _looked_up(pairs: DataFrame, large: DataFrame, rare: DataFrame) -> DataFrame:
-    """How many large baskets hold each known pair that has a rare item."""
-    at = rare.select(F.col("product_id").alias("item"), F.col("order_id").alias("at_order"))
-    rare_items = at.select("item").distinct()
-    # A pair goes by its rare item; by `a` if both are rare, so it is counted once.
-    by_a = pairs.join(rare_items, pairs["a"] == F.col("item"), "left_semi").selectExpr(
-        "a", "b", "a as item", "b as other"
-    )
-    by_b = (
-        pairs.join(rare_items, pairs["a"] == F.col("item"), "left_anti")
-        .join(rare_items, F.col("b") == F.col("item"), "left_semi")
-        .selectExpr("a", "b", "b as item", "a as other")
-    )
-    held = by_a.unionByName(by_b).join(at, "item")
-    members = large.select(F.col("order_id").alias("m_order"), F.col("product_id").alias("m_item"))
-    return (
-        held.join(members, (F.col("at_order") == F.col("m_order")) & (F.col("other") == F.col("m_item")), "left_semi")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def _counted(kept: DataFrame, min_orders: int, small_basket: int, salts: int) -> DataFrame:
-    """(a, b) → baskets with both, over all baskets."""
-    sizes = kept.groupBy("order_id").agg(F.count("*").alias("size"))
-    large_ids = sizes.filter(F.col("size") > small_basket).select("order_id")
-    if large_ids.isEmpty():
-        return _pairs(kept)
-    known = _pairs(kept.join(large_ids, "order_id", "left_anti"))
-    large = kept.join(large_ids, "order_id", "left_semi")
-    in_large = large.groupBy("product_id").agg(F.count("*").alias("n_large"))
-    shared_items = in_large.filter(F.col("n_large") >= min_orders).select("product_id")
-    rare_items = in_large.filter(F.col("n_large") < min_orders).select("product_id")
-    shared = large.join(shared_items, "product_id", "left_semi")
-    rare = large.join(rare_items, "product_id", "left_semi")
-    parts = known.unionByName(_pairs(shared, salts)).unionByName(_looked_up(known, large, rare))
-    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def mart_product_affinity(
-    fct_items: DataFrame, min_orders: int = 2, small_basket: int = SMALL_BASKET, salts: int = SALTS
-) -> DataFrame:
-    """Pairs found together in at least `min_orders` baskets.
-
-    The distinct baskets are used several times, so they are written to the shared folder first.
-    """
-    spark = fct_items.sparkSession
-    path = run_path(spark, "baskets")
-    distinct = fct_items.select("order_id", "product_id").distinct()
-    distinct.write.parquet(path)
-    baskets = spark.read.schema(distinct.schema).parquet(path)
+    sizes = baskets.groupBy("order_id").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    spread = baskets.join(sizes, "order_id")
+    left = spread.select("order_id", F.col("product_id").alias("a"), F.pmod(F.xxhash64("product_id"), "parts").cast("int").alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    right = spread.select("order_id", F.col("product_id").alias("b"), every)
+    return left.join(right, ["order_id", "part"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
-    support = baskets.groupBy("product_id").agg(F.count("*").alias("n_orders"))
-    # A pair is never more frequent than its rarer item.
-    often = support.filter(F.col("n_orders") >= min_orders).select("product_id")
-    kept = baskets.join(often, "product_id", "left_semi")
-    pairs = _counted(kept, min_orders, small_basket, salts).filter(F.col("n") >= min_orders)
 
+def mart_product_affinity(fct_items: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """Pairs found together in at least a share of `min_support` of the baskets, and in two."""
+    baskets = fct_items.select("order_id", "product_id").distinct()
     total = baskets.agg(F.countDistinct("order_id")).scalar()
+    least = F.greatest(F.lit(2), F.ceil(total * F.lit(min_support)))
+    support = baskets.groupBy("product_id").agg(F.count("*").alias("n_orders")).filter(F.col("n_orders") >= least)
+    kept = baskets.join(support.select("product_id"), "product_id", "left_semi")
+    pairs = _pairs(kept).filter(F.col("n") >= least)
     na = support.select(F.col("product_id").alias("a"), F.col("n_orders").alias("n_a"))
     nb = support.select(F.col("product_id").alias("b"), F.col("n_orders").alias("n_b"))
     return (

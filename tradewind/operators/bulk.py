@@ -31,13 +31,28 @@ def _tax(base: Column) -> Column:
     return F.bround(base * F.lit(TAX_RATE), 2).cast(AMOUNT)
 
 
+def _codes(order_promos: DataFrame) -> DataFrame:
+    """One row per order with a code: the code, and how many different ones it has."""
+    return order_promos.filter("code is not null").groupBy("order_id").agg(
+        F.min("code").alias("code"), F.countDistinct("code").alias("n_codes")
+    )
+
+
+def _active(promotions: DataFrame) -> DataFrame:
+    """Active promotions by code, and how many share it."""
+    return promotions.filter("is_active").groupBy("code").agg(
+        F.min(F.struct("kind", "value")).alias("p"), F.count("*").alias("n_promos")
+    )
+
+
 def order_pricing(
     lines: DataFrame, products: DataFrame, order_promos: DataFrame, promotions: DataFrame
 ) -> DataFrame:
-    """Totals of every order that may be placed: all products active, promotion code valid.
+    """Totals of every order that may be placed: all products active, one promotion code at most and that valid.
 
     `lines`: order_id, product_id, quantity. `order_promos`: order_id, code (orders without a code
-    may be absent). Lines collapse to order and product before they meet the catalog.
+    may be absent). A code that several active promotions share is not valid. Lines collapse to order and product before
+    they meet the catalog.
     """
     wanted = lines.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
     p = products.select(F.col("id").alias("product_id"), "price", "is_active")
@@ -51,12 +66,11 @@ def order_pricing(
         )
         .filter("rejected = 0")
     )
-    active = promotions.filter("is_active").select("code", "kind", "value")
-    coded = order_promos.filter("code is not null").select("order_id", "code").distinct()
+    active = _active(promotions).filter("n_promos = 1").select("code", "p.*")
     priced = (
-        per_order.join(coded, "order_id", "left")
+        per_order.join(_codes(order_promos), "order_id", "left")
         .join(active, "code", "left")
-        .filter("code is null or kind is not null")
+        .filter("code is null or (n_codes = 1 and kind is not null)")
     )
     percent = F.bround(F.col("subtotal") * F.col("value") * F.lit(0.01).cast("decimal(3,2)"), 2)
     discount = (
@@ -95,12 +109,16 @@ def order_rejects(
             F.when(F.col("is_active").isNull(), "missing_product").otherwise("inactive_product").alias("reason"),
         )
     )
-    valid = promotions.filter("is_active").select("code")
+    why = (
+        F.when(F.col("n_codes") > 1, "several_codes")
+        .when(F.col("n_promos").isNull(), "invalid_promo")
+        .when(F.col("n_promos") > 1, "ambiguous_promo")
+    )
     bad_codes = (
-        order_promos.filter("code is not null")
-        .join(valid, "code", "left_anti")
-        .select("order_id", F.lit(None).cast("long").alias("product_id"), F.lit("invalid_promo").alias("reason"))
-        .distinct()
+        _codes(order_promos)
+        .join(_active(promotions), "code", "left")
+        .select("order_id", F.lit(None).cast("long").alias("product_id"), why.alias("reason"))
+        .filter("reason is not null")
     )
     return bad_lines.unionByName(bad_codes)
 
@@ -231,49 +249,64 @@ def order_audit(orders: DataFrame, order_items: DataFrame, payments: DataFrame)
 # ---- data checks -----------------------------------------------------------------------------------
 
 
-def _one_row(check: str, table: str, bad: DataFrame, count: Column | None = None) -> DataFrame:
-    n = F.count("*") if count is None else F.coalesce(F.sum(count), F.lit(0))
-    return bad.agg(n.cast("long").alias("n_bad")).select(
-        F.lit(check).alias("check"), F.lit(table).alias("table"), "n_bad"
-    )
+# (kind, table, column, parent table or accepted values)
+CHECKS: tuple[tuple[str, str, str, object], ...] = (
+    ("unique", "orders", "order_number", None),
+    ("unique", "products", "sku", None),
+    ("unique", "promotions", "code", None),
+    ("unique", "payments", "order_id", None),
+    ("fk", "orders", "customer_id", "customers"),
+    ("fk", "order_items", "order_id", "orders"),
+    ("fk", "order_items", "product_id", "products"),
+    ("fk", "order_items", "variant_id", "product_variants"),
+    ("fk", "product_variants", "product_id", "products"),
+    ("fk", "promotion_redemptions", "order_id", "orders"),
+    ("accepted", "orders", "status", ORDER_STATUSES),
+    ("accepted", "carts", "status", CART_STATUSES),
+    ("accepted", "product_events", "event_type", EVENT_TYPES),
+)
+
 
+def dq_checks(t: Mapping[str, DataFrame], checks: Sequence[tuple[str, str, str, object]] = CHECKS) -> DataFrame:
+    """Uniqueness (values that occur more than once), references (rows that point at nothing) and accepted values.
 
-def duplicates(df: DataFrame, table: str, column: str) -> DataFrame:
-    """Values that occur more than once."""
-    repeated = df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1")
-    return _one_row(f"unique {column}", table, repeated)
-
-
-def orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, key: str = "id") -> DataFrame:
-    """Rows that point at nothing. Rows collapse per key before the join, so a hot key costs one row."""
-    per_key = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_fk")).agg(F.count("*").alias("n"))
-    bad = per_key.join(parent.select(F.col(key).alias("_fk")), "_fk", "left_anti")
-    return _one_row(f"fk {fk}", table, bad, F.col("n"))
-
-
-def unaccepted(df: DataFrame, table: str, column: str, accepted: Sequence[str]) -> DataFrame:
-    bad = df.filter(F.col(column).isNull() | ~F.col(column).isin(*accepted))
-    return _one_row(f"accepted {column}", table, bad)
-
-
-def dq_checks(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Uniqueness, references and accepted values across the shop's tables."""
-    checks = [
-        duplicates(t["orders"], "orders", "order_number"),
-        duplicates(t["products"], "products", "sku"),
-        duplicates(t["promotions"], "promotions", "code"),
-        duplicates(t["payments"], "payments", "order_id"),
-        orphans(t["orders"], "orders", "customer_id", t["customers"]),
-        orphans(t["order_items"], "order_items", "order_id", t["orders"]),
-        orphans(t["order_items"], "order_items", "product_id", t["products"]),
-        orphans(t["order_items"], "order_items", "variant_id", t["product_variants"]),
-        orphans(t["product_variants"], "product_variants", "product_id", t["products"]),
-        orphans(t["promotion_redemptions"], "promotion_redemptions", "order_id", t["orders"]),
-        unaccepted(t["orders"], "orders", "status", ORDER_STATUSES),
-        unaccepted(t["carts"], "carts", "status", CART_STATUSES),
-        unaccepted(t["product_events"], "product_events", "event_type", EVENT_TYPES),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    Every table is read once for all its checks and once more if others refer to it. Rows collapse to a count per checked value
+    before anything is joined, so a hot key costs one row.
+    """
+    spark = next(iter(t.values())).sparkSession
+    numbered = list(enumerate(checks))
+    counted = None
+    for table in dict.fromkeys(c[1] for c in checks):
+        values = [
+            F.struct(F.lit(i).alias("i"), F.col(column).cast("string").alias("value"))
+            for i, (_, of, column, _) in numbered
+            if of == table
+        ]
+        rows = t[table].select(F.explode(F.array(*values)).alias("c")).groupBy("c.i", "c.value").agg(F.count("*").alias("n"))
+        counted = rows if counted is None else counted.unionByName(rows)
+    of_kind = lambda kind: [i for i, c in numbered if c[0] == kind]
+    is_in = lambda kind: F.col("i").isin(*of_kind(kind)) if of_kind(kind) else F.lit(False)
+
+    repeated = counted.filter(is_in("unique") & (F.col("n") > 1)).select("i", F.lit(1).cast("long").alias("n"))
+    refused = F.lit(False)
+    for i in of_kind("accepted"):
+        wrong = F.col("value").isNull() | ~F.col("value").isin(*checks[i][3])
+        refused = refused | ((F.col("i") == i) & wrong)
+    bad = repeated.unionByName(counted.filter(refused).select("i", "n"))
+
+    parents = None
+    for parent in dict.fromkeys(checks[i][3] for i in of_kind("fk")):
+        ids = t[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("value"))
+        parents = ids if parents is None else parents.unionByName(ids)
+    if parents is not None:
+        parent_of = F.element_at(F.create_map(*[F.lit(x) for i in of_kind("fk") for x in (i, checks[i][3])]), F.col("i"))
+        refs = counted.filter(is_in("fk") & F.col("value").isNotNull()).withColumn("parent", parent_of)
+        bad = bad.unionByName(refs.join(parents, ["parent", "value"], "left_anti").select("i", "n"))
+
+    names = spark.createDataFrame(
+        [(i, f"{kind} {column}", table) for i, (kind, table, column, _) in numbered],
+        "i int, check string, table string",
+    )
+    return names.join(bad.groupBy("i").agg(F.sum("n").alias("n")), "i", "left").select(
+        "check", "table", F.coalesce("n", F.lit(0)).cast("long").alias("n_bad")
+    )

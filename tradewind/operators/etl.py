@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import col, date_lit, ts_lit
 from tradewind.session import run_path
-from tradewind.sources.tables import DATE_PARTITION, read_jsonl, write_entity, write_jsonl
+from tradewind.sources.tables import DATE_PARTITION, partition_date, read_jsonl, write_entity, write_jsonl
 
 PULL_HOURS = 2  # fixed value: the hourly pull looks back two hours, so pulls overlap
 
@@ -70,15 +70,26 @@ def full_refresh(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The table at `path` with the columns of `like`, or None if there is none yet."""
     try:
-        stored = spark.read.parquet(path)
+        found = spark.read.parquet(path)
     except AnalysisException as e:
         # Only a table that is not there yet counts as absent; any other trouble stops the load.
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return stored.select(*like.columns)
+    found.select(*like.columns)  # a table that lost a column is refused
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def _remove_partitions(spark: SparkSession, path: str, days: Sequence[date | None]) -> None:
+    """Delete date partitions that hold no row any more; the file system is the table's own."""
+    jvm = spark._jvm
+    for day in days:
+        name = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{DATE_PARTITION}={name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def load_fact(
@@ -88,22 +99,41 @@ def load_fact(
     time_column: str,
     pk: Sequence[str] = ("id",),
     newest: Sequence[str] = ("_ingested_at",),
-) -> None:
+    grain: str = "DAY",
+) -> DataFrame:
     """Merge a pull into its date partitions: same pull twice, same table.
 
-    Only touched dates are read and replaced. The merged rows are staged in the shared folder first,
-    so a failed run leaves the table as it was.
+    Touched are the dates of the pull and the dates under which its keys are stored already, so a row whose time moved
+    leaves its old date. Rows without a time have a partition of their own and are matched like any other. Only touched
+    partitions are replaced, and of the others only keys are read. The merged rows are staged in the shared folder first, so a
+    failed run leaves the table as it was or is mended by the next. A table that is reloaded over years
+    may be cut by a coarser `grain` (MONTH). Returns the touched partitions.
     """
     spark = incoming.sparkSession
-    dated = incoming.withColumn(DATE_PARTITION, F.to_date(time_column))
-    stored = _stored(spark, path, dated)
-    merged = dated
-    if stored is not None:
-        touched = dated.select(DATE_PARTITION).distinct()
-        merged = dated.unionByName(stored.join(touched, DATE_PARTITION, "left_semi"))
+    day = partition_date(time_column, grain)
+    dated = incoming.withColumn(DATE_PARTITION, day)
     stage = run_path(spark, f"stage-{entity}")
-    dedupe_latest(merged.drop(DATE_PARTITION), pk, newest).write.parquet(stage)
-    write_entity(spark.read.schema(incoming.schema).parquet(stage), entity, path)
+    stored = stored_table(spark, path, dated)
+    if stored is None:
+        dedupe_latest(incoming, pk, newest).write.parquet(stage)
+        rows = spark.read.schema(incoming.schema).parquet(stage)
+        write_entity(rows, entity, path, grain=grain)
+        return rows.select(day.alias(DATE_PARTITION)).distinct()
+    held = stored.join(dated.select(*pk).distinct(), list(pk), "left_semi").select(DATE_PARTITION)
+    days = dated.select(DATE_PARTITION).unionByName(held).distinct()
+    days.write.parquet(f"{stage}-days")
+    days = spark.read.schema(days.schema).parquet(f"{stage}-days")
+    touched = days.select(F.col(DATE_PARTITION).alias("_touched"))
+    within = stored.join(touched, F.col(DATE_PARTITION).eqNullSafe(F.col("_touched")), "left_semi")
+    merged = dated.unionByName(within).drop(DATE_PARTITION)
+    dedupe_latest(merged, pk, newest).write.parquet(stage)
+    rows = spark.read.schema(incoming.schema).parquet(stage)
+    before = within.select(DATE_PARTITION).distinct()
+    after = rows.select(day.alias("_after")).distinct()
+    emptied = before.join(after, F.col(DATE_PARTITION).eqNullSafe(F.col("_after")), "left_anti").collect()  # dates only
+    write_entity(rows, entity, path, grain=grain)
+    _remove_partitions(spark, path, [r[DATE_PARTITION] for r in emptied])
+    return days
 
 
 def bootstrap(tables: Mapping[str, DataFrame], root: str, ingested_at: datetime) -> dict[str, int]:
@@ -133,20 +163,17 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def reconcile(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
     """Row counts per date on both sides; a date missing on one side counts zero there."""
-    def per_day(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.to_date(column).alias("date")).agg(F.count("*").alias(name))
-
-    n_source, n_target = F.coalesce("n_source", F.lit(0)), F.coalesce("n_target", F.lit(0))
-    return (
-        per_day(source, "n_source")
-        .join(per_day(target, "n_target"), "date", "full")
-        .select(
-            "date",
-            n_source.alias("n_source"),
-            n_target.alias("n_target"),
-            (n_source - n_target).alias("drift"),
-            (n_source != n_target).alias("is_drift"),
+    def per_day(df: DataFrame, source: int) -> DataFrame:
+        return df.groupBy(F.to_date(column).alias("date")).agg(
+            (F.count("*") * source).alias("n_source"), (F.count("*") * (1 - source)).alias("n_target")
         )
+
+    # Rows without a date are a date of their own, so both sides are added up rather than joined.
+    both = per_day(source, 1).unionByName(per_day(target, 0)).groupBy("date")
+    return both.agg(F.sum("n_source").alias("n_source"), F.sum("n_target").alias("n_target")).select(
+        "*",
+        (F.col("n_source") - F.col("n_target")).alias("drift"),
+        (F.col("n_source") != F.col("n_target")).alias("is_drift"),
     )
 
 

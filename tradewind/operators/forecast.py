@@ -390,9 +390,10 @@ def write_forecast(forecast: DataFrame, path: str, run_at: datetime) -> None:
     (
         forecast.withColumn("model_run_at", F.lit(run_at.isoformat(sep=" ")).cast("timestamp"))
         .withColumn("model_run", F.lit(run_at.strftime("%Y%m%dT%H%M%S")))
+        .hint("rebalance", "model_run")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("model_run", "forecast_date")
+        .partitionBy("model_run")
         .parquet(path)
     )
 
@@ -415,7 +416,8 @@ def forecast_cover(
         dim_product.filter("category_name is not null").select("product_id", "sku", "category_name"), "product_id"
     )
     category = named.groupBy("category_name").agg(F.sum("revenue").alias("category_revenue"))
-    running = F.sum(F.col("yhat").cast("decimal(18,2)")).over(
+    # A forecast below zero sells nothing; so totals never fall, and the first day past the stock is the last covered.
+    running = F.sum(F.greatest(F.col("yhat"), F.lit(0.0)).cast("decimal(18,2)")).over(
         Window.partitionBy("category_name").orderBy("forecast_date")
     )
     ahead = (

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 def stock_running(moves: DataFrame) -> DataFrame:
     """Stock on hand after each moment a variant moved in a warehouse.
 
-    Moves of the same moment collapse first. Totals per hour are run up per key; inside an hour the
-    running sum starts from the total before it. A busy variant is spread over its hours.
+    Moves of the same moment collapse first. Totals per month are run up per key and are small; inside a month the running sum
+    starts from the total before it. A busy variant is spread over its months.
     """
     keys = ["variant_id", "warehouse_code"]
     moments = moves.groupBy(*keys, "occurred_at").agg(F.sum("delta").alias("delta"))
     # Never null, so both uses of `moments` below plan alike and share one shuffle.
-    hour = F.coalesce(F.date_trunc("HOUR", "occurred_at"), F.lit("1970-01-01").cast("timestamp_ntz").cast("timestamp"))
-    moments = moments.withColumn("hour", hour)
-    hours = moments.groupBy(*keys, "hour").agg(F.sum("delta").alias("hour_delta"))
-    upto = F.sum("hour_delta").over(Window.partitionBy(*keys).orderBy("hour"))
-    opening = hours.select(*keys, "hour", (upto - F.col("hour_delta")).alias("opening"))
-    inside = F.sum("delta").over(Window.partitionBy(*keys, "hour").orderBy("occurred_at"))
-    return moments.join(opening, [*keys, "hour"]).select(
+    month = F.coalesce(F.date_trunc("MONTH", "occurred_at"), F.lit("1970-01-01").cast("timestamp_ntz").cast("timestamp"))
+    moments = moments.withColumn("month", month)
+    months = moments.groupBy(*keys, "month").agg(F.sum("delta").alias("month_delta"))
+    upto = F.sum("month_delta").over(Window.partitionBy(*keys).orderBy("month"))
+    opening = months.select(*keys, "month", (upto - F.col("month_delta")).alias("opening"))
+    inside = F.sum("delta").over(Window.partitionBy(*keys, "month").orderBy("occurred_at"))
+    return moments.join(opening, [*keys, "month"]).select(
         *keys, "occurred_at", "delta", (F.col("opening") + inside).alias("on_hand")
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tradewind.operators.forecast import COLD_START_WIDENING
 from tradewind.oracle.entities import with_entities
+from tradewind.schemas import ENTITIES
 
 _RAW: dict[str, str] = {}
 
@@ -43,7 +45,8 @@ SELECT * FROM (
   UNION ALL SELECT 'carts', id, created_at FROM e_carts
   UNION ALL SELECT 'product_events', id, occurred_at FROM e_product_events
   UNION ALL SELECT 'inventory_levels', id, updated_at FROM e_inventory_levels
-  UNION ALL SELECT 'promotion_redemptions', id, redeemed_at FROM e_promotion_redemptions)
+  UNION ALL SELECT 'promotion_redemptions', id, redeemed_at FROM e_promotion_redemptions
+  UNION ALL SELECT 'stock_movements', variant_id, occurred_at FROM e_stock_movements)
 WHERE changed_at >= TIMESTAMP '2001-07-31 21:59:59'"""
 
 _RAW["etl_incremental_items"] = f"""
@@ -58,13 +61,31 @@ _RAW["stg_dedupe"] = f"""
 SELECT id, customer_id, status, {_d('grand_total')} AS grand_total, placed_at,
        placed_at + to_hours(2) AS _ingested_at FROM e_orders"""
 
+_TABLES = [n for n in ENTITIES if n not in ("addresses", "demand_forecast")]
 _RAW["etl_bootstrap_counts"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS \"table\", {_b('count(*)')} AS n_rows FROM e_{t}"
-    for t in (
-        "categories customers products product_variants orders order_items carts cart_items inventory_levels"
-        " stock_movements product_events promotions promotion_redemptions page_views payments shipments"
-    ).split()
+    f"SELECT '{t}' AS \"table\", {_b('count(*)')} AS n_rows FROM e_{t}" for t in _TABLES
 )
+_RAW["etl_bootstrap"] = f"SELECT * FROM ({_RAW['etl_bootstrap_counts']}) WHERE n_rows > 0"
+
+_RAW["etl_full_refresh_all"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", {_b('count(*)')} AS n_rows, {_b('sum(id)')} AS id_sum FROM e_{t}"
+    for t in ("categories", "products", "product_variants", "promotions")
+)
+
+_PULL = f"""SELECT id, customer_id, status, channel, {_d('grand_total')} AS grand_total,
+       CASE WHEN id % 50 <> 0 THEN placed_at END AS placed_at FROM e_orders"""
+_RAW["etl_load_twice"] = _PULL
+
+_FIXED = f"""{_PULL} WHERE id % 10 <> 0
+UNION ALL SELECT id, customer_id, 'refunded', channel, {_d('grand_total')},
+       CASE WHEN id % 20 = 10 THEN placed_at + INTERVAL 3 DAY WHEN id % 40 <> 0 THEN placed_at END
+FROM e_orders WHERE id % 10 = 0"""
+_RAW["etl_load_corrections"] = _FIXED
+
+_RAW["etl_reconcile_stored"] = f"""
+SELECT CAST(placed_at AS DATE) AS date, {_b('count(*)')} AS n_source, {_b('count(*) FILTER (id % 97 <> 0)')} AS n_target,
+       {_b('count(*) FILTER (id % 97 = 0)')} AS drift, count(*) FILTER (id % 97 = 0) > 0 AS is_drift
+FROM ({_PULL}) GROUP BY 1"""
 
 _RAW["etl_reconcile"] = f"""
 SELECT CAST(placed_at AS DATE) AS date, {_b('count(*)')} AS n_source, {_b('count(paid_at)')} AS n_target,
@@ -82,6 +103,30 @@ versions AS (SELECT product_id, CAST(price AS DOUBLE) AS price, CAST(cost AS DOU
 
 _RAW["scd2_product"] = f"WITH {_SCD2} SELECT * FROM versions"
 
+
+def _versions(snapshots: str, key: str, tracked: tuple[str, ...]) -> str:
+    before = ", ".join(f"lag({c}) OVER w AS old_{c}" for c in tracked)
+    changed = " OR ".join(f"{c} IS DISTINCT FROM old_{c}" for c in tracked)
+    return f"""
+WITH snap AS ({snapshots}),
+flagged AS (SELECT *, {before}, row_number() OVER w AS rn FROM snap WINDOW w AS (PARTITION BY {key} ORDER BY d)),
+starts AS (SELECT * FROM flagged WHERE rn = 1 OR {changed})
+SELECT {key}, {', '.join(tracked)}, d AS valid_from, lead(d) OVER (PARTITION BY {key} ORDER BY d) AS valid_to FROM starts"""
+
+
+_RAW["scd2_product_band"] = _versions(
+    f"""SELECT product_id, CAST(date_trunc('month', order_date) AS DATE) AS d,
+               CAST(trunc(max(unit_price)) AS BIGINT) // 500 * 500 AS band FROM e_fct_items GROUP BY 1, 2""",
+    "product_id",
+    ("band",),
+)
+_RAW["scd2_customer"] = _versions(
+    """SELECT customer_id, CAST(date_trunc('month', placed_at) AS DATE) AS d, arg_max(channel, (placed_at, id)) AS channel,
+              arg_max(device_type, (placed_at, id)) AS device_type FROM e_orders GROUP BY 1, 2""",
+    "customer_id",
+    ("channel", "device_type"),
+)
+
 _RAW["catalog_as_of"] = f"""WITH {_SCD2}
 SELECT * FROM versions
 WHERE valid_from <= DATE '2000-01-01' AND (valid_to IS NULL OR valid_to > DATE '2000-01-01')"""
@@ -363,7 +408,8 @@ _RAW["mart_product_affinity"] = f"""
 WITH b AS (SELECT DISTINCT order_id, product_id FROM e_fct_items),
 s AS (SELECT product_id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS n FROM b x JOIN b y
-      ON x.order_id = y.order_id AND x.product_id < y.product_id GROUP BY 1, 2 HAVING count(*) >= 2),
+      ON x.order_id = y.order_id AND x.product_id < y.product_id GROUP BY 1, 2
+      HAVING count(*) >= greatest(2, ceil((SELECT count(DISTINCT order_id) FROM b) * 0.0001::DOUBLE))),
 t AS (SELECT count(DISTINCT order_id) AS n FROM b)
 SELECT p.a AS product_a, p.b AS product_b, {_b('p.n')} AS orders_together, {_ratio('p.n', 't.n')} AS support,
        {_ratio('p.n', 'sa.n')} AS confidence_a_to_b, {_ratio('p.n', 'sb.n')} AS confidence_b_to_a,
@@ -739,7 +785,7 @@ sold AS (SELECT i.product_id, p.sku, p.category_name, sum(quantity) AS units, su
          FROM e_fct_items i JOIN e_dim_product p USING (product_id)
          WHERE order_date BETWEEN {DAY} - 84 AND {DAY} GROUP BY 1, 2, 3),
 cat AS (SELECT category_name, sum(rev) AS crev FROM sold GROUP BY 1),
-run AS (SELECT category_name, {_d('sum(CAST(yhat AS DECIMAL(18,2))) OVER (PARTITION BY category_name ORDER BY forecast_date)')}
+run AS (SELECT category_name, {_d('sum(CAST(greatest(yhat, 0.0::DOUBLE) AS DECIMAL(18,2))) OVER (PARTITION BY category_name ORDER BY forecast_date)')}
           AS cum FROM forecast WHERE category_name <> '__total__'),
 stock AS (SELECT v.product_id, sum(on_hand) AS on_hand FROM e_inventory_levels il
           JOIN e_product_variants v ON v.id = il.variant_id GROUP BY 1),
@@ -872,6 +918,56 @@ _RAW["dq_checks"] = "\nUNION ALL\n".join([
 ])
 
 
+_CATALOG = f"SELECT id, sku, name, brand, {_d('price')} AS price FROM e_products WHERE is_active"
+_RAW["catalog_by_category"] = f"""{_CATALOG}
+ AND category_id = (SELECT id FROM e_categories ORDER BY name LIMIT 1) ORDER BY id LIMIT 20"""
+_RAW["featured_products"] = f"{_CATALOG} ORDER BY id LIMIT 8"
+
+_CODES = """
+codes AS (SELECT r.order_id, CASE WHEN r.order_id % 150 = 1 THEN 'NOPE' ELSE p.code END AS code
+          FROM e_promotion_redemptions r JOIN e_promotions p ON p.id = r.promotion_id
+          UNION ALL SELECT order_id, 'SECOND' FROM e_promotion_redemptions WHERE order_id % 150 = 0),
+per AS (SELECT order_id, min(code) AS code, count(DISTINCT code) AS n FROM codes GROUP BY 1),
+why AS (SELECT order_id, CASE WHEN n > 1 THEN 'several_codes' WHEN code = 'BFCM30' THEN 'ambiguous_promo'
+                              WHEN code NOT IN (SELECT code FROM e_promotions) THEN 'invalid_promo' END AS reason FROM per)"""
+_RAW["order_rejects_codes"] = f"WITH {_CODES} SELECT order_id, reason FROM why WHERE reason IS NOT NULL"
+_RAW["order_pricing_codes"] = f"""WITH {_CODES}
+SELECT * FROM ({_RAW['order_pricing']}) WHERE order_id NOT IN (SELECT order_id FROM why WHERE reason IS NOT NULL)"""
+
+# ---- scores and bounds -------------------------------------------------------------------------------
+
+_WEEK = f"""
+pairs AS (SELECT s.category_name, s.date, {_d('s.revenue')} AS y, {_d('b.revenue')} AS yhat
+          FROM series s JOIN series b ON b.category_name = s.category_name AND s.date = b.date + 7)"""
+_RAW["forecast_errors"] = f"""WITH {_SERIES}, {_WEEK}
+SELECT category_name, {_b('count(*)')} AS n_test, round(avg(abs(y - yhat) / NULLIF(y, 0)), 4) AS mape,
+       round(avg(CASE WHEN y >= yhat * 0.5::DOUBLE AND y <= yhat * 1.5::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS coverage_80
+FROM pairs GROUP BY 1"""
+_RAW["forecast_alert"] = f"""WITH {_SERIES}, {_WEEK},
+months AS (SELECT category_name, CAST(date_trunc('month', date) AS DATE) AS model_run_at,
+                  round(avg(abs(y - yhat) / NULLIF(y, 0)), 4) AS mape FROM pairs GROUP BY 1, 2),
+aimed AS (SELECT *, CASE WHEN category_name = '__total__' THEN 0.1::DOUBLE ELSE 0.18::DOUBLE END AS target FROM months),
+over_ AS (SELECT *, mape > target AS is_over FROM aimed)
+SELECT *, is_over AND coalesce(lag(is_over) OVER (PARTITION BY category_name ORDER BY model_run_at), false) AS is_alert FROM over_"""
+_RAW["cold_start"] = f"""WITH {_SERIES},
+short AS (SELECT category_name, avg({_d('revenue')}) AS m, stddev_pop({_d('revenue')}) AS sp, max(date) AS last, count(*) AS n
+          FROM series WHERE date > {DAY} - 20 GROUP BY 1 HAVING count(*) < 60),
+half AS (SELECT *, sp * ({_Z} * {COLD_START_WIDENING}::DOUBLE) AS h FROM short)
+SELECT category_name, CAST(last + CAST(k AS INTEGER) AS DATE) AS forecast_date, round(m, 2) AS yhat,
+       round(m - h, 2) AS yhat_lower, round(m + h, 2) AS yhat_upper
+FROM half, (SELECT unnest(generate_series(1, 30)) AS k)"""
+_RAW["forecast_runs"] = f"""WITH {_BASE}
+SELECT forecast.*, run AS model_run FROM forecast, (SELECT unnest(['20010731T235959', '20010801T235959']) AS run)"""
+_RAW["forecast_files"] = f"""WITH {_BASE}
+SELECT *, 'csv' AS file FROM forecast UNION ALL SELECT *, 'json' FROM forecast WHERE category_name = '__total__'"""
+
+_RAW["rollup_unique_bounds"] = f"""
+SELECT channel, {_b('count(DISTINCT customer_id)')} AS unique_customers, true AS within_bound
+FROM e_orders WHERE status <> 'cancelled' GROUP BY 1"""
+_RAW["churn_score_bounds"] = f"""
+SELECT {_b('count(DISTINCT customer_id)')} AS buyers, {_b('count(*)')} AS orders, true AS in_range
+FROM e_fct_orders WHERE rec AND order_date <= {DAY} AND customer_id IS NOT NULL"""
+
 # ---- streams ----------------------------------------------------------------------------------------
 
 _RAW["stream_ingest"] = f"""
@@ -903,7 +999,29 @@ FROM e_carts c JOIN e_orders o ON o.customer_id = c.customer_id
  AND o.placed_at BETWEEN c.created_at AND c.created_at + INTERVAL 24 HOUR"""
 
 _RAW["stream_stock_totals"] = f"""
-SELECT variant_id, 'MAIN' AS warehouse_code, {_b('-sum(quantity)')} AS on_hand FROM e_order_items GROUP BY 1"""
+SELECT l.variant_id, l.warehouse_code, {_b("l.on_hand - coalesce(s.sold, 0)")} AS on_hand FROM e_inventory_levels l
+LEFT JOIN (SELECT variant_id, 'MAIN' AS warehouse_code, sum(quantity) AS sold FROM e_order_items GROUP BY 1) s
+  ON s.variant_id = l.variant_id AND s.warehouse_code = l.warehouse_code"""
+
+_RAW["stream_sliding_revenue"] = f"""
+WITH r AS (SELECT placed_at, grand_total FROM e_orders WHERE {_REC}),
+w AS (SELECT date_trunc('day', placed_at) - to_days(CAST(k AS INTEGER)) AS start, grand_total
+      FROM r, (SELECT unnest(generate_series(0, 6)) AS k))
+SELECT start, start + INTERVAL 7 DAY AS "end", {_d('sum(grand_total)')} AS revenue, {_b('count(*)')} AS orders FROM w
+GROUP BY 1
+HAVING start + INTERVAL 7 DAY <= (SELECT date_trunc('milliseconds', max(placed_at)) - INTERVAL 2 HOUR FROM r)"""
+
+_RAW["stream_daily_revenue"] = f"""
+SELECT CAST(placed_at AS DATE) AS date, {_d('sum(CAST(grand_total AS DECIMAL(18,2)))')} AS revenue, {_b('count(*)')} AS orders
+FROM ({_FIXED}) WHERE {_REC} AND placed_at IS NOT NULL GROUP BY 1"""
+
+_LATE = f"""
+late AS (SELECT CAST(occurred_at AS DATE) AS date, {_b('count(*)')} AS n_stored,
+                {_b('count(*) FILTER (id % 13 <> 0)')} AS n_streamed FROM e_product_events GROUP BY 1)"""
+_RAW["late_report"] = f"WITH {_LATE} SELECT *, n_stored - n_streamed AS dropped FROM late"
+_RAW["late_repair"] = f"""WITH {_LATE}
+SELECT CAST(occurred_at AS DATE) AS date, event_type, {_b('count(*)')} AS n FROM e_product_events
+WHERE CAST(occurred_at AS DATE) IN (SELECT date FROM late WHERE n_stored <> n_streamed) GROUP BY 1, 2"""
 
 
 def all_statements() -> dict[str, str]:

@@ -24,7 +24,6 @@ from tradewind.functions.exprs import (
 )
 from tradewind.functions.money import cents, exact_share, money, sum_cents, sum_money
 from tradewind.functions.predicates import reached_checkout
-from tradewind.functions.quantiles import group_quantiles
 from tradewind.functions.sizing import sums_by_attribute
 from tradewind.plans.dims_facts import calendar
 
@@ -482,22 +481,24 @@ def promo_incremental_margin(redemptions: DataFrame, fct_items: DataFrame) -> Da
     without such orders have none and are left out of the comparison.
     """
     margin = fct_items.groupBy("order_id", "customer_id").agg(_margin().alias("margin"))
-    promo = (
-        redemptions.groupBy("order_id", "promotion_id")
-        .agg(F.sum("amount_off").alias("amount_off"))
-        .join(margin, "order_id")
-    )
-    plain = (
-        margin.join(redemptions.select("order_id").distinct(), "order_id", "left_anti")
-        .groupBy("customer_id")
-        .agg(F.sum("margin").alias("_m"), F.count("*").alias("_n"))
-        .select("customer_id", exact_share(ratio("_m", "_n")).alias("baseline"))
+    redeemed = redemptions.groupBy("order_id", "promotion_id").agg(
+        F.sum("amount_off").alias("amount_off"), F.lit(True).alias("promoted")
     )
-    per_customer = promo.groupBy("promotion_id", "customer_id").agg(
-        F.count("*").alias("n"), F.sum(F.col("margin") - F.col("amount_off")).alias("net")
+    per_customer = (
+        margin.join(redeemed, "order_id", "left")
+        .groupBy("customer_id", "promoted", "promotion_id")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("margin").alias("_m"),
+            F.sum(F.col("margin") - F.col("amount_off")).alias("net"),
+        )
     )
+    # A customer is a row per promotion by now, and one for the orders without any.
+    plain = F.when(F.col("promoted").isNull(), exact_share(ratio("_m", "n")))
+    baseline = F.max(plain).over(Window.partitionBy("customer_id"))
     return (
-        per_customer.join(plain, "customer_id")
+        per_customer.withColumn("baseline", baseline)
+        .filter("promoted AND baseline IS NOT NULL AND customer_id IS NOT NULL")
         .groupBy("promotion_id")
         .agg(
             F.sum("n").alias("orders"),
@@ -515,21 +516,15 @@ def mart_fulfillment_sla(shipments: DataFrame, fct_orders: DataFrame) -> DataFra
     timed = s.join(placed, "order_id").select(
         "carrier", F.timestamp_diff("HOUR", F.col("placed_at"), F.col("arrived")).alias("hours")
     )
-    counts = timed.groupBy("carrier").agg(
-        F.count("*").alias("shipments"),
-        F.count("hours").alias("delivered"),
-        F.count_if(F.col("hours").isNull()).alias("open_orders"),
-        F.sum("hours").alias("_h"),
-    )
-    q = group_quantiles(timed, ["carrier"], "hours", {"p50_hours": 0.5, "p90_hours": 0.9}, bucket_width=24)
-    return counts.join(q.drop("n"), "carrier", "left").select(
-        "carrier",
-        "shipments",
-        "delivered",
-        "open_orders",
-        ratio("_h", "delivered").alias("mean_hours"),
-        "p50_hours",
-        "p90_hours",
+    # Whole hours: a carrier's orders collapse to a few hundred counts, which give everything else.
+    hours = timed.groupBy("carrier", "hours").agg(F.count("*").alias("n"))
+    return hours.groupBy("carrier").agg(
+        F.sum("n").alias("shipments"),
+        F.coalesce(F.sum(F.when(F.col("hours").isNotNull(), F.col("n"))), F.lit(0)).alias("delivered"),
+        F.coalesce(F.sum(F.when(F.col("hours").isNull(), F.col("n"))), F.lit(0)).alias("open_orders"),
+        ratio(F.sum(F.col("hours") * F.col("n")), F.sum(F.when(F.col("hours").isNotNull(), F.col("n")))).alias("mean_hours"),
+        F.percentile("hours", F.lit(0.5), F.col("n")).alias("p50_hours"),
+        F.percentile("hours", F.lit(0.9), F.col("n")).alias("p90_hours"),
     )
 
 

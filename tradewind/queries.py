@@ -15,6 +15,7 @@ from tradewind.plans import dims_facts as df_
 from tradewind.plans import marts as m
 from tradewind.plans import metrics as mt
 from tradewind.plans import reports as rp
+from tradewind.schemas import ENTITIES
 from tradewind.session import run_path, tune
 from tradewind.sources.driver import Shop
 from tradewind.streaming import jobs
@@ -54,20 +55,21 @@ def items(s: Shop) -> DataFrame:
     return df_.fct_order_items(s.order_items(), s.orders())
 
 
+def last(s: Shop, days: int) -> Shop:
+    """The shop as far as jobs see it that look back `days` from the clock."""
+    return s.dated(AS_OF_DATE - timedelta(days=days), AS_OF_DATE)
+
+
 def products(s: Shop) -> DataFrame:
     return df_.dim_product(s.products(), s.categories())
 
 
 def series(s: Shop) -> DataFrame:
-    return forecast.forecast_series(forecast.forecast_history(items(s), products(s), AS_OF_TS))
+    return forecast.forecast_series(forecast.forecast_history(items(last(s, 540)), products(s), AS_OF_TS))
 
 
 def entities(s: Shop) -> dict[str, DataFrame]:
-    names = (
-        "categories customers products product_variants orders order_items carts cart_items inventory_levels"
-        " stock_movements product_events promotions promotion_redemptions page_views payments shipments"
-    )
-    return {n: getattr(s, n)() for n in names.split()}
+    return {n: getattr(s, n)() for n in ENTITIES if hasattr(s, n)}
 
 
 def price_snapshots(s: Shop) -> DataFrame:
@@ -92,17 +94,90 @@ def _(s: Shop) -> DataFrame:
     return stored.select("id", "sku", "name", "category_id", "brand", "price", "cost", "is_active")
 
 
+@query("etl_full_refresh_all")
+def _(s: Shop) -> DataFrame:
+    """All four small tables replaced and read back: rows and the sum of their ids."""
+    out = None
+    for name in etl.FULL_TABLES:
+        stored = etl.full_refresh(getattr(s, name)(), run_path(s.spark, name))
+        row = stored.agg(F.count("*").alias("n_rows"), F.sum("id").alias("id_sum")).select(F.lit(name).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _order_rows(s: Shop) -> DataFrame:
+    """Orders as pulled: some have no time yet."""
+    o = s.orders().select("id", "customer_id", "status", "channel", "grand_total", "placed_at")
+    return o.withColumn("placed_at", F.when(F.col("id") % 50 != 0, F.col("placed_at")))
+
+
+def _pulled(df: DataFrame, hour: int) -> DataFrame:
+    return df.withColumn("_ingested_at", ts_lit(AS_OF_TS + timedelta(hours=hour)))
+
+
+def _stored_orders(s: Shop, path: str) -> DataFrame:
+    return s.spark.read.parquet(path).select("id", "customer_id", "status", "channel", "grand_total", "placed_at")
+
+
+@query("etl_load_twice")
+def _(s: Shop) -> DataFrame:
+    """Two overlapping pulls, the second one loaded twice; every order is stored once, also those without a time."""
+    o, path = _order_rows(s), run_path(s.spark, "orders-twice")
+    first, second = o.filter("id % 10 < 7"), o.filter("id % 10 >= 4")
+    for pull, hour in ((first, 1), (second, 2), (second, 2)):
+        etl.load_fact(_pulled(pull, hour), "orders", path, "placed_at", grain="MONTH")
+    return _stored_orders(s, path)
+
+
+def _corrections(s: Shop) -> DataFrame:
+    """Orders whose time moved, was lost or became known, with their last status."""
+    o = s.orders().select("id", "customer_id", "status", "channel", "grand_total", "placed_at").filter("id % 10 = 0")
+    moved = F.when(F.col("id") % 20 == 10, F.col("placed_at") + F.expr("INTERVAL 3 DAYS")).when(
+        F.col("id") % 40 != 0, F.col("placed_at")
+    )
+    return o.withColumn("placed_at", moved).withColumn("status", F.lit("refunded"))
+
+
+@query("etl_load_corrections")
+def _(s: Shop) -> DataFrame:
+    """All orders, then corrections that move rows between dates and in and out of the part without a time."""
+    path = run_path(s.spark, "orders-corrected")
+    etl.load_fact(_pulled(_order_rows(s), 1), "orders", path, "placed_at", grain="MONTH")
+    for _again in range(2):
+        etl.load_fact(_pulled(_corrections(s), 2), "orders", path, "placed_at", grain="MONTH")
+    return _stored_orders(s, path)
+
+
+@query("etl_reconcile_stored")
+def _(s: Shop) -> DataFrame:
+    """Orders against the stored table, into which every 97th has not come yet."""
+    o, path = _order_rows(s), run_path(s.spark, "orders-late")
+    etl.load_fact(_pulled(o.filter("id % 97 <> 0"), 1), "orders", path, "placed_at", grain="MONTH")
+    return etl.reconcile(o, s.spark.read.parquet(path), "placed_at")
+
+
+@query("etl_bootstrap")
+def _(s: Shop) -> DataFrame:
+    """Every table copied to storage; the counts are those of the stored copies."""
+    root = run_path(s.spark, "bootstrap")
+    copied = etl.bootstrap(entities(s), root, AS_OF_TS)
+    return etl.table_counts({n: s.spark.read.parquet(f"{root}/{n}") for n, rows in copied.items() if rows})
+
+
 @query("etl_incremental_window")
 def _(s: Shop) -> DataFrame:
+    """All seven tables of the hourly pull; rows of stock_movements go by their variant, for want of a key."""
     as_of = datetime(2001, 7, 31, 23, 59, 59)
-    tables = ("customers", "orders", "carts", "product_events", "inventory_levels", "promotion_redemptions")
-    pulls = {t: etl.incremental_window(getattr(s, t)(), etl.WINDOW_COLUMNS[t], as_of) for t in tables}
+    r = s.dated(as_of.date() - timedelta(days=1), AS_OF_DATE)
+    tables = {t: getattr(r, t)() for t in etl.WINDOW_COLUMNS}
+    tables["stock_movements"] = tables["stock_movements"].withColumn("id", F.col("variant_id"))
+    pulls = {t: etl.incremental_window(df, etl.WINDOW_COLUMNS[t], as_of) for t, df in tables.items()}
     return etl.pull_report(pulls)
 
 
 @query("etl_incremental_items")
 def _(s: Shop) -> DataFrame:
-    return etl.incremental_items(s.order_items(), s.orders(), AS_OF_TS, hours=48)
+    return etl.incremental_items(s.order_items(), last(s, 2).orders(), AS_OF_TS, hours=48)
 
 
 @query("etl_jsonl_roundtrip")
@@ -137,6 +212,24 @@ def _(s: Shop) -> DataFrame:
     return etl.scd2(price_snapshots(s), "product_id", ["price", "cost"])
 
 
+@query("scd2_product_band")
+def _(s: Shop) -> DataFrame:
+    """Products by price band, seen every month; months that repeat the band before are no new version."""
+    month = F.trunc("order_date", "MONTH").alias("snapshot_date")
+    seen = items(s).groupBy("product_id", month).agg((F.max("unit_price").cast("long") - F.max("unit_price").cast("long") % 500).alias("band"))
+    return etl.scd2(seen, "product_id", ["band"])
+
+
+@query("scd2_customer")
+def _(s: Shop) -> DataFrame:
+    """Customers by the device and channel of their last order of a month."""
+    newest = F.struct("placed_at", "id")
+    seen = s.orders().groupBy("customer_id", F.trunc("placed_at", "MONTH").alias("snapshot_date")).agg(
+        F.max_by("channel", newest).alias("channel"), F.max_by("device_type", newest).alias("device_type")
+    )
+    return etl.scd2(seen, "customer_id", ["channel", "device_type"])
+
+
 @query("catalog_as_of")
 def _(s: Shop) -> DataFrame:
     return etl.as_of(etl.scd2(price_snapshots(s), "product_id", ["price", "cost"]), date(2000, 1, 1))
@@ -210,7 +303,7 @@ def _(s: Shop) -> DataFrame:
 
 
 def _velocity(s: Shop) -> DataFrame:
-    return m.mart_product_velocity(items(s), products(s), AS_OF_DATE)
+    return m.mart_product_velocity(items(last(s, 84)), products(s), AS_OF_DATE)
 
 
 def _aging(s: Shop) -> DataFrame:
@@ -254,7 +347,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("mart_stockout_risk")
 def _(s: Shop) -> DataFrame:
-    return m.mart_stockout_risk(items(s), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_DATE)
+    return m.mart_stockout_risk(items(last(s, 28)), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_DATE)
 
 
 @query("mart_inventory_aging")
@@ -318,6 +411,15 @@ def _(s: Shop) -> DataFrame:
     return churn.churn_score(orders(s), AS_OF_DATE)
 
 
+@query("churn_score_bounds")
+def _(s: Shop) -> DataFrame:
+    """Buyers scored, and whether every score is a probability."""
+    scored = churn.churn_score(orders(s), AS_OF_DATE)
+    return scored.agg(
+        F.count("*").alias("buyers"), F.sum("frequency").alias("orders"), F.every(F.col("p_churn").between(0, 1)).alias("in_range")
+    )
+
+
 @query("mart_product_affinity")
 def _(s: Shop) -> DataFrame:
     return affinity.mart_product_affinity(items(s))
@@ -338,22 +440,22 @@ def _(s: Shop) -> DataFrame:
 
 @query("kpi_summary")
 def _(s: Shop) -> DataFrame:
-    return an.kpi_summary(s.orders(), AS_OF_TS)
+    return an.kpi_summary(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("revenue_by_day")
 def _(s: Shop) -> DataFrame:
-    return an.revenue_by_day(s.orders(), AS_OF_TS)
+    return an.revenue_by_day(last(s, 90).orders(), AS_OF_TS)
 
 
 @query("top_products")
 def _(s: Shop) -> DataFrame:
-    return an.top_products(s.order_items(), s.orders(), s.products(), AS_OF_TS)
+    return an.top_products(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 def _slow(s: Shop) -> DataFrame:
     return an.slow_movers(
-        s.products(), s.order_items(), s.orders(), s.inventory_levels(), s.product_variants(), AS_OF_TS
+        s.products(), s.order_items(), last(s, 60).orders(), s.inventory_levels(), s.product_variants(), AS_OF_TS
     )
 
 
@@ -369,17 +471,17 @@ def _(s: Shop) -> DataFrame:
 
 @query("revenue_by_channel")
 def _(s: Shop) -> DataFrame:
-    return an.revenue_by_channel(s.orders(), AS_OF_TS)
+    return an.revenue_by_channel(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("cart_abandonment")
 def _(s: Shop) -> DataFrame:
-    return an.cart_abandonment(s.carts(), AS_OF_TS)
+    return an.cart_abandonment(last(s, 30).carts(), AS_OF_TS)
 
 
 @query("repeat_purchase_rate")
 def _(s: Shop) -> DataFrame:
-    return an.repeat_purchase_rate(s.orders(), AS_OF_TS)
+    return an.repeat_purchase_rate(last(s, 90).orders(), AS_OF_TS)
 
 
 @query("cohort_retention")
@@ -389,23 +491,23 @@ def _(s: Shop) -> DataFrame:
 
 @query("aov_by_device")
 def _(s: Shop) -> DataFrame:
-    return an.aov_by_device(s.orders(), AS_OF_TS)
+    return an.aov_by_device(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("aov_median")
 def _(s: Shop) -> DataFrame:
-    return an.aov_median(s.orders(), AS_OF_TS)
+    return an.aov_median(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("gross_margin_by_category")
 def _(s: Shop) -> DataFrame:
-    return an.gross_margin_by_category(s.order_items(), s.orders(), s.products(), s.categories(), AS_OF_TS)
+    return an.gross_margin_by_category(s.order_items(), last(s, 30).orders(), s.products(), s.categories(), AS_OF_TS)
 
 
 @query("stockouts_at_risk")
 def _(s: Shop) -> DataFrame:
     return an.stockouts_at_risk(
-        s.order_items(), s.orders(), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_TS
+        s.order_items(), last(s, 28).orders(), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_TS
     )
 
 
@@ -416,7 +518,8 @@ def _(s: Shop) -> DataFrame:
 
 @query("funnel_last_30d")
 def _(s: Shop) -> DataFrame:
-    return an.funnel_last_30d(s.product_events(), s.carts(), s.orders(), AS_OF_TS)
+    r = last(s, 30)
+    return an.funnel_last_30d(r.product_events(), r.carts(), r.orders(), AS_OF_TS)
 
 
 # ---- metric layer ------------------------------------------------------------------------------------
@@ -511,6 +614,15 @@ def _(s: Shop) -> DataFrame:
     return mt.rollup_unique_approx(mt.daily_rollup(s.orders()))
 
 
+@query("rollup_unique_bounds")
+def _(s: Shop) -> DataFrame:
+    """Per channel, exact unique customers and whether the merged sketches come within five percent of them."""
+    rollup = mt.rollup_unique_approx(mt.daily_rollup(s.orders()))
+    exact = s.orders().filter("status <> 'cancelled'").groupBy("channel").agg(F.countDistinct("customer_id").alias("unique_customers"))
+    near = F.abs(F.col("unique_customers_approx") - F.col("unique_customers")) <= F.col("unique_customers") * 0.05 + 1
+    return exact.join(rollup, "channel").select("channel", "unique_customers", near.alias("within_bound"))
+
+
 @query("rollup_daily_cube")
 def _(s: Shop) -> DataFrame:
     return mt.rollup_levels(mt.daily_rollup(s.orders()))
@@ -519,7 +631,7 @@ def _(s: Shop) -> DataFrame:
 @query("sq_daily_revenue")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
-        _model(s), ["Orders.revenue", "Orders.count"],
+        _model(last(s, 90)), ["Orders.revenue", "Orders.count"],
         time_dimension="Orders.placed_at", granularity="day", dates=_last(90),
     )
 
@@ -527,7 +639,7 @@ def _(s: Shop) -> DataFrame:
 @query("sq_top_skus")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
-        _model(s),
+        _model(last(s, 30)),
         ["OrderItems.revenue", "OrderItems.units", "OrderItems.gross_margin"],
         ["Products.sku", "Products.name", "Products.brand"],
         time_dimension="Orders.placed_at",
@@ -540,7 +652,7 @@ def _(s: Shop) -> DataFrame:
 @query("sq_margin_category")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
-        _model(s),
+        _model(last(s, 30)),
         ["OrderItems.revenue", "OrderItems.gross_margin", "OrderItems.margin_pct"],
         ["Products.category_name"],
         time_dimension="Orders.placed_at",
@@ -552,7 +664,7 @@ def _(s: Shop) -> DataFrame:
 @query("sq_aov_device")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
-        _model(s), ["Orders.aov", "Orders.count"], ["Orders.device_type"],
+        _model(last(s, 30)), ["Orders.aov", "Orders.count"], ["Orders.device_type"],
         time_dimension="Orders.placed_at", dates=_last(30),
     )
 
@@ -560,7 +672,7 @@ def _(s: Shop) -> DataFrame:
 @query("sq_abandonment")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
-        _model(s), ["Carts.abandonment_rate", "Carts.abandoned", "Carts.count"],
+        _model(last(s, 30)), ["Carts.abandonment_rate", "Carts.abandoned", "Carts.count"],
         time_dimension="Carts.created_at", dates=_last(30),
     )
 
@@ -570,22 +682,22 @@ def _(s: Shop) -> DataFrame:
 
 @query("kpi_period_delta")
 def _(s: Shop) -> DataFrame:
-    return rp.kpi_period_delta(s.orders(), AS_OF_TS)
+    return rp.kpi_period_delta(last(s, 60).orders(), AS_OF_TS)
 
 
 @query("repeat_rate_delta")
 def _(s: Shop) -> DataFrame:
-    return rp.repeat_rate_delta(s.orders(), AS_OF_TS)
+    return rp.repeat_rate_delta(last(s, 180).orders(), AS_OF_TS)
 
 
 @query("channel_share")
 def _(s: Shop) -> DataFrame:
-    return rp.channel_share(s.orders(), AS_OF_TS)
+    return rp.channel_share(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("product_concentration")
 def _(s: Shop) -> DataFrame:
-    return rp.product_concentration(s.order_items(), s.orders(), s.products(), AS_OF_TS)
+    return rp.product_concentration(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 @query("slow_capital")
@@ -595,17 +707,19 @@ def _(s: Shop) -> DataFrame:
 
 @query("best_aov_channel")
 def _(s: Shop) -> DataFrame:
-    return rp.best_aov_channel(s.orders(), AS_OF_TS)
+    return rp.best_aov_channel(last(s, 30).orders(), AS_OF_TS)
 
 
 @query("funnel_drops")
 def _(s: Shop) -> DataFrame:
-    return rp.funnel_drops(s.product_events(), s.carts(), s.orders(), AS_OF_TS)
+    r = last(s, 30)
+    return rp.funnel_drops(r.product_events(), r.carts(), r.orders(), AS_OF_TS)
 
 
 @query("funnel_point_value")
 def _(s: Shop) -> DataFrame:
-    return rp.funnel_point_value(s.product_events(), s.carts(), s.orders(), AS_OF_TS)
+    r = last(s, 30)
+    return rp.funnel_point_value(r.product_events(), r.carts(), r.orders(), AS_OF_TS)
 
 
 @query("forecast_totals")
@@ -616,17 +730,17 @@ def _(s: Shop) -> DataFrame:
 
 @query("kpi_mtd")
 def _(s: Shop) -> DataFrame:
-    return rp.kpi_mtd(orders(s), AS_OF_DATE)
+    return rp.kpi_mtd(orders(last(s, 31)), AS_OF_DATE)
 
 
 @query("category_vs_prior")
 def _(s: Shop) -> DataFrame:
-    return rp.category_vs_prior(items(s), products(s), AS_OF_DATE)
+    return rp.category_vs_prior(items(last(s, 60)), products(s), AS_OF_DATE)
 
 
 @query("velocity_heatmap")
 def _(s: Shop) -> DataFrame:
-    return rp.velocity_heatmap(items(s), products(s), AS_OF_DATE)
+    return rp.velocity_heatmap(items(last(s, 84)), products(s), AS_OF_DATE)
 
 
 @query("promo_month_pivot")
@@ -636,7 +750,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("top25_skus")
 def _(s: Shop) -> DataFrame:
-    return rp.top_skus(s.order_items(), s.orders(), s.products(), AS_OF_TS)
+    return rp.top_skus(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 @query("forecast_7d")
@@ -659,7 +773,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("forecast_history")
 def _(s: Shop) -> DataFrame:
-    return forecast.forecast_history(items(s), products(s), AS_OF_TS)
+    return forecast.forecast_history(items(last(s, 540)), products(s), AS_OF_TS)
 
 
 @query("forecast_series")
@@ -682,6 +796,63 @@ def _(s: Shop) -> DataFrame:
     return forecast.walk_forward(series(s))
 
 
+@query("forecast_errors")
+def _(s: Shop) -> DataFrame:
+    """Scores of a given forecast (the value a week before, with a fixed band) against what was sold."""
+    known = series(s)
+    ahead = known.select(
+        "category_name",
+        F.date_add("date", 7).alias("forecast_date"),
+        dbl("revenue").alias("yhat"),
+        (dbl("revenue") * 0.5).alias("yhat_lower"),
+        (dbl("revenue") * 1.5).alias("yhat_upper"),
+    )
+    return forecast.forecast_errors(known, ahead, ["category_name"])
+
+
+@query("forecast_alert")
+def _(s: Shop) -> DataFrame:
+    """Monthly errors of that forecast, and the series over their target twice in a row."""
+    known = series(s)
+    ahead = known.select("category_name", F.date_add("date", 7).alias("date"), dbl("revenue").alias("yhat"))
+    y = dbl("revenue")
+    months = known.join(ahead, ["category_name", "date"]).groupBy("category_name", F.trunc("date", "MONTH").alias("model_run_at")).agg(
+        F.round(F.avg(F.abs(y - F.col("yhat")) / F.when(y != 0, y)), 4).alias("mape")
+    )
+    return forecast.forecast_alert(months)
+
+
+@query("cold_start")
+def _(s: Shop) -> DataFrame:
+    """Series cut to their last 20 days: too short to fit, so their mean is carried on."""
+    short = series(s).filter(F.col("date") > F.lit((AS_OF_DATE - timedelta(days=20)).isoformat()).cast("date"))
+    cold = forecast.cold_start(short)
+    return cold.withColumns({c: F.round(c, 2) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
+@query("forecast_runs")
+def _(s: Shop) -> DataFrame:
+    """Two runs appended, the first written again: each is stored once."""
+    path, known = run_path(s.spark, "forecast-runs"), forecast.forecast_baseline(series(s))
+    for days_ago in (1, 0, 1):
+        forecast.write_forecast(known, path, AS_OF_TS - timedelta(days=days_ago))
+    stored = s.spark.read.parquet(path)
+    return stored.select("category_name", "forecast_date", "yhat", "yhat_lower", "yhat_upper", F.col("model_run").cast("string").alias("model_run"))
+
+
+@query("forecast_files")
+def _(s: Shop) -> DataFrame:
+    """The baseline forecast by the result files: one series as JSON, all as CSV by category."""
+    at, known = run_path(s.spark, "forecast-files"), forecast.forecast_baseline(series(s))
+    etl.write_forecast_json(known.filter(F.col("category_name") == forecast.TOTAL_SERIES), f"{at}/json")
+    etl.write_category_csv(known, f"{at}/csv")
+    kind = "category_name string, forecast_date date, yhat double, yhat_lower double, yhat_upper double"
+    total = s.spark.read.schema(kind).json(f"{at}/json").withColumn("file", F.lit("json"))
+    rows = s.spark.read.option("header", "true").csv(f"{at}/csv")
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in total.drop("file").schema]).withColumn("file", F.lit("csv"))
+    return total.unionByName(rows)
+
+
 @query("walk_forward_baseline")
 def _(s: Shop) -> DataFrame:
     return forecast.walk_forward_baseline(series(s))
@@ -695,7 +866,7 @@ def _(s: Shop) -> DataFrame:
 @query("forecast_cover")
 def _(s: Shop) -> DataFrame:
     f = forecast.forecast_baseline(series(s)).filter(F.col("category_name") != forecast.TOTAL_SERIES)
-    return forecast.forecast_cover(f, items(s), products(s), product_stock(s), AS_OF_DATE)
+    return forecast.forecast_cover(f, items(last(s, 84)), products(s), product_stock(s), AS_OF_DATE)
 
 
 @query("residual_hist")
@@ -764,6 +935,40 @@ def _(s: Shop) -> DataFrame:
     return found.select("id", "sku", "name", "brand", dbl("price").alias("price"))
 
 
+@query("catalog_by_category")
+def _(s: Shop) -> DataFrame:
+    """The first active products of the category that comes first by name."""
+    first = s.categories().orderBy("name").first()
+    found = bulk.catalog_search(s.products(), category_id=first["id"], limit=20)
+    return found.select("id", "sku", "name", "brand", dbl("price").alias("price"))
+
+
+@query("featured_products")
+def _(s: Shop) -> DataFrame:
+    return bulk.featured_products(s.products()).select("id", "sku", "name", "brand", dbl("price").alias("price"))
+
+
+def _odd_codes(s: Shop) -> tuple[DataFrame, DataFrame]:
+    """Codes where some orders carry two or an unknown one, and promotions where one code is given twice."""
+    codes = _order_codes(s)
+    second = codes.filter("order_id % 150 = 0").withColumn("code", F.lit("SECOND"))
+    unknown = codes.withColumn("code", F.when(F.col("order_id") % 150 == 1, F.lit("NOPE")).otherwise(F.col("code")))
+    again = s.promotions().filter("code = 'BFCM30'").withColumn("value", F.lit(5).cast("decimal(12,2)"))
+    return unknown.unionByName(second), s.promotions().unionByName(again)
+
+
+@query("order_pricing_codes")
+def _(s: Shop) -> DataFrame:
+    codes, promotions = _odd_codes(s)
+    return bulk.order_pricing(s.order_items(), s.products(), codes, promotions)
+
+
+@query("order_rejects_codes")
+def _(s: Shop) -> DataFrame:
+    codes, promotions = _odd_codes(s)
+    return bulk.order_rejects(s.order_items(), s.products(), codes, promotions).filter("product_id is null").drop("product_id")
+
+
 @query("order_history")
 def _(s: Shop) -> DataFrame:
     return bulk.order_history(s.orders(), s.order_items(), limit=5)
@@ -842,7 +1047,55 @@ def _(s: Shop) -> DataFrame:
 
 @query("stream_stock_totals")
 def _(s: Shop) -> DataFrame:
-    """Sales as they arrive, out of the stock they touch."""
-    sold = bulk.stock_moves_from_sales(s.streaming("lineitem").order_items())
-    moves = sold.withColumn("warehouse_code", F.lit("MAIN"))
-    return _drained(s, "stock", jobs.stock_totals(moves), mode="complete")
+    """Opening stock and the sales out of it, arriving in several files, merged by key batch by batch."""
+    opening = s.inventory_levels().select("variant_id", "warehouse_code", F.col("on_hand").alias("delta"))
+    sold = bulk.stock_moves_from_sales(s.order_items()).select("variant_id", F.lit("MAIN").alias("warehouse_code"), "delta")
+    arrived = run_path(s.spark, "moves")
+    for part in (opening, sold.filter("variant_id % 3 > 0"), sold.filter("variant_id % 3 = 0")):
+        part.coalesce(1 if part is opening else 2).write.mode("append").parquet(arrived)
+    moves = s.spark.readStream.schema(opening.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    keys = ["variant_id", "warehouse_code"]
+    sink, progress = run_path(s.spark, "stock"), run_path(s.spark, "stock-progress")
+    return jobs.run_available(jobs.stock_totals(moves), sink, progress, "update", keys)
+
+
+@query("stream_sliding_revenue")
+def _(s: Shop) -> DataFrame:
+    """Seven-day windows that the watermark has closed."""
+    live = _timed(s.streaming("orders").orders().select("status", "grand_total", "placed_at"), "placed_at")
+    closed = _drained(s, "sliding", jobs.sliding_revenue(live))
+    return closed.select(
+        F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "revenue", "orders"
+    )
+
+
+@query("stream_daily_revenue")
+def _(s: Shop) -> DataFrame:
+    """Days kept current by a stream of orders that ends in corrections: first all orders, then the moved ones."""
+    kind = ["id", "customer_id", "status", "channel", "grand_total", "placed_at", "_ingested_at"]
+    arrived = run_path(s.spark, "orders-in")
+    for pull, hour in ((_order_rows(s), 1), (_corrections(s), 2)):
+        _timed(_pulled(pull, hour).select(*kind), "placed_at", "_ingested_at").coalesce(1).write.mode("append").parquet(arrived)
+    stream = s.spark.readStream.schema(s.spark.read.parquet(arrived).schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    stored, out, progress = (run_path(s.spark, f"orders-{x}") for x in ("stored", "days", "progress"))
+    jobs.daily_revenue_stream(stream, stored, out, progress, grain="MONTH").start().awaitTermination()
+    return s.spark.read.parquet(out).filter("orders > 0").select("date", "revenue", "orders")
+
+
+def _counted_late(s: Shop) -> tuple[DataFrame, DataFrame]:
+    """Events, and their daily counts by a stream that lost every 13th."""
+    events = s.product_events()
+    streamed = events.filter("id % 13 <> 0").groupBy(F.to_date("occurred_at").alias("date")).agg(F.count("*").alias("n"))
+    return events, streamed
+
+
+@query("late_report")
+def _(s: Shop) -> DataFrame:
+    events, streamed = _counted_late(s)
+    return jobs.late_report(streamed, events)
+
+
+@query("late_repair")
+def _(s: Shop) -> DataFrame:
+    events, streamed = _counted_late(s)
+    return jobs.repair_days(events, jobs.late_report(streamed, events))

@@ -6,6 +6,8 @@ Money is exact: cents as whole numbers, then two-digit decimals.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ class Shop:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dated(self, first: date, last: date) -> Shop:
+        """The same shop for jobs that look at these dates only: the scans of orders and events skip the others.
+
+        Times of the entities lie less than a day after the raw date (orders) or a fixed shift before it (events). The
+        bounds are a day wider on both sides, so a job's own window decides and these only prune.
+        """
+        return _DatedShop(self.spark, self.sf_dir, first - timedelta(days=1), last + timedelta(days=1))
+
     def streaming(self, *tables: str) -> Shop:
         """The same shop with the named tables read as streams of files."""
         return _StreamingShop(self.spark, self.sf_dir, tables)
@@ -292,6 +302,22 @@ class Shop:
         )
 
 
+class _DatedShop(Shop):
+    _TIMES = {"orders": ("o_orderdate", 0), "events": ("ts", EVENT_SHIFT_DAYS)}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, first: date, last: date):
+        super().__init__(spark, sf_dir)
+        self.first, self.last = first, last
+
+    def table(self, name: str) -> DataFrame:
+        df = super().table(name)
+        if name not in self._TIMES:
+            return df
+        column, shift = self._TIMES[name]
+        low, high = (f"timestamp_ntz'{d + timedelta(days=shift)}'" for d in (self.first, self.last + timedelta(days=1)))
+        return df.filter(f"{column} >= {low} AND {column} < {high}")
+
+
 class _StreamingShop(Shop):
     def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...]):
         super().__init__(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.schemas import ENTITIES, LAYOUT
@@ -61,16 +61,20 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     )
 
 
-def write_entity(df: DataFrame, entity: str, path: str, mode: str = "overwrite", salts: int = 8) -> None:
-    """Date partitions with rows clustered inside. A busy date is written by several tasks."""
+def partition_date(time_column: str, grain: str = "DAY") -> Column:
+    """The date that names a row's partition: its day, or the first day of its `grain`."""
+    return F.to_date(time_column) if grain == "DAY" else F.to_date(F.date_trunc(grain, F.col(time_column)))
+
+
+def write_entity(df: DataFrame, entity: str, path: str, mode: str = "overwrite", grain: str = "DAY") -> None:
+    """Date partitions with rows clustered inside. Spark splits a busy date into several tasks by its size."""
     time_column, cluster = LAYOUT.get(entity, (None, ()))
     if time_column is None:
         df.write.mode(mode).parquet(path)
         return
-    dated = df.withColumn(DATE_PARTITION, F.to_date(time_column))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:2]]), F.lit(salts))
+    dated = df.withColumn(DATE_PARTITION, partition_date(time_column, grain))
     (
-        dated.repartition(DATE_PARTITION, salt)
+        dated.hint("rebalance", DATE_PARTITION)
         .sortWithinPartitions(DATE_PARTITION, *cluster)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")

@@ -6,13 +6,16 @@ partitions named after the batch or the touched dates, so a batch that runs twic
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tradewind.functions.predicates import recognized
-from tradewind.operators.etl import load_fact, reconcile
+from tradewind.operators.etl import load_fact, reconcile, stored_table
 from tradewind.schemas import ENTITIES, EVENT_TYPES, SESSION_ID_MAX
+from tradewind.session import run_path
 from tradewind.sources.tables import DATE_PARTITION
 
 DELAY = "2 hours"  # fixed value: pulls overlap by two hours, so rows may arrive that late
@@ -29,16 +32,53 @@ def _once(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what has arrived, then hand back the stored result. Complete results replace the last."""
+KEY_BUCKETS = 64
+
+
+def merge_keys(batch: DataFrame, sink: str, keys: Sequence[str]) -> None:
+    """Replace the rows of the batch's keys in `sink` and keep all others.
+
+    The sink is cut into buckets by key; only buckets of the batch's keys are read and replaced, staged first.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(KEY_BUCKETS)).cast("int")
+    new = batch.withColumn("bucket", bucket)
+    stored = stored_table(spark, sink, new)
+    if stored is not None:
+        near = stored.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        kept = near.alias("o").join(new.select(*keys).alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "left_anti")
+        new = new.unionByName(kept)
+    stage = run_path(spark, "stage-keys")
+    new.write.parquet(stage)
+    (
+        spark.read.schema(new.schema).parquet(stage)
+        .repartition("bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(sink)
+    )
+
+
+def run_available(
+    stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Process what has arrived, then hand back the stored result.
+
+    Complete results replace the last one; updates are merged into the sink by `keys`.
+    """
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", sink)
+    elif mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the keys of the result")
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: merge_keys(batch, sink, keys))
     else:
         writer = stream.writeStream.outputMode(mode).foreachBatch(
             lambda batch, _: batch.write.mode("overwrite").parquet(sink)
         )
     _once(writer, checkpoint).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink)
+    return stream.sparkSession.read.schema(stream.schema).parquet(sink).select(*stream.columns)
 
 
 # ---- ingest -----------------------------------------------------------------------------------------
@@ -73,8 +113,12 @@ def ingest_events(events: DataFrame, valid_path: str, quarantine_path: str, chec
     checked = with_default_type(events).withColumn("reason", rejection())
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.filter("reason is null").drop("reason"), batch_id, valid_path)
-        _write_batch(batch.filter("reason is not null"), batch_id, quarantine_path)
+        batch.persist()  # read and checked once for both outputs; a lost block is computed again
+        try:
+            _write_batch(batch.filter("reason is null").drop("reason"), batch_id, valid_path)
+            _write_batch(batch.filter("reason is not null"), batch_id, quarantine_path)
+        finally:
+            batch.unpersist()
 
     return _once(checked.writeStream.foreachBatch(split), checkpoint)
 
@@ -117,40 +161,41 @@ def sliding_revenue(orders: DataFrame, width: str = "7 days", slide: str = "1 da
 # ---- daily revenue, kept current ---------------------------------------------------------------------
 
 
-def refresh_days(spark: SparkSession, orders_path: str, out_path: str, days: DataFrame) -> None:
-    """Recompute the revenue of `days` from the stored orders and replace just those days."""
-    touched = spark.read.parquet(orders_path).join(days, DATE_PARTITION, "left_semi")
+def refresh_days(spark: SparkSession, orders_path: str, out_path: str, parts: DataFrame) -> None:
+    """Recompute the revenue of the days in the partitions `parts` from the stored orders and replace just those."""
+    touched = spark.read.parquet(orders_path).join(parts, DATE_PARTITION, "left_semi")
     daily = (
         touched.filter(recognized())
-        .groupBy(F.col(DATE_PARTITION).alias("date"))
+        .groupBy(DATE_PARTITION, F.to_date("placed_at").alias("date"))
         .agg(F.sum("grand_total").alias("revenue"), F.count("*").alias("orders"))
     )
-    # A touched day that lost its last recognized order is written as zero, not left as it was.
-    full = days.select(F.col(DATE_PARTITION).alias("date")).join(daily, "date", "left").select(
-        "date",
+    # A touched partition that lost its last recognized order is written with a zero, not left as it was.
+    full = parts.join(daily, DATE_PARTITION, "left").select(
+        DATE_PARTITION,
+        F.coalesce("date", DATE_PARTITION).alias("date"),
         F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)").alias("revenue"),
         F.coalesce("orders", F.lit(0)).alias("orders"),
     )
     (
-        full.repartition("date")
+        full.repartition(DATE_PARTITION)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date")
+        .partitionBy(DATE_PARTITION)
         .parquet(out_path)
     )
 
 
-def daily_revenue_stream(orders: DataFrame, orders_path: str, out_path: str, checkpoint: str) -> DataStreamWriter:
-    """Merge each batch into the stored orders, then refresh the days it touched.
+def daily_revenue_stream(
+    orders: DataFrame, orders_path: str, out_path: str, checkpoint: str, grain: str = "DAY"
+) -> DataStreamWriter:
+    """Merge each batch into the stored orders, then refresh the partitions it touched.
 
     `orders` carries `_ingested_at`, which decides between versions of one order.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        load_fact(batch, "orders", orders_path, "placed_at")
-        days = batch.select(F.to_date("placed_at").alias(DATE_PARTITION)).distinct()
-        refresh_days(spark, orders_path, out_path, days)
+        parts = load_fact(batch, "orders", orders_path, "placed_at", grain=grain)
+        refresh_days(batch.sparkSession, orders_path, out_path, parts.filter(f"{DATE_PARTITION} is not null"))
 
     return _once(orders.writeStream.foreachBatch(merge), checkpoint)
 
@@ -194,7 +239,7 @@ def cart_to_order(carts: DataFrame, orders: DataFrame, within: str = "24 hours",
 
 
 def stock_totals(moves: DataFrame) -> DataFrame:
-    """Stock on hand per variant and warehouse; write in update mode."""
+    """Stock on hand per variant and warehouse; write in update mode with these two as keys."""
     return moves.groupBy("variant_id", "warehouse_code").agg(F.sum("delta").alias("on_hand"))
 
 
