@@ -208,3 +208,14 @@ def test_affinity_is_exact_with_huge_baskets(spark):
     # A basket larger than a cell is joined in parts, with the same pairs.
     many = frame(spark, "order_id bigint, product_id bigint", [(o, p) for o in (1, 2) for p in range(150)])
     assert mart_product_affinity(many).count() == 150 * 149 // 2
+
+
+def test_orders_with_several_codes_and_shared_codes_are_refused(spark):
+    lines = frame(spark, "order_id bigint, product_id bigint, quantity bigint", [(o, 1, 1) for o in range(1, 6)])
+    products = frame(spark, f"id bigint, price {MONEY}, is_active boolean", [(1, "100.00", True)])
+    promos = frame(spark, f"code string, kind string, value {MONEY}, is_active boolean",
+                   [("A", "fixed", "10", True), ("B", "fixed", "5", True), ("B", "fixed", "6", True), ("C", "fixed", "5", False)])
+    codes = frame(spark, "order_id bigint, code string", [(1, "A"), (1, "A"), (2, "A"), (2, "B"), (3, "B"), (4, "C"), (5, None)])
+    assert rows(bulk.order_rejects(lines, products, codes, promos).select("order_id", "reason"), "order_id") == [
+        (2, "several_codes"), (3, "ambiguous_promo"), (4, "invalid_promo")]
+    assert rows(bulk.order_pricing(lines, products, codes, promos).select("order_id", "discount"), "order_id") == [(1, 10.0), (5, 0.0)]

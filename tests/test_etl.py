@@ -159,3 +159,40 @@ def test_load_refuses_a_table_that_lost_a_column(spark, tmp_path):
     with pytest.raises(Exception, match="extra"):
         etl.load_fact(first.withColumn("extra", F.lit(1)), "orders", path, "placed_at")
     assert spark.read.parquet(path).count() == 1
+
+
+def test_load_keeps_rows_without_a_time_and_follows_moved_ones(spark, tmp_path):
+    path = str(tmp_path / "orders")
+
+    def load(*data):
+        etl.load_fact(raw(spark, list(data)).withColumn("channel", F.lit("x")), "orders", path, "placed_at")
+        return rows(spark.read.parquet(path).select("id", "status", F.col("dt").cast("string")), "id")
+
+    first = (1, "a", "1.00", None, "2024-01-01 10:00:00"), (5, "a", "1.00", "2024-01-01", "2024-01-01 10:00:00")
+    assert load(*first) == [(1, "a", None), (5, "a", "2024-01-01")]
+    second = (2, "b", "1.00", None, "2024-01-01 11:00:00"), (3, "b", "1.00", None, "2024-01-01 11:00:00")
+    both = [(1, "a", None), (2, "b", None), (3, "b", None), (5, "a", "2024-01-01")]
+    assert load(*second) == both and load(*second) == both
+    # Order 5 moves to another date and leaves none behind; 1 gets a time; 3 loses nothing.
+    third = (5, "c", "1.00", "2024-01-05", "2024-01-02 10:00:00"), (1, "c", "1.00", "2024-01-05 09:00:00", "2024-01-02 10:00:00")
+    moved = [(1, "c", "2024-01-05"), (2, "b", None), (3, "b", None), (5, "c", "2024-01-05")]
+    assert load(*third) == moved and load(*third) == moved
+    # An older version does not win, wherever it would go.
+    assert load(*first) == moved
+    # Back to no time, and the last row of the unknown date leaves it.
+    assert load((5, "d", "1.00", None, "2024-01-03")) == [(1, "c", "2024-01-05"), (2, "b", None), (3, "b", None), (5, "d", None)]
+    got = load(*((i, "e", "1.00", "2024-01-06", "2024-01-04") for i in (2, 3, 5)))
+    assert got == [(1, "c", "2024-01-05"), (2, "e", "2024-01-06"), (3, "e", "2024-01-06"), (5, "e", "2024-01-06")]
+
+
+def test_months_as_partitions(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    for pull in ([(1, "a", "1.00", "2024-01-31", "2024-02-01")], [(1, "b", "1.00", "2024-02-02", "2024-02-03"), (2, "b", "1.00", "2024-02-01", "2024-02-03")]):
+        etl.load_fact(raw(spark, pull).withColumn("channel", F.lit("x")), "orders", path, "placed_at", grain="MONTH")
+    assert rows(spark.read.parquet(path).select("id", F.col("dt").cast("string")), "id") == [(1, "2024-02-01"), (2, "2024-02-01")]
+
+
+def test_reconcile_counts_rows_without_a_date(spark):
+    s = frame(spark, "t timestamp", [(None,), (None,), ("2024-01-02",)])
+    t = frame(spark, "t timestamp", [(None,), ("2024-01-02",)])
+    assert rows(etl.reconcile(s, t, "t"), "date") == [(None, 2, 1, 1, True), (date(2024, 1, 2), 1, 1, 0, False)]

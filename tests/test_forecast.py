@@ -128,6 +128,10 @@ def test_cover_counts_whole_days(spark):
     got = {r.sku: (r.days_of_cover, r.lasts_horizon) for r in fc.forecast_cover(f, lines, dim, stock, date(2023, 12, 31)).collect()}
     # 100 of category revenue is 5 units of A: half a unit a day, so one unit lasts two days
     assert got == {"A": (2, False), "B": (5, True)}
+    # A forecast below zero sells nothing, and gives no stock back.
+    dips = f.withColumn("yhat", F.when(F.dayofmonth("forecast_date") == 3, -500.0).otherwise(F.col("yhat")))
+    got = {r.sku: r.days_of_cover for r in fc.forecast_cover(dips, lines, dim, stock, date(2023, 12, 31)).collect()}
+    assert got == {"A": 3, "B": 5}
 
 
 def test_histogram_keeps_every_residual(spark):

@@ -174,3 +174,20 @@ def test_stock_totals_equal_the_running_sum(spark, tmp_path):
     run(jobs.stock_totals(stream), "stock", mode="complete")
     last = timelines.stock_running(data).groupBy("variant_id", "warehouse_code").agg(F.max_by("on_hand", "occurred_at"))
     assert rows(spark.table("stock")) == rows(last)
+
+
+def test_update_mode_keeps_keys_of_earlier_batches(spark, tmp_path):
+    src, sink = tmp_path / "moves", str(tmp_path / "stock")
+    kind = "variant_id bigint, warehouse_code string, delta bigint"
+    want = {}
+    for n, batch in enumerate([[(1, "A", 5), (2, "A", 7)], [(1, "A", -2), (3, None, 4)], [(3, None, 1), (1, "B", 9)]]):
+        drop(frame(spark, kind, batch), src, n)
+        stream = spark.readStream.schema(frame(spark, kind, batch).schema).parquet(str(src))
+        keys = ["variant_id", "warehouse_code"]
+        for v, w, d in batch:
+            want[v, w] = want.get((v, w), 0) + d
+        got = jobs.run_available(jobs.stock_totals(stream), sink, str(tmp_path / "progress"), "update", keys)
+        assert {(r.variant_id, r.warehouse_code): r.on_hand for r in got.collect()} == want
+    jobs.merge_keys(got, sink, keys)  # a batch that runs again changes nothing
+    again = spark.read.parquet(sink)
+    assert {(r.variant_id, r.warehouse_code): r.on_hand for r in again.collect()} == want and again.count() == len(want)

@@ -182,7 +182,7 @@ def stock_moves_from_sales(lines: DataFrame) -> DataFrame:
 
 
 def catalog_search(
-    products: DataFrame, category_id: int | None = None, q: str | None = None, limit: int = 50, offset: int = 0
+    products: DataFrame, category_id: int | Column | None = None, q: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
     """Active products by category and part of the name, by id."""
     found = products.filter("is_active")
@@ -284,24 +284,25 @@ def dq_checks(t: Mapping[str, DataFrame], checks: Sequence[tuple[str, str, str,
         ]
         rows = t[table].select(F.explode(F.array(*values)).alias("c")).groupBy("c.i", "c.value").agg(F.count("*").alias("n"))
         counted = rows if counted is None else counted.unionByName(rows)
-    of_kind = lambda kind: [i for i, c in numbered if c[0] == kind]
-    is_in = lambda kind: F.col("i").isin(*of_kind(kind)) if of_kind(kind) else F.lit(False)
-
-    repeated = counted.filter(is_in("unique") & (F.col("n") > 1)).select("i", F.lit(1).cast("long").alias("n"))
-    refused = F.lit(False)
-    for i in of_kind("accepted"):
-        wrong = F.col("value").isNull() | ~F.col("value").isin(*checks[i][3])
-        refused = refused | ((F.col("i") == i) & wrong)
-    bad = repeated.unionByName(counted.filter(refused).select("i", "n"))
-
-    parents = None
-    for parent in dict.fromkeys(checks[i][3] for i in of_kind("fk")):
-        ids = t[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("value"))
+    parents, parent_of = None, {i: c[3] for i, c in numbered if c[0] == "fk"}
+    for parent in dict.fromkeys(parent_of.values()):
+        ids = t[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("value"), F.lit(True).alias("known"))
         parents = ids if parents is None else parents.unionByName(ids)
-    if parents is not None:
-        parent_of = F.element_at(F.create_map(*[F.lit(x) for i in of_kind("fk") for x in (i, checks[i][3])]), F.col("i"))
-        refs = counted.filter(is_in("fk") & F.col("value").isNotNull()).withColumn("parent", parent_of)
-        bad = bad.unionByName(refs.join(parents, ["parent", "value"], "left_anti").select("i", "n"))
+    if parents is None:
+        checked = counted.withColumn("known", F.lit(None).cast("boolean"))
+    else:
+        of = F.create_map(*[F.lit(x) for pair in parent_of.items() for x in pair])
+        checked = counted.withColumn("parent", F.try_element_at(of, F.col("i"))).join(parents, ["parent", "value"], "left")
+    wrong = F.lit(0)
+    for i, (kind, _, _, accepted) in numbered:
+        if kind == "unique":
+            n = (F.col("n") > 1).cast("long")
+        elif kind == "fk":
+            n = F.when(F.col("value").isNotNull() & F.col("known").isNull(), F.col("n")).otherwise(0)
+        else:
+            n = F.when(F.col("value").isNull() | ~F.col("value").isin(*accepted), F.col("n")).otherwise(0)
+        wrong = F.when(F.col("i") == i, n).otherwise(wrong)
+    bad = checked.select("i", wrong.alias("n"))
 
     names = spark.createDataFrame(
         [(i, f"{kind} {column}", table) for i, (kind, table, column, _) in numbered],

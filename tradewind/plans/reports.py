@@ -258,10 +258,10 @@ def top_skus(
     )
 
 
-def forecast_pivot(forecast: DataFrame, start: date, days: int = 7) -> DataFrame:
-    """The first days of the forecast, one column per series."""
+def forecast_pivot(forecast: DataFrame, start: date, series: list[str], days: int = 7) -> DataFrame:
+    """The first days of the forecast, one column for each of the named series."""
     first = forecast.filter(in_date_window("forecast_date", start + timedelta(days=days - 1), days - 1))
-    return first.groupBy("forecast_date").pivot("category_name").agg(F.first("yhat"))
+    return first.groupBy("forecast_date").pivot("category_name", series).agg(F.first("yhat"))
 
 
 def wow_same_weekday(fct_orders: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from tradewind.streaming import jobs
 
 AS_OF_TS = datetime(2001, 8, 1, 23, 59, 59)
 AS_OF_DATE = date(2001, 8, 1)
+SERIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", forecast.TOTAL_SERIES]  # the shop's categories and their sum
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -755,7 +756,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("forecast_7d")
 def _(s: Shop) -> DataFrame:
-    return rp.forecast_pivot(forecast.forecast_baseline(series(s)), AS_OF_DATE + timedelta(days=1))
+    return rp.forecast_pivot(forecast.forecast_baseline(series(s)), AS_OF_DATE + timedelta(days=1), SERIES)
 
 
 @query("wow_same_weekday")
@@ -938,8 +939,8 @@ def _(s: Shop) -> DataFrame:
 @query("catalog_by_category")
 def _(s: Shop) -> DataFrame:
     """The first active products of the category that comes first by name."""
-    first = s.categories().orderBy("name").first()
-    found = bulk.catalog_search(s.products(), category_id=first["id"], limit=20)
+    first = s.categories().agg(F.min_by("id", "name")).scalar()
+    found = bulk.catalog_search(s.products(), category_id=first, limit=20)
     return found.select("id", "sku", "name", "brand", dbl("price").alias("price"))
 
 
