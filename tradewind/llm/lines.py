@@ -81,7 +81,8 @@ def drop_repeated_lines(docs: DataFrame, name: str = "removed_lines") -> DataFra
     key, doc, same, chunk, gone = (free_name(docs, c) for c in ("_hash", "_doc", "_hash_of", "_chunks", "_removed"))
     removed = stored(repeated_chunks(docs).toDF(doc, same, gone), "lines-removed")
     rows = docs.withColumn(key, F.xxhash64("text"))
-    both = rows.join(removed, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(same)), "left")
+    # The same join at every size: the list of removed chunks grows with the documents.
+    both = rows.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(same)), "left")
     both = both.withColumn(chunk, F.when(F.col(gone).isNotNull(), marked_chunks("text")))
     kept = F.filter(F.col(chunk), lambda c, i: ~F.array_contains(F.col(gone), i))
     dropped = F.filter(F.col(chunk), lambda c, i: F.array_contains(F.col(gone), i))
