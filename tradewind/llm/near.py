@@ -6,10 +6,10 @@ so two texts share a sketch when they hold the same picks in the same order. Tex
 they are near duplicates if an alignment of their words needs at most a fifth of the longer one's words as edits. Classes are the
 connected components of these links; exact copies are one text from the start.
 
-In a bucket (texts with one sketch in common) every text is first compared with the bucket's least text only, so a large
-group of copies makes a star, not all pairs. Buckets that still hold several classes after that are compared through,
-in blocks of bounded size: for each text and each other class its best-agreeing member is verified, if they agree in
-`AGREE` sketches at least.
+A bucket is the texts with one sketch in common. Every text is first compared with one other only: of the least texts of its
+buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. `STAR_ROUNDS` rounds
+merge classes that way. Buckets that still hold several classes after that are compared through, in blocks of bounded size:
+for each text and each other class its best-agreeing member is verified, if they agree in `AGREE` sketches at least.
 
 Edge cases: null counts as an empty text; texts without words form classes of exact copies; shorter texts than five words are one
 k-mer; rows that repeat both doc_id and text are copies; a class is named by its least doc_id, null if it has none.
@@ -35,6 +35,7 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 AGREE = 3
+STAR_ROUNDS = 2
 BLOCK = 256  # texts of a bucket that are compared with another block at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -202,11 +203,17 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, "node binary, sketches array<long>", run)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar. Only texts of some pair are moved."""
+def bucket_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node and text of every text that shares a bucket. The texts are moved once, by the same plan at every size."""
     named = docs.select(F.substring(text_key(), 1, 16).alias("node"), "text")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = stored(named.join(asked, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    nodes = members.select("node").distinct().hint("merge")
+    return stored(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+
+
+def verified(pairs: DataFrame, every: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar, with the texts of the nodes in `every`."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("merge")
+    texts = stored(every.join(asked, "node", "left_semi"), "near-asked")
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
@@ -224,6 +231,19 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_arrow(both.select("u", "v", "a", "b"), "u binary, v binary", run)
 
 
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """One pair (u, v) for each text that shares buckets with another class: v is the least text of the least class of a bucket,
+    the one whose buckets u shares most often.
+
+    classes: bucket, node, root. However large a group of copies is, it gives as many pairs as it has texts.
+    """
+    heads = classes.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("head"), F.max("root").alias("most"))
+    heads = stored(heads.filter("head.root != most").select("bucket", F.col("head.node").alias("v"), F.col("head.root").alias("of")), "near-heads")
+    asked = classes.join(heads, "bucket").filter("root != of").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("u").orderBy(F.desc("n"), "v")
+    return asked.withColumn("k", F.row_number().over(first)).filter("k = 1").select("u", "v")
+
+
 def across_classes(members: DataFrame) -> DataFrame:
     """Pairs (u, v) of different classes in one bucket: for each text and other class the best-agreeing member.
 
@@ -272,18 +292,24 @@ def near_classes(docs: DataFrame) -> DataFrame:
     exploded = found.select("node", F.posexplode("sketches").alias("band", "sketch"))
     bucket = F.xxhash64("band", "sketch").alias("bucket")
     rows = exploded.select("node", bucket)
-    least = rows.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("bucket", "v")
-    least = stored(least, "near-buckets")
-    members = stored(rows.join(least, "bucket"), "near-members")
-    stars = stored(members.filter("node != v").select(F.col("node").alias("u"), "v").distinct(), "near-stars")
-    links = stored(verified(stars, docs), "near-links")
-    roots = stored(components(links), "near-roots")
-    classes = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    often = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-buckets")
+    members = stored(rows.join(often, "bucket", "left_semi"), "near-members")
+    texts = bucket_texts(docs, members)
+    classes, links, asked = members.withColumn("root", F.col("node")), None, None
+    for _ in range(STAR_ROUNDS):
+        pairs = stored(star_pairs(classes), "near-stars")
+        if asked is not None:
+            pairs = pairs.join(asked, ["u", "v"], "left_anti")
+        found_links = stored(verified(pairs, texts), "near-links")
+        links = found_links if links is None else links.unionByName(found_links)
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        roots = stored(components(links), "near-roots")
+        classes = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     more = across_classes(classes.join(found, "node"))
-    more = stored(more.join(stars, ["u", "v"], "left_anti"), "near-more")
+    more = stored(more.join(asked, ["u", "v"], "left_anti"), "near-more")
     if more.isEmpty():
         return roots
-    more_links = stored(verified(more, docs), "near-more-links")
+    more_links = stored(verified(more, texts), "near-more-links")
     return stored(components(links.unionByName(more_links)), "near-roots")
 
 
