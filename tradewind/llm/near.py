@@ -7,9 +7,10 @@ they are near duplicates if an alignment of their words needs at most a fifth of
 connected components of these links; exact copies are one text from the start.
 
 A bucket is the texts with one sketch in common. Every text is first compared with one other only: of the least texts of its
-buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. `STAR_ROUNDS` rounds
-merge classes that way. Buckets that still hold several classes after that are compared through, in blocks of bounded size:
-for each text and each other class its best-agreeing member is verified, if they agree in `AGREE` sketches at least.
+buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. Buckets that still hold
+several classes after that are compared through, in blocks of bounded size: each text's sketches meet those of all texts in its
+bucket, and the best-agreeing text of another class is verified, if they agree in `AGREE` sketches at least. Classes are merged
+between the two halves of the buckets.
 
 Edge cases: null counts as an empty text; texts without words form classes of exact copies; shorter texts than five words are one
 k-mer; rows that repeat both doc_id and text are copies; a class is named by its least doc_id, null if it has none.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_schema, by_value, free_name, map_arrow, stored, text_key
+from tradewind.llm.common import arrow_schema, by_value, free_name, map_arrow, stored, text_key, worker_memory
 from tradewind.llm.components import components
 
 by_value(__name__)
@@ -35,8 +36,8 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 AGREE = 3
-STAR_ROUNDS = 2
-BLOCK = 256  # texts of a bucket that are compared with another block at once
+BAND_ROUNDS = 2  # the buckets are compared through in so many parts, with classes merged in between
+BLOCK = 1024  # texts of a bucket that are compared with another block at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(struct.pack("<q", j), 99) for j in range(SKETCHES)], np.uint64)
@@ -52,6 +53,11 @@ class WordHashes(dict):
         return found
 
 
+def known_words() -> WordHashes:
+    """What this worker remembers from one batch to the next."""
+    return worker_memory("near").setdefault("words", WordHashes())
+
+
 def word_hashes(text: str, known: WordHashes) -> np.ndarray:
     words = text.lower().split()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -192,7 +198,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.substring(text_key(), 1, 16).alias("node"), "text")
 
     def run(batch):
-        known, nodes, found = WordHashes(), [], []
+        known, nodes, found = known_words(), [], []
         for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = word_hashes(text or "", known)
             if len(words):
@@ -219,7 +225,7 @@ def verified(pairs: DataFrame, every: DataFrame) -> DataFrame:
     both = pairs.join(left, "u").join(right, "v")
 
     def run(batch):
-        known, last, out = WordHashes(), (None, None), {"u": [], "v": []}
+        known, last, out = known_words(), (None, None), {"u": [], "v": []}
         for u, v, a, b in zip(*(batch[c].to_pylist() for c in ("u", "v", "a", "b")), strict=True):
             if last[0] != v:
                 last = (v, word_hashes(b, known))
@@ -244,10 +250,12 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return asked.withColumn("k", F.row_number().over(first)).filter("k = 1").select("u", "v")
 
 
-def across_classes(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different classes in one bucket: for each text and other class the best-agreeing member.
+def best_partners(members: DataFrame) -> DataFrame:
+    """One pair (u, v) for each text in a bucket that holds several classes: v is the text of another class that agrees with u in
+    most sketches, if in AGREE at least.
 
-    members: bucket, node, root, sketches. A bucket of n texts is cut into blocks, and each two blocks meet in one task.
+    members: bucket, node, root, sketches. A bucket of n texts is cut into blocks, and each two blocks meet in one task;
+    each text comes out of that with one proposal, so the rows grow with the texts and not with their pairs.
     """
     sizes = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
@@ -261,7 +269,8 @@ def across_classes(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", other).select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "sketches"
     )
-    schema = arrow_schema("u binary, v binary")
+    out = "u binary, v binary, agree int"
+    schema = arrow_schema(out)
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group["x"][0].as_py(), group["y"][0].as_py()
@@ -270,47 +279,44 @@ def across_classes(members: DataFrame) -> DataFrame:
         nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
         number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
         classes = np.array([number[r] for r in roots])
-        first, second = np.flatnonzero(owns == x), np.flatnonzero(owns == y)
-        pairs = set()
-        for i in first.tolist():
-            agree = (found[second] == found[i]).sum(axis=1)
-            good = second[(agree >= AGREE) & (classes[second] != classes[i])]
-            best: dict[int, tuple[int, int]] = {}
-            for j, a in zip(good.tolist(), agree[np.searchsorted(second, good)].tolist(), strict=True):
-                if (a, -j) > best.get(classes[j], (-1, 0)):
-                    best[classes[j]] = (a, -j)
-            pairs.update((max(nodes[i], nodes[-j]), min(nodes[i], nodes[-j])) for _, j in best.values())
-        columns = list(zip(*pairs, strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.binary()) for c in columns], schema=schema)
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "u binary, v binary").distinct()
+        sides = [(x, y)] if x == y else [(x, y), (y, x)]
+        proposals = []
+        for asking, asked in sides:
+            others = np.flatnonzero(owns == asked)
+            for i in np.flatnonzero(owns == asking).tolist():
+                agree = (found[others] == found[i]).sum(axis=1)
+                agree[classes[others] == classes[i]] = 0
+                if len(agree) and agree.max() >= AGREE:
+                    best = int(agree.argmax())
+                    proposals.append((nodes[i], nodes[others[best]], int(agree[best])))
+        columns = list(zip(*proposals, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    proposed = rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
+    chosen = proposed.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    return chosen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """node -> root for every text that is similar to another one."""
     found = stored(sketch_rows(docs).dropDuplicates(["node"]), "near-sketches")
     exploded = found.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    bucket = F.xxhash64("band", "sketch").alias("bucket")
-    rows = exploded.select("node", bucket)
+    rows = exploded.select("node", (F.col("band") % BAND_ROUNDS).alias("round"), F.xxhash64("band", "sketch").alias("bucket"))
     often = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-buckets")
     members = stored(rows.join(often, "bucket", "left_semi"), "near-members")
     texts = bucket_texts(docs, members)
-    classes, links, asked = members.withColumn("root", F.col("node")), None, None
-    for _ in range(STAR_ROUNDS):
-        pairs = stored(star_pairs(classes), "near-stars")
-        if asked is not None:
-            pairs = pairs.join(asked, ["u", "v"], "left_anti")
-        found_links = stored(verified(pairs, texts), "near-links")
-        links = found_links if links is None else links.unionByName(found_links)
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        roots = stored(components(links), "near-roots")
-        classes = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    more = across_classes(classes.join(found, "node"))
-    more = stored(more.join(asked, ["u", "v"], "left_anti"), "near-more")
-    if more.isEmpty():
-        return roots
-    more_links = stored(verified(more, texts), "near-more-links")
-    return stored(components(links.unionByName(more_links)), "near-roots")
+    asked = stored(star_pairs(members.withColumn("root", F.col("node"))), "near-stars")
+    links = stored(verified(asked, texts), "near-links")
+    roots = stored(components(links), "near-roots")
+    for number in range(BAND_ROUNDS):
+        classes = members.filter(F.col("round") == number).join(roots, "node", "left")
+        classes = classes.select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        pairs = stored(best_partners(classes.join(found, "node")).join(asked, ["u", "v"], "left_anti"), "near-pairs")
+        more = stored(verified(pairs, texts), "near-links")
+        links, asked = links.unionByName(more), asked.unionByName(pairs)
+        if not more.isEmpty():
+            roots = stored(components(links), "near-roots")
+    return roots
 
 
 def with_class(docs: DataFrame, name: str = "class_node") -> DataFrame:
