@@ -126,6 +126,42 @@ def test_classes_that_only_meet_in_a_mixed_bucket(spark, monkeypatch):
     assert len(got) == 10
 
 
+def test_failing_partners_do_not_hide_others(docs_of, prose):
+    """Texts that share a passage agree in more sketches than planted pairs do, but are not similar."""
+    passage = prose(1, 100).split()
+    pairs = [(i, " ".join(passage + prose(1000 + i, 60).split())) for i in range(240)]
+    for i in range(40):
+        own = prose(3000 + i, 60).split()
+        near_passage = vary(passage, 10, i)
+        pairs += [(500 + 2 * i, " ".join(passage + own)), (501 + 2 * i, " ".join(near_passage + vary(own, 14, 50 + i)))]
+    known = near.WordHashes()
+    words = [near.word_hashes(t, known) for _, t in pairs]
+    found = np.array([near.sketches(w) for w in words])
+    root = list(range(len(pairs)))
+    for i in range(len(pairs)):
+        for j in np.flatnonzero((found[:i] == found[i]).any(axis=1)).tolist():
+            if near.similar(words[i], words[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted(((pairs[i][0], pairs[r][0]) for i, r in enumerate(root)), key=repr)
+    assert sum(d != c for d, c in want) >= 25
+    assert classes(docs_of(pairs).repartition(4)) == want
+
+
+def test_profiles_never_exceed_the_edits():
+    known = near.WordHashes()
+    for seed in range(80):
+        r = random.Random(seed)
+        a = [f"w{r.randrange(r.choice([3, 40, 4000]))}" for _ in range(r.choice([3, 40, 900]))]
+        x, y = (near.word_hashes(" ".join(w), known) for w in (a, vary(a, r.randrange(1 + len(a) // 5), seed)))
+        table = {
+            "own": [0, 0], "band": [0, 0], "node": [b"a", b"b"], "root": [b"a", b"b"], "sketches": [[1], [1]],
+            "profile": [near.profile(x), near.profile(y)], "refused": [None, None],
+        }
+        got, agree = near.Block(near.pa.table(table)).open(0, np.array([0, 1]))
+        assert not near.similar(x, y) or (got.tolist() == [1] and agree.tolist() == [1])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     df = spark.createDataFrame(edges, "u long, v long")

@@ -8,9 +8,10 @@ connected components of these links; exact copies are one text from the start.
 
 A bucket is the texts with one sketch in common. Every text is first compared with one other only: of the least texts of its
 buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. Buckets that still hold
-several classes after that are compared through, in blocks of bounded size: each text's sketches meet those of all texts in its
-bucket, and the best-agreeing text of another class is verified, if they agree in `AGREE` sketches at least. Classes are merged
-between the two halves of the buckets.
+several classes after that are compared through, in blocks of bounded size: each text meets all texts in its bucket, and the
+best-agreeing text of another class is verified. Classes are merged between the two halves of the buckets. After that every pair
+of a bucket that is in two classes and was not verified is, so no candidate is left out but by proof: lengths and counts of words
+in `BINS` groups bound the edits from below, and pairs beyond the bound are not near duplicates.
 
 Edge cases: null counts as an empty text; texts without words form classes of exact copies; shorter texts than five words are one
 k-mer; rows that repeat both doc_id and text are copies; a class is named by its least doc_id, null if it has none.
@@ -35,7 +36,7 @@ WORDS = 5
 SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
-AGREE = 3
+BINS = 256  # groups of words whose counts a profile holds
 BAND_ROUNDS = 2  # the buckets are compared through in so many parts, with classes merged in between
 BLOCK = 1024  # texts of a bucket that are compared with another block at once
 
@@ -103,6 +104,12 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def profile(words: np.ndarray) -> bytes:
+    """Number of words, and the words of each bin up to 255; bounds the edits between two texts from below."""
+    bins = np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return struct.pack("<I", len(words)) + np.minimum(bins, 255).astype(np.uint8).tobytes()
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two word sequences if it is at most `most`, by alignment in a band that doubles."""
     if len(a) > len(b):
@@ -194,19 +201,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """node (16 bytes for the text) and its sketches, for texts with words."""
+    """node (16 bytes for the text), its sketches and its profile, for texts with words."""
     rows = docs.select(F.substring(text_key(), 1, 16).alias("node"), "text")
 
     def run(batch):
-        known, nodes, found = known_words(), [], []
+        known, nodes, found, profiles = known_words(), [], [], []
         for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = word_hashes(text or "", known)
             if len(words):
                 nodes.append(node)
                 found.append(sketches(words).view(np.int64).tolist())
-        return {"node": nodes, "sketches": found}
+                profiles.append(profile(words))
+        return {"node": nodes, "sketches": found, "profile": profiles}
 
-    return map_arrow(rows, "node binary, sketches array<long>", run)
+    return map_arrow(rows, "node binary, sketches array<long>, profile binary", run)
 
 
 def bucket_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -250,70 +258,139 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return asked.withColumn("k", F.row_number().over(first)).filter("k = 1").select("u", "v")
 
 
-def best_partners(members: DataFrame) -> DataFrame:
-    """One pair (u, v) for each text in a bucket that holds several classes: v is the text of another class that agrees with u in
-    most sketches, if in AGREE at least.
+class Block:
+    """The texts of one or two blocks of a bucket."""
 
-    members: bucket, node, root, sketches. A bucket of n texts is cut into blocks, and each two blocks meet in one task;
-    each text comes out of that with one proposal, so the rows grow with the texts and not with their pairs.
+    def __init__(self, group: pa.Table):
+        self.owns, self.bands = group["own"].to_numpy(), group["band"].to_pylist()
+        self.found = group["sketches"].combine_chunks().flatten().to_numpy().reshape(len(self.owns), -1)
+        self.nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        self.classes = np.array([number[r] for r in roots])
+        profiles = [p or bytes(4 + BINS) for p in group["profile"].to_pylist()]
+        every = np.frombuffer(b"".join(profiles), np.uint8).reshape(len(profiles), -1)
+        self.sizes = every[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
+        self.bins = every[:, 4:].astype(np.int16)
+        self.place = {n: i for i, n in enumerate(self.nodes)}
+        self.refused = group["refused"].to_pylist()
+
+    def open(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of `others` in another class that share a sketch with text i and may be similar to it; how many they share."""
+        others = others[self.classes[others] != self.classes[i]]
+        most = np.floor(np.maximum(self.sizes[others], self.sizes[i]) * (1 - SIMILARITY) + 1e-9)
+        fits = np.abs(self.sizes[others] - self.sizes[i]) <= most
+        others, most = others[fits], most[fits]
+        agree = (self.found[others] == self.found[i]).sum(axis=1)
+        others, most, agree = others[agree > 0], most[agree > 0], agree[agree > 0]
+        more = self.bins[others] - self.bins[i]
+        above = np.maximum(more, 0).sum(axis=1, dtype=np.int64)
+        fits = np.maximum(above, above - more.sum(axis=1, dtype=np.int64)) <= most
+        return others[fits], agree[fits]
+
+
+def _in_blocks(members: DataFrame, name: str, both: bool, pairs) -> DataFrame:
+    """u, v, agree of the (i, j, agree) that `pairs` yields for a Block, a text and the texts it meets.
+
+    members: bucket, node, root, sketches, and if known band, profile and refused (nodes that the text asked before). A bucket of
+    n texts is cut into blocks, and each two blocks meet in one task; with `both`, each of two texts meets the other.
     """
+    for column, kind in (("band", "int"), ("profile", "binary"), ("refused", "array<binary>")):
+        if column not in members.columns:
+            members = members.withColumn(column, F.lit(None).cast(kind))
     sizes = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
     )
-    mixed = stored(
-        sizes.filter("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-mixed"
-    )
+    mixed = stored(sizes.filter("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     rows = members.join(mixed, "bucket").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select(
-        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "sketches"
-    )
+        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        "own", "node", "root", "band", "sketches", "profile", "refused",
+    )
     out = "u binary, v binary, agree int"
     schema = arrow_schema(out)
 
     def run(group: pa.Table) -> pa.Table:
         x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        owns = group["own"].to_numpy()
-        found = group["sketches"].combine_chunks().flatten().to_numpy().reshape(len(owns), -1)
-        nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        classes = np.array([number[r] for r in roots])
-        sides = [(x, y)] if x == y else [(x, y), (y, x)]
-        proposals = []
-        for asking, asked in sides:
-            others = np.flatnonzero(owns == asked)
-            for i in np.flatnonzero(owns == asking).tolist():
-                agree = (found[others] == found[i]).sum(axis=1)
-                agree[classes[others] == classes[i]] = 0
-                if len(agree) and agree.max() >= AGREE:
-                    best = int(agree.argmax())
-                    proposals.append((nodes[i], nodes[others[best]], int(agree[best])))
-        columns = list(zip(*proposals, strict=True)) or [[], [], []]
+        block, found = Block(group), []
+        for asking, asked in [(x, y), (y, x)] if both and x != y else [(x, y)]:
+            others = np.flatnonzero(block.owns == asked)
+            for i in np.flatnonzero(block.owns == asking).tolist():
+                found += pairs(block, i, others if both or x != y else others[others > i])
+        rows = [(block.nodes[i], block.nodes[j], n) for i, j, n in found]
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    proposed = rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
-    chosen = proposed.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    return chosen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, with the lesser node as v."""
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def proposals(members: DataFrame) -> DataFrame:
+    """One pair (u, v) for each text in a bucket that holds several classes: v is the text of another class that agrees with u in
+    most sketches, among those that may be similar and that u has not asked. The rows grow with the texts and not with their pairs."""
+
+    def best(block, i, others):
+        found, agree = block.open(i, others)
+        known = [block.place[n] for n in block.refused[i] or () if n in block.place]
+        agree[np.isin(found, known)] = 0
+        if len(agree) and agree.max() > 0:
+            yield i, int(found[agree.argmax()]), int(agree.max())
+
+    chosen = _in_blocks(members, "near-mixed", True, best).groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best"))
+    return chosen.select("u", F.col("best.v").alias("v"))
+
+
+def best_partners(members: DataFrame) -> DataFrame:
+    """The pairs of `proposals`, each once."""
+    return ordered(proposals(members))
+
+
+def open_pairs(members: DataFrame) -> DataFrame:
+    """Every pair (u, v) of two classes that shares a bucket and may be similar, from the first band in which they agree."""
+
+    def every(block, i, others):
+        found, agree = block.open(i, others)
+        first = (block.found[found] == block.found[i]).argmax(axis=1)
+        return [(i, j, n) for j, n, b in zip(found.tolist(), agree.tolist(), first.tolist(), strict=True) if b == block.bands[i]]
+
+    return ordered(_in_blocks(members, "near-mixed", False, every))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """node -> root for every text that is similar to another one."""
     found = stored(sketch_rows(docs).dropDuplicates(["node"]), "near-sketches")
     exploded = found.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    rows = exploded.select("node", (F.col("band") % BAND_ROUNDS).alias("round"), F.xxhash64("band", "sketch").alias("bucket"))
+    rows = exploded.select("node", "band", F.xxhash64("band", "sketch").alias("bucket"))
     often = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-buckets")
     members = stored(rows.join(often, "bucket", "left_semi"), "near-members")
     texts = bucket_texts(docs, members)
     asked = stored(star_pairs(members.withColumn("root", F.col("node"))), "near-stars")
     links = stored(verified(asked, texts), "near-links")
     roots = stored(components(links), "near-roots")
-    for number in range(BAND_ROUNDS):
-        classes = members.filter(F.col("round") == number).join(roots, "node", "left")
-        classes = classes.select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        pairs = stored(best_partners(classes.join(found, "node")).join(asked, ["u", "v"], "left_anti"), "near-pairs")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        classes = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = classes.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
+        return stored(classes.join(several.select("bucket"), "bucket", "left_semi"), "near-classes").join(found, "node")
+
+    for number in [*range(BAND_ROUNDS), None]:
+        if number is None:
+            pairs = open_pairs(mixed(members))
+        else:
+            refused = asked.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refused"))
+            part = mixed(members.filter(F.col("band") % BAND_ROUNDS == number))
+            proposed = stored(proposals(part.join(refused, "node", "left")), "near-proposed")
+            pairs = ordered(proposed)
+        pairs = stored(pairs.join(ordered(asked), ["u", "v"], "left_anti"), "near-pairs")
         more = stored(verified(pairs, texts), "near-links")
-        links, asked = links.unionByName(more), asked.unionByName(pairs)
+        links = links.unionByName(more)
+        if number is not None:
+            asked = asked.unionByName(proposed)
         if not more.isEmpty():
             roots = stored(components(links), "near-roots")
     return roots
