@@ -76,6 +76,15 @@ def test_edge_cases(spark, docs_of, prose):
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 5, 9, 11]
 
 
+def test_clean_rows_stay_beside_leaked_ones_of_the_same_id(spark, docs_of, prose):
+    item = prose(1, 30)
+    pairs = [(None, f"before {item} after"), (None, prose(2, 40)), (7, item), (7, prose(3, 40)), (None, None), (8, item)]
+    kept = leaks.without_leaks(docs_of(pairs), spark.createDataFrame([(1, item)], ITEMS))
+    assert kept.columns == docs_of(pairs).columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([pairs[1], pairs[3], pairs[4]], key=repr)
+
+
 def test_blocks_of_items(spark, docs_of, prose, monkeypatch):
     items = [(k, prose(k, 30)) for k in range(8)]
     pairs = [(k, prose(50 + k, 20) + " " + prose(k, 30)) for k in range(0, 8, 2)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import arrow_schema, by_value
+from tradewind.llm.common import arrow_schema, by_value, free_name, row_key, text_key
 
 by_value(__name__)
 
@@ -194,6 +194,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    bad = find_leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents that hold no item, each judged by its own text: a doc_id may be null or repeated."""
+    key, leaked = free_name(docs, "_row"), free_name(docs, "_leaked")
+    rows = docs.withColumn(key, F.concat(text_key(), row_key()))
+    bad = find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(leaked)).distinct()
+    return rows.join(bad, F.col(key) == F.col(leaked), "left_anti").select(*docs.columns)
