@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, chat, chunks, leaks, lines, near, nearest, quality, repeats, shards
+from tradewind.llm import audit, bpe, chat, chunks, leaks, lines, near, nearest, pieces, quality, repeats, search, shards
 from tradewind.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +131,131 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = f"""
+WITH term AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+),
+item AS (
+  SELECT item_id, t, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t
+),
+total AS (SELECT count(DISTINCT row) AS n_docs, count(*) AS n_terms FROM term),
+long AS (
+  SELECT row, 75 + CAST(25 * count(*) * max(n_docs) // max(n_terms) AS BIGINT) AS m FROM term CROSS JOIN total GROUP BY row
+),
+tf AS (SELECT row, doc_id, t, count(*) AS tf FROM term WHERE t IN (SELECT t FROM item) GROUP BY row, doc_id, t),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM tf CROSS JOIN total GROUP BY t
+),
+scored AS (
+  SELECT item_id, row, tf.doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM tf JOIN long USING (row) JOIN weight USING (t) JOIN item USING (t)
+  GROUP BY item_id, row, tf.doc_id
+),
+ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {search.TOP}
+"""
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, for every language, order and step."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Failures are judged per document, and every order is walked over all documents with one failure pattern.
+OP12_SQL = f"""
+WITH text AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+),
+judged AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < {audit.MIN_WORDS} THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < {audit.MIN_DISTINCT_PERCENT} * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITAL_PERCENT} * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '{audit.ODD_CHARACTERS}') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM text
+),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+pattern AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+walked AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails,
+    contains(fails, f) AS own, translate(fails, before, '') <> fails AS earlier
+  FROM pattern CROSS JOIN steps
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT own AND NOT earlier THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM walked GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids with the end id, decoded again."""
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep_ids=False)
+
+
+OPERATORS = (
+    op1_chat,
+    op2_chunks,
+    op3_shards,
+    op4_lines,
+    op5_leaks,
+    op6_nearest,
+    op7_near,
+    op8_repeats,
+    op9_quality,
+    op10_byte_bpe,
+    op11_search,
+    op12_audit,
+    op13_pieces,
+)
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_chunks, op3_shards, op4_lines, op5_leaks, op6_nearest, op7_near, op8_repeats, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def all_statements() -> dict[str, str]:
     """DuckDB statements of those queries that SQL can express on whole tables."""
-    return {"op4_lines": OP4_SQL}
+    return {"op4_lines": OP4_SQL, "op11_search": OP11_SQL, "op12_audit": OP12_SQL}
