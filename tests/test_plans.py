@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from datetime import date
 
 import pytest
 
 from tradewind.queries import all_queries
+from tradewind.sources.driver import Shop
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"forecast_fit", "walk_forward", "walk_forward_summary"}
@@ -26,11 +28,20 @@ tied_capital_slow forecast_history forecast_series forecast_fit forecast_baselin
 walk_forward_baseline forecast_totals forecast_7d forecast_overlay forecast_cover residual_hist forecast_errors forecast_alert
 cold_start etl_incremental_window etl_incremental_items
 """.split()
+DATED_LINES = """
+top_products slow_movers gross_margin_by_category stockouts_at_risk sq_top_skus sq_margin_category product_concentration
+slow_capital category_vs_prior velocity_heatmap top25_skus mart_product_velocity mart_stockout_risk tied_capital_slow
+forecast_history forecast_series forecast_fit forecast_baseline walk_forward walk_forward_summary walk_forward_baseline
+forecast_totals forecast_7d forecast_overlay forecast_cover residual_hist forecast_errors forecast_alert cold_start
+etl_incremental_window etl_incremental_items
+""".split()
 DATED_EVENTS = "funnel_last_30d funnel_drops funnel_point_value cart_abandonment sq_abandonment etl_incremental_window".split()
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
+    Shop(spark, SF).line_store()  # stored once, by a job of its own
+    Shop(spark, SF).dated(date(2001, 7, 1), date(2001, 8, 1)).order_items()
     changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "4000"}
     before = {k: spark.conf.get(k) for k in changed}
     for k, v in changed.items():
@@ -64,6 +75,12 @@ def test_date_windows_reach_the_scans(plans):
             assert scans and all("GreaterThanOrEqual" in s and "LessThan" in s for s in scans), (name, scans)
 
 
+def test_date_windows_open_only_their_partitions_of_the_lines(plans):
+    for name in DATED_LINES:
+        scans = re.findall(r"FileScan parquet \[[^\]]*l_orderkey[^\]]*\].*?PartitionFilters: \[(.*?)\], PushedFilters", plans[name])
+        assert scans and all(re.search(r"dt#\d+ >= .*dt#\d+ <= ", s) for s in scans), (name, scans)
+
+
 def test_lines_are_read_once(plans):
     assert len(_scans(plans["promo_incremental_margin"], "l_partkey")) == 1
     assert len(_scans(plans["dq_checks"], "l_partkey")) == 1

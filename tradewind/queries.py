@@ -178,7 +178,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("etl_incremental_items")
 def _(s: Shop) -> DataFrame:
-    return etl.incremental_items(s.order_items(), last(s, 2).orders(), AS_OF_TS, hours=48)
+    return etl.incremental_items(last(s, 2).order_items(), last(s, 2).orders(), AS_OF_TS, hours=48)
 
 
 @query("etl_jsonl_roundtrip")
@@ -451,12 +451,12 @@ def _(s: Shop) -> DataFrame:
 
 @query("top_products")
 def _(s: Shop) -> DataFrame:
-    return an.top_products(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
+    return an.top_products(last(s, 30).order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 def _slow(s: Shop) -> DataFrame:
     return an.slow_movers(
-        s.products(), s.order_items(), last(s, 60).orders(), s.inventory_levels(), s.product_variants(), AS_OF_TS
+        s.products(), last(s, 60).order_items(), last(s, 60).orders(), s.inventory_levels(), s.product_variants(), AS_OF_TS
     )
 
 
@@ -502,13 +502,13 @@ def _(s: Shop) -> DataFrame:
 
 @query("gross_margin_by_category")
 def _(s: Shop) -> DataFrame:
-    return an.gross_margin_by_category(s.order_items(), last(s, 30).orders(), s.products(), s.categories(), AS_OF_TS)
+    return an.gross_margin_by_category(last(s, 30).order_items(), last(s, 30).orders(), s.products(), s.categories(), AS_OF_TS)
 
 
 @query("stockouts_at_risk")
 def _(s: Shop) -> DataFrame:
     return an.stockouts_at_risk(
-        s.order_items(), last(s, 28).orders(), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_TS
+        last(s, 28).order_items(), last(s, 28).orders(), s.inventory_levels(), s.product_variants(), s.products(), AS_OF_TS
     )
 
 
@@ -698,7 +698,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("product_concentration")
 def _(s: Shop) -> DataFrame:
-    return rp.product_concentration(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
+    return rp.product_concentration(last(s, 30).order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 @query("slow_capital")
@@ -751,7 +751,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("top25_skus")
 def _(s: Shop) -> DataFrame:
-    return rp.top_skus(s.order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
+    return rp.top_skus(last(s, 30).order_items(), last(s, 30).orders(), s.products(), AS_OF_TS)
 
 
 @query("forecast_7d")

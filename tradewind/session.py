@@ -56,3 +56,14 @@ def shared_dir(spark: SparkSession) -> str:
 def run_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one; every run writes to its own."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of every file at `path`, as the table's own file system lists them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while listing.hasNext():
+        f = listing.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)

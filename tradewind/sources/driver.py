@@ -11,6 +11,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.sources import line_store
+
 # The seven channels, sizes, colours and carriers of the shop.
 CHANNELS = ("organic", "paid_search", "paid_social", "email", "direct", "referral", "affiliate")
 SIZES = ("XS", "S", "M", "L")
@@ -50,10 +52,19 @@ class Shop:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def line_store(self) -> tuple[str, str]:
+        """Path and grain of the lines by date of their order; the first call of an application builds it."""
+        sources = (self.path("lineitem"), self.path("orders"), Shop.table(self, "lineitem"), Shop.table(self, "orders"))
+        return line_store.ensure(self.spark, *sources, "l_orderkey", "o_orderkey", "o_orderdate")
 
     def dated(self, first: date, last: date) -> Shop:
-        """The same shop for jobs that look at these dates only: the scans of orders and events skip the others.
+        """The same shop for jobs that look at these dates only: the scans of orders and events skip the others, and
+        lines come from the store by date.
 
         Times of the entities lie less than a day after the raw date (orders) or a fixed shift before it (events). The
         bounds are a day wider on both sides, so a job's own window decides and these only prune.
@@ -310,6 +321,9 @@ class _DatedShop(Shop):
         self.first, self.last = first, last
 
     def table(self, name: str) -> DataFrame:
+        if name == "lineitem":
+            path, grain = self.line_store()
+            return line_store.read(self.spark, path, TABLES[name], self.first, self.last, grain)
         df = super().table(name)
         if name not in self._TIMES:
             return df
