@@ -5,8 +5,10 @@ from datetime import date, datetime
 import pytest
 from helpers import MONEY, frame, rows
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from tradewind.operators import etl
+from tradewind.operators.key_index import BLOCK, KeyIndex
 from tradewind.schemas import ENTITIES
 from tradewind.session import shared_dir
 from tradewind.sources.tables import read_entity, read_jsonl, write_entity, write_jsonl
@@ -196,3 +198,54 @@ def test_reconcile_counts_rows_without_a_date(spark):
     s = frame(spark, "t timestamp", [(None,), (None,), ("2024-01-02",)])
     t = frame(spark, "t timestamp", [(None,), ("2024-01-02",)])
     assert rows(etl.reconcile(s, t, "t"), "date") == [(None, 2, 1, 1, True), (date(2024, 1, 2), 1, 1, 0, False)]
+
+
+def test_small_pull_reads_only_partitions_that_hold_its_keys(spark, tmp_path):
+    """1,000 keys on 50 dates; a pull of three keys, one moved, opens the dates of these keys and no others."""
+    path = str(tmp_path / "orders")
+    big = raw(spark, [(i, "a", "1.00", f"2024-{1 + i % 50 // 25:02d}-{1 + i % 25:02d}", "2024-03-01") for i in range(1000)])
+    etl.load_fact(big.withColumn("channel", F.lit("x")), "orders", path, "placed_at")
+    pull = raw(spark, [(3, "b", "2.00", "2024-01-04", "2024-03-02"), (53, "b", "2.00", "2024-01-04", "2024-03-02"), (7, "b", "2.00", "2024-02-20", "2024-03-02")])
+    seen = Observation()
+    days = etl.load_fact(pull.withColumn("channel", F.lit("x")), "orders", path, "placed_at", reads=seen)
+    assert seen.get["rows_read"] == 3 * 20  # the dates 01-04, 01-08 (which 7 leaves) and 02-20
+    assert sorted(r[0].isoformat() for r in days.collect()) == ["2024-01-04", "2024-01-08", "2024-02-20"]
+    stored = spark.read.parquet(path)
+    assert stored.count() == 1000 and stored.filter("status = 'b'").count() == 3
+    again = Observation()
+    etl.load_fact(pull.withColumn("channel", F.lit("x")), "orders", path, "placed_at", reads=again)
+    assert again.get["rows_read"] == 60  # 7 may still be looked for under its old date
+    assert spark.read.parquet(path).count() == 1000
+
+
+def test_index_opens_only_buckets_of_its_keys(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "t"), ["id"])
+    kind = "id bigint, dt date"
+    index.add(frame(spark, kind, [(i * BLOCK, "2024-01-01") for i in range(40)]))
+    near = index.near(frame(spark, kind, [(5 * BLOCK, "2024-01-02"), (5 * BLOCK + 9, "2024-01-02"), (10**15, "2024-01-02")]))
+    assert len({f.parent.name for f in (tmp_path / "t-keys").rglob("*.parquet")}) > 30  # blocks lie in buckets of their own
+    assert "PartitionFilters: [bucket#" in near._jdf.queryExecution().executedPlan().toString()
+    assert rows(near.select("id")) == [(5 * BLOCK,)]
+
+
+def test_index_of_text_and_composite_keys_with_nulls(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "t"), ["code", "n"])
+    kind = "code string, n bigint, dt date"
+    data = [("a", 1, "2024-01-01"), ("a", None, "2024-01-02"), (None, 1, None), ("a", 1, "2024-01-05")]
+    index.add(frame(spark, kind, data))
+    files = len(list((tmp_path / "t-keys").rglob("*.parquet")))
+    index.add(frame(spark, kind, data))
+    assert len(list((tmp_path / "t-keys").rglob("*.parquet"))) == files  # nothing new, nothing written
+    near = index.near(frame(spark, kind, [("a", None, None), (None, 1, None), ("b", 1, None)]))
+    assert rows(near.select("code", "n", F.col("dt").cast("string"))) == [("a", None, "2024-01-02"), (None, 1, None)]
+    index.rebuild(frame(spark, kind, data[:1]))
+    assert rows(index.near(frame(spark, kind, data)).select("code")) == [("a",)]
+
+
+def test_load_builds_the_index_of_a_table_without_one(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    first = raw(spark, [(i, "a", "1.00", f"2024-01-0{i}", "2024-03-01") for i in range(1, 6)]).withColumn("channel", F.lit("x"))
+    write_entity(first, "orders", path)
+    etl.load_fact(raw(spark, [(2, "b", "1.00", "2024-01-05", "2024-03-02")]).withColumn("channel", F.lit("x")), "orders", path, "placed_at")
+    got = rows(spark.read.parquet(path).select("id", "status", F.col("dt").cast("string")), "id")
+    assert got == [(1, "a", "2024-01-01"), (2, "b", "2024-01-05"), (3, "a", "2024-01-03"), (4, "a", "2024-01-04"), (5, "a", "2024-01-05")]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import col, date_lit, ts_lit
+from tradewind.operators.key_index import KeyIndex
 from tradewind.session import run_path
 from tradewind.sources.tables import DATE_PARTITION, partition_date, read_jsonl, write_entity, write_jsonl
 
@@ -100,40 +101,49 @@ def load_fact(
     pk: Sequence[str] = ("id",),
     newest: Sequence[str] = ("_ingested_at",),
     grain: str = "DAY",
+    reads: Observation | None = None,
 ) -> DataFrame:
     """Merge a pull into its date partitions: same pull twice, same table.
 
-    Touched are the dates of the pull and the dates under which its keys are stored already, so a row whose time moved
-    leaves its old date. Rows without a time have a partition of their own and are matched like any other. Only touched
-    partitions are replaced, and of the others only keys are read. The merged rows are staged in the shared folder first, so a
-    failed run leaves the table as it was or is mended by the next. A table that is reloaded over years
-    may be cut by a coarser `grain` (MONTH). Returns the touched partitions.
+    The pull is staged once, one row per key. Touched are its own dates and those under which the key index has its keys, so
+    a row whose time moved leaves its old date. Rows without a time have a partition of their own and are matched like any
+    other. Only touched partitions are opened and replaced; of all others nothing is read. The merged rows are staged in the
+    shared folder first, so a failed run leaves the table as it was or is mended by the next. A table that is reloaded over
+    years may be cut by a coarser `grain` (MONTH). `reads` counts the stored rows that were read. Returns the touched
+    partitions.
     """
     spark = incoming.sparkSession
     day = partition_date(time_column, grain)
-    dated = incoming.withColumn(DATE_PARTITION, day)
     stage = run_path(spark, f"stage-{entity}")
-    stored = stored_table(spark, path, dated)
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    pull = staged(dedupe_latest(incoming, pk, newest).withColumn(DATE_PARTITION, day), "pull")
+    keys = KeyIndex(spark, path, pk)
+    stored = stored_table(spark, path, pull)
     if stored is None:
-        dedupe_latest(incoming, pk, newest).write.parquet(stage)
-        rows = spark.read.schema(incoming.schema).parquet(stage)
-        write_entity(rows, entity, path, grain=grain)
-        return rows.select(day.alias(DATE_PARTITION)).distinct()
-    held = stored.join(dated.select(*pk).distinct(), list(pk), "left_semi").select(DATE_PARTITION)
-    days = dated.select(DATE_PARTITION).unionByName(held).distinct()
-    days.write.parquet(f"{stage}-days")
-    days = spark.read.schema(days.schema).parquet(f"{stage}-days")
-    touched = days.select(F.col(DATE_PARTITION).alias("_touched"))
-    within = stored.join(touched, F.col(DATE_PARTITION).eqNullSafe(F.col("_touched")), "left_semi")
-    merged = dated.unionByName(within).drop(DATE_PARTITION)
-    dedupe_latest(merged, pk, newest).write.parquet(stage)
-    rows = spark.read.schema(incoming.schema).parquet(stage)
-    before = within.select(DATE_PARTITION).distinct()
-    after = rows.select(day.alias("_after")).distinct()
-    emptied = before.join(after, F.col(DATE_PARTITION).eqNullSafe(F.col("_after")), "left_anti").collect()  # dates only
+        keys.add(pull)
+        write_entity(pull.drop(DATE_PARTITION), entity, path, grain=grain)
+        return pull.select(DATE_PARTITION).distinct()
+    if keys.stored(pull) is None:
+        keys.rebuild(stored)
+    places = keys.near(pull).select(DATE_PARTITION).unionByName(pull.select(DATE_PARTITION)).distinct()
+    days = [r[0] for r in places.collect()]  # dates of partitions only
+    keys.add(pull)
+    known = [d for d in days if d is not None]
+    touched = F.col(DATE_PARTITION).isin(known) if known else F.lit(False)
+    if None in days:
+        touched = touched | F.col(DATE_PARTITION).isNull()
+    within = stored.filter(touched)
+    before = {r[0] for r in within.select(DATE_PARTITION).distinct().collect()}
+    opened = within.observe(reads, F.count("*").alias("rows_read")) if reads else within
+    rows = staged(dedupe_latest(pull.unionByName(opened).drop(DATE_PARTITION), pk, newest), "merged")
+    after = {r[0] for r in rows.select(day).distinct().collect()}
     write_entity(rows, entity, path, grain=grain)
-    _remove_partitions(spark, path, [r[DATE_PARTITION] for r in emptied])
-    return days
+    _remove_partitions(spark, path, sorted(before - after, key=str))
+    return spark.createDataFrame([(d,) for d in days], f"{DATE_PARTITION} date")
 
 
 def bootstrap(tables: Mapping[str, DataFrame], root: str, ingested_at: datetime) -> dict[str, int]:

@@ -76,6 +76,10 @@ _PULL = f"""SELECT id, customer_id, status, channel, {_d('grand_total')} AS gran
        CASE WHEN id % 50 <> 0 THEN placed_at END AS placed_at FROM e_orders"""
 _RAW["etl_load_twice"] = _PULL
 
+_RAW["etl_load_days"] = f"""
+SELECT id, customer_id, session_id, CASE WHEN created_at >= {TS} - to_hours(48) THEN 'closed' ELSE status END AS status, created_at
+FROM e_carts"""
+
 _FIXED = f"""{_PULL} WHERE id % 10 <> 0
 UNION ALL SELECT id, customer_id, 'refunded', channel, {_d('grand_total')},
        CASE WHEN id % 20 = 10 THEN placed_at + INTERVAL 3 DAY WHEN id % 40 <> 0 THEN placed_at END

@@ -149,6 +149,18 @@ def _(s: Shop) -> DataFrame:
     return _stored_orders(s, path)
 
 
+@query("etl_load_days")
+def _(s: Shop) -> DataFrame:
+    """All carts under their days, then a pull that closes the carts of the last 48 hours, loaded twice."""
+    path, kind = run_path(s.spark, "carts-days"), ["id", "customer_id", "session_id", "status", "created_at"]
+    carts = s.carts().select(*kind)
+    etl.load_fact(_pulled(carts, 1), "carts", path, "created_at")
+    recent = etl.incremental_window(carts, "created_at", AS_OF_TS, hours=48).withColumn("status", F.lit("closed"))
+    for _again in range(2):
+        etl.load_fact(_pulled(recent, 2), "carts", path, "created_at")
+    return s.spark.read.parquet(path).select(*kind)
+
+
 @query("etl_reconcile_stored")
 def _(s: Shop) -> DataFrame:
     """Orders against the stored table, into which every 97th has not come yet."""
