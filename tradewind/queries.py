@@ -1060,16 +1060,15 @@ def _(s: Shop) -> DataFrame:
 
 @query("stream_stock_totals")
 def _(s: Shop) -> DataFrame:
-    """Opening stock and the sales out of it, arriving in several files, merged by key batch by batch."""
+    """Opening stock and the sales out of it, arriving pull by pull, merged by key batch by batch."""
     opening = s.inventory_levels().select("variant_id", "warehouse_code", F.col("on_hand").alias("delta"))
     sold = bulk.stock_moves_from_sales(s.order_items()).select("variant_id", F.lit("MAIN").alias("warehouse_code"), "delta")
-    arrived = run_path(s.spark, "moves")
+    arrived, sink, progress = (run_path(s.spark, f"stock-{x}") for x in ("in", "totals", "progress"))
     for part in (opening, sold.filter("variant_id % 3 > 0"), sold.filter("variant_id % 3 = 0")):
-        part.coalesce(1 if part is opening else 2).write.mode("append").parquet(arrived)
-    moves = s.spark.readStream.schema(opening.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
-    keys = ["variant_id", "warehouse_code"]
-    sink, progress = run_path(s.spark, "stock"), run_path(s.spark, "stock-progress")
-    return jobs.run_available(jobs.stock_totals(moves), sink, progress, "update", keys)
+        part.write.mode("append").parquet(arrived)
+        moves = s.spark.readStream.schema(opening.schema).parquet(arrived)
+        totals = jobs.run_available(jobs.stock_totals(moves), sink, progress, "update", ["variant_id", "warehouse_code"])
+    return totals
 
 
 @query("stream_sliding_revenue")
@@ -1086,12 +1085,12 @@ def _(s: Shop) -> DataFrame:
 def _(s: Shop) -> DataFrame:
     """Days kept current by a stream of orders that ends in corrections: first all orders, then the moved ones."""
     kind = ["id", "customer_id", "status", "channel", "grand_total", "placed_at", "_ingested_at"]
-    arrived = run_path(s.spark, "orders-in")
+    arrived, stored, out, progress = (run_path(s.spark, f"orders-{x}") for x in ("in", "stored", "days", "progress"))
     for pull, hour in ((_order_rows(s), 1), (_corrections(s), 2)):
-        _timed(_pulled(pull, hour).select(*kind), "placed_at", "_ingested_at").coalesce(1).write.mode("append").parquet(arrived)
-    stream = s.spark.readStream.schema(s.spark.read.parquet(arrived).schema).option("maxFilesPerTrigger", 1).parquet(arrived)
-    stored, out, progress = (run_path(s.spark, f"orders-{x}") for x in ("stored", "days", "progress"))
-    jobs.daily_revenue_stream(stream, stored, out, progress, grain="MONTH").start().awaitTermination()
+        rows = _timed(_pulled(pull, hour).select(*kind), "placed_at", "_ingested_at")
+        rows.write.mode("append").parquet(arrived)
+        stream = s.spark.readStream.schema(rows.schema).parquet(arrived)
+        jobs.daily_revenue_stream(stream, stored, out, progress, grain="MONTH").start().awaitTermination()
     return s.spark.read.parquet(out).filter("orders > 0").select("date", "revenue", "orders")
 
 

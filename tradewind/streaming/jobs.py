@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tradewind.functions.predicates import recognized
-from tradewind.operators.etl import load_fact, reconcile, stored_table
+from tradewind.operators.etl import load_fact, reconcile
 from tradewind.schemas import ENTITIES, EVENT_TYPES, SESSION_ID_MAX
-from tradewind.session import run_path
 from tradewind.sources.tables import DATE_PARTITION
+from tradewind.streaming.keyed_sink import KeyedSink
 
 DELAY = "2 hours"  # fixed value: pulls overlap by two hours, so rows may arrive that late
 
@@ -32,34 +32,6 @@ def _once(writer: DataStreamWriter, checkpoint: str) -> DataStreamWriter:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-KEY_BUCKETS = 64
-
-
-def merge_keys(batch: DataFrame, sink: str, keys: Sequence[str]) -> None:
-    """Replace the rows of the batch's keys in `sink` and keep all others.
-
-    The sink is cut into buckets by key; only buckets of the batch's keys are read and replaced, staged first.
-    """
-    spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(KEY_BUCKETS)).cast("int")
-    new = batch.withColumn("bucket", bucket)
-    stored = stored_table(spark, sink, new)
-    if stored is not None:
-        near = stored.join(new.select("bucket").distinct(), "bucket", "left_semi")
-        kept = near.alias("o").join(new.select(*keys).alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "left_anti")
-        new = new.unionByName(kept)
-    stage = run_path(spark, "stage-keys")
-    new.write.parquet(stage)
-    (
-        spark.read.schema(new.schema).parquet(stage)
-        .repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(sink)
-    )
-
-
 def run_available(
     stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -67,18 +39,20 @@ def run_available(
 
     Complete results replace the last one; updates are merged into the sink by `keys`.
     """
+    spark = stream.sparkSession
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", sink)
     elif mode == "update":
         if not keys:
             raise ValueError("update mode needs the keys of the result")
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: merge_keys(batch, sink, keys))
+        table = KeyedSink(spark, sink, keys)
+        writer = stream.writeStream.outputMode(mode).foreachBatch(table.write)
     else:
         writer = stream.writeStream.outputMode(mode).foreachBatch(
             lambda batch, _: batch.write.mode("overwrite").parquet(sink)
         )
     _once(writer, checkpoint).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink).select(*stream.columns)
+    return table.read(stream.schema) if mode == "update" else spark.read.schema(stream.schema).parquet(sink).select(*stream.columns)
 
 
 # ---- ingest -----------------------------------------------------------------------------------------
