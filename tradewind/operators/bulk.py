@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tradewind.functions.money import cents, sum_cents, sum_money
 from tradewind.schemas import (
@@ -270,44 +271,60 @@ CHECKS: tuple[tuple[str, str, str, object], ...] = (
 def dq_checks(t: Mapping[str, DataFrame], checks: Sequence[tuple[str, str, str, object]] = CHECKS) -> DataFrame:
     """Uniqueness (values that occur more than once), references (rows that point at nothing) and accepted values.
 
-    Every table is read once for all its checks and once more if others refer to it. Rows collapse to a count per checked value
-    before anything is joined, so a hot key costs one row.
+    Every table is read once, as child and as parent. A value lives in a space: a parent's ids together with all references to them,
+    or one column that should be unique. One aggregation by (space, value) then holds how often each check met the value and
+    whether the parent has it, so nothing is joined and a hot key costs one row a task. Whole numbers stay numbers. Rows that
+    can be judged alone (accepted values, references that are null) are settled in the scan.
     """
     spark = next(iter(t.values())).sparkSession
-    numbered = list(enumerate(checks))
-    counted = None
-    for table in dict.fromkeys(c[1] for c in checks):
-        values = [
-            F.struct(F.lit(i).alias("i"), F.col(column).cast("string").alias("value"))
-            for i, (_, of, column, _) in numbered
-            if of == table
-        ]
-        rows = t[table].select(F.explode(F.array(*values)).alias("c")).groupBy("c.i", "c.value").agg(F.count("*").alias("n"))
-        counted = rows if counted is None else counted.unionByName(rows)
-    parents, parent_of = None, {i: c[3] for i, c in numbered if c[0] == "fk"}
-    for parent in dict.fromkeys(parent_of.values()):
-        ids = t[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("string").alias("value"), F.lit(True).alias("known"))
-        parents = ids if parents is None else parents.unionByName(ids)
-    if parents is None:
-        checked = counted.withColumn("known", F.lit(None).cast("boolean"))
-    else:
-        of = F.create_map(*[F.lit(x) for pair in parent_of.items() for x in pair])
-        checked = counted.withColumn("parent", F.try_element_at(of, F.col("i"))).join(parents, ["parent", "value"], "left")
-    wrong = F.lit(0)
-    for i, (kind, _, _, accepted) in numbered:
-        if kind == "unique":
-            n = (F.col("n") > 1).cast("long")
-        elif kind == "fk":
-            n = F.when(F.col("value").isNotNull() & F.col("known").isNull(), F.col("n")).otherwise(0)
+    spaces: dict[tuple, int] = {}
+    slots: dict[int, tuple[int, int]] = {}  # check -> its space and its place among the space's checks
+    for i, (kind, table, column, parent) in enumerate(checks):
+        space = spaces.setdefault(("fk", parent) if kind == "fk" else (kind, table, column), len(spaces))
+        slots[i] = (space, sum(own == space for own, _ in slots.values()))
+    width = 1 + max((slot for _, slot in slots.values()), default=0)
+
+    def whole(table: str, column: str) -> bool:
+        return isinstance(t[table].schema[column].dataType, IntegralType)
+
+    as_number = {("fk", p): whole(p, "id") and all(whole(c[1], c[2]) for c in checks if c[0] == "fk" and c[3] == p) for _, _, _, p in checks if isinstance(p, str)}
+
+    def entry(space: int, value: Column, number: bool, slot: int, when: Column | None = None) -> Column:
+        row = F.struct(
+            F.lit(space).alias("space"),
+            (value.cast("long") if number else F.lit(None).cast("long")).alias("number"),
+            (F.lit(None).cast("string") if number else value.cast("string")).alias("text"),
+            F.lit(slot).alias("slot"),
+        )
+        return row if when is None else F.when(when, row)
+
+    entries: dict[str, list[Column]] = {}
+    for i, (kind, table, column, extra) in enumerate(checks):
+        (space, slot), value = slots[i], F.col(column)
+        if kind == "fk":
+            row = entry(space, value, as_number["fk", extra], slot, value.isNotNull())
+        elif kind == "unique":
+            row = entry(space, value, whole(table, column), slot)
         else:
-            n = F.when(F.col("value").isNull() | ~F.col("value").isin(*accepted), F.col("n")).otherwise(0)
-        wrong = F.when(F.col("i") == i, n).otherwise(wrong)
-    bad = checked.select("i", wrong.alias("n"))
-
+            row = entry(space, F.lit(None), False, slot, value.isNull() | ~value.isin(*extra))
+        entries.setdefault(table, []).append(row)
+    for key, space in spaces.items():
+        if key[0] == "fk":
+            entries.setdefault(key[1], []).append(entry(space, F.col("id"), as_number[key], -1))
+    rows = None
+    for table, own in entries.items():
+        each = t[table].select(F.explode(F.array(*own)).alias("e")).filter("e is not null").select("e.*")
+        rows = each if rows is None else rows.unionByName(each)
+
+    met = [F.count_if(F.col("slot") == k).alias(f"n{k}") for k in range(width)]
+    values = rows.groupBy("space", "number", "text").agg(F.max(F.col("slot") == -1).alias("known"), *met)
+    repeated = F.count_if(F.col("n0") > 1).alias("repeated")
+    unknown = [F.sum(F.when(~F.col("known"), F.col(f"n{k}"))).alias(f"n{k}") for k in range(width)]
+    per_space = values.groupBy("space").agg(repeated, *unknown)
     names = spark.createDataFrame(
-        [(i, f"{kind} {column}", table) for i, (kind, table, column, _) in numbered],
-        "i int, check string, table string",
-    )
-    return names.join(bad.groupBy("i").agg(F.sum("n").alias("n")), "i", "left").select(
-        "check", "table", F.coalesce("n", F.lit(0)).cast("long").alias("n_bad")
+        [(f"{kind} {column}", table, kind, *slots[i]) for i, (kind, table, column, _) in enumerate(checks)],
+        "check string, table string, kind string, space int, slot int",
     )
+    by_slot = F.array(*[F.col(f"n{k}") for k in range(width)])[F.col("slot")]
+    bad = F.when(F.col("kind") == "unique", F.col("repeated")).otherwise(by_slot)
+    return names.join(per_space, "space", "left").select("check", "table", F.coalesce(bad, F.lit(0)).cast("long").alias("n_bad"))

@@ -245,6 +245,16 @@ def version_on(days: DataFrame, history: DataFrame, key: str, at: str, tracked:
     return carried.select(key, at, *[F.when(in_force, F.col(f"_v.{c}")).alias(c) for c in tracked])
 
 
+def facts_in_force(facts: DataFrame, history: DataFrame, key: str, at: str, tracked: Sequence[str]) -> DataFrame:
+    """Every fact with the version of `key` in force on its date; null where none was.
+
+    Only distinct (key, date) pairs are laid against the versions, so a key with a large share of the facts is as long as
+    the calendar there. The facts meet the result by key and date, which spreads a hot key over its dates.
+    """
+    found = version_on(facts.select(key, at).distinct(), history, key, at, tracked)
+    return facts.join(found, [key, at], "left")
+
+
 # ---- small result files --------------------------------------------------------------------------
 
 
@@ -261,6 +271,11 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_metrics_json(like: DataFrame, path: str) -> DataFrame:
+    """The stored records with the columns of `like`."""
+    return like.sparkSession.read.schema(like.schema).json(path)
+
+
 def pull_report(pulls: Mapping[str, DataFrame]) -> DataFrame:
     """Every row of every pull as (table, id, time)."""
     out = None

@@ -107,6 +107,11 @@ versions AS (SELECT product_id, CAST(price AS DOUBLE) AS price, CAST(cost AS DOU
 
 _RAW["scd2_product"] = f"WITH {_SCD2} SELECT * FROM versions"
 
+_RAW["fct_items_in_force"] = f"""WITH {_SCD2}
+SELECT order_id, i.product_id, order_date, quantity, v.price, v.cost
+FROM e_fct_items i LEFT JOIN versions v
+  ON v.product_id = i.product_id AND v.valid_from <= i.order_date AND (v.valid_to IS NULL OR i.order_date < v.valid_to)"""
+
 
 def _versions(snapshots: str, key: str, tracked: tuple[str, ...]) -> str:
     before = ", ".join(f"lag({c}) OVER w AS old_{c}" for c in tracked)
@@ -972,6 +977,13 @@ _RAW["churn_score_bounds"] = f"""
 SELECT {_b('count(DISTINCT customer_id)')} AS buyers, {_b('count(*)')} AS orders, true AS in_range
 FROM e_fct_orders WHERE rec AND order_date <= {DAY} AND customer_id IS NOT NULL"""
 
+_RAW["churn_gradient"] = f"""
+WITH f AS ({_RAW["churn_features"]}),
+x AS (SELECT unnest(['bias', 'recency_days', 'frequency', 'monetary']) AS feature,
+             unnest([1.0::DOUBLE, ln(1 + recency_days::DOUBLE), ln(1 + frequency::DOUBLE), ln(1 + monetary::DOUBLE)]) AS x
+      FROM f WHERE customer_id IS NOT NULL)
+SELECT feature, {_b('count(*)')} AS n, round(avg(x), 6) AS mean, true AS is_flat FROM x GROUP BY 1"""
+
 # ---- streams ----------------------------------------------------------------------------------------
 
 _RAW["stream_ingest"] = f"""
@@ -1027,6 +1039,19 @@ _RAW["late_repair"] = f"""WITH {_LATE}
 SELECT CAST(occurred_at AS DATE) AS date, event_type, {_b('count(*)')} AS n FROM e_product_events
 WHERE CAST(occurred_at AS DATE) IN (SELECT date FROM late WHERE n_stored <> n_streamed) GROUP BY 1, 2"""
 
+_RAW["forecast_metrics_file"] = _RAW["forecast_errors"]
+
+# A row of the last pull is lost if it is not newer than the latest event before it, less the allowed delay.
+_TAKEN = """
+held AS (SELECT id, event_type, occurred_at, id % 13 = 0 AS late FROM e_product_events),
+mark AS (SELECT max(occurred_at) - INTERVAL 2 HOUR AS w FROM held WHERE NOT late),
+lost AS (SELECT * FROM held CROSS JOIN mark WHERE late AND occurred_at <= w)"""
+_RAW["stream_late_rows"] = f"""WITH {_TAKEN}
+SELECT CAST(1 AS BIGINT) AS pull, CAST(0 AS BIGINT) AS dropped UNION ALL SELECT 2, 0 UNION ALL SELECT 3, {_b('count(*)')} FROM lost"""
+_RAW["stream_late_repair"] = f"""WITH {_TAKEN}
+SELECT CAST(occurred_at AS DATE) AS date, event_type, {_b('count(*)')} AS n FROM e_product_events
+WHERE CAST(occurred_at AS DATE) IN (SELECT CAST(occurred_at AS DATE) FROM lost) GROUP BY 1, 2"""
+
 
 def all_statements() -> dict[str, str]:
     return {name: with_entities(body) for name, body in _RAW.items()}

@@ -259,8 +259,11 @@ def top_skus(
 
 
 def forecast_pivot(forecast: DataFrame, start: date, series: list[str], days: int = 7) -> DataFrame:
-    """The first days of the forecast, one column for each of the named series."""
-    first = forecast.filter(in_date_window("forecast_date", start + timedelta(days=days - 1), days - 1))
+    """The first days of the forecast, one column for each of the named series. Any other series stops the report."""
+    named = F.col("category_name").isin(series)
+    stop = F.raise_error(F.concat(F.lit("no column for the series "), F.coalesce("category_name", F.lit("null"))))
+    checked = forecast.withColumn("category_name", F.when(named, F.col("category_name")).otherwise(stop.cast("string")))
+    first = checked.filter(in_date_window("forecast_date", start + timedelta(days=days - 1), days - 1))
     return first.groupBy("forecast_date").pivot("category_name", series).agg(F.first("yhat"))
 
 

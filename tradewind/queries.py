@@ -225,6 +225,14 @@ def _(s: Shop) -> DataFrame:
     return etl.scd2(price_snapshots(s), "product_id", ["price", "cost"])
 
 
+@query("fct_items_in_force")
+def _(s: Shop) -> DataFrame:
+    """Every sold line with the price and cost that its product's history had in force that day."""
+    lines = items(s).select("order_id", "product_id", "order_date", "quantity")
+    history = etl.scd2(price_snapshots(s), "product_id", ["price", "cost"])
+    return etl.facts_in_force(lines, history, "product_id", "order_date", ["price", "cost"])
+
+
 @query("scd2_product_band")
 def _(s: Shop) -> DataFrame:
     """Products by price band, seen every month; months that repeat the band before are no new version."""
@@ -433,6 +441,12 @@ def _(s: Shop) -> DataFrame:
     )
 
 
+@query("churn_gradient")
+def _(s: Shop) -> DataFrame:
+    """The churn fit checked from outside: its loss has no slope left at the fitted weights."""
+    return churn.churn_gradient(orders(s), AS_OF_DATE).select("feature", "n", F.round("mean", 6).alias("mean"), "is_flat")
+
+
 @query("mart_product_affinity")
 def _(s: Shop) -> DataFrame:
     return affinity.mart_product_affinity(items(s))
@@ -809,9 +823,7 @@ def _(s: Shop) -> DataFrame:
     return forecast.walk_forward(series(s))
 
 
-@query("forecast_errors")
-def _(s: Shop) -> DataFrame:
-    """Scores of a given forecast (the value a week before, with a fixed band) against what was sold."""
+def _week_before_errors(s: Shop) -> DataFrame:
     known = series(s)
     ahead = known.select(
         "category_name",
@@ -823,6 +835,20 @@ def _(s: Shop) -> DataFrame:
     return forecast.forecast_errors(known, ahead, ["category_name"])
 
 
+@query("forecast_errors")
+def _(s: Shop) -> DataFrame:
+    """Scores of a given forecast (the value a week before, with a fixed band) against what was sold."""
+    return _week_before_errors(s)
+
+
+@query("forecast_metrics_file")
+def _(s: Shop) -> DataFrame:
+    """Those scores by way of the metrics file."""
+    metrics, at = _week_before_errors(s), run_path(s.spark, "forecast-metrics")
+    etl.write_metrics_json(metrics, at)
+    return etl.read_metrics_json(metrics, at)
+
+
 @query("forecast_alert")
 def _(s: Shop) -> DataFrame:
     """Monthly errors of that forecast, and the series over their target twice in a row."""
@@ -1111,3 +1137,34 @@ def _(s: Shop) -> DataFrame:
 def _(s: Shop) -> DataFrame:
     events, streamed = _counted_late(s)
     return jobs.repair_days(events, jobs.late_report(streamed, events))
+
+
+LATE_FROM = AS_OF_DATE - timedelta(days=10)
+
+
+def _disordered(s: Shop, dropped: list[int]) -> DataFrame:
+    """Click events taken by a stream in three pulls, and what each pull lost: the days before LATE_FROM, the days since, and
+    then every 13th event of all days, most of them far behind the watermark by now."""
+    events = _timed(s.product_events(), "occurred_at")
+    held_back, early = F.col("id") % 13 == 0, F.col("occurred_at") < F.lit(LATE_FROM.isoformat()).cast("timestamp")
+    arrived, sink, progress = (run_path(s.spark, f"late-{x}") for x in ("in", "taken", "progress"))
+    for pull in (events.filter(~held_back & early), events.filter(~held_back & ~early), events.filter(held_back)):
+        pull.write.mode("append").parquet(arrived)
+        dropped.append(jobs.deduped_pull(s.spark.readStream.schema(events.schema).parquet(arrived), sink, progress))
+    return s.spark.read.schema(events.schema).parquet(sink)
+
+
+@query("stream_late_rows")
+def _(s: Shop) -> DataFrame:
+    """Rows that each pull lost to the watermark, as the stream itself counted them."""
+    dropped: list[int] = []
+    _disordered(s, dropped)
+    return s.spark.createDataFrame([(i, n) for i, n in enumerate(dropped, 1)], "pull long, dropped long")
+
+
+@query("stream_late_repair")
+def _(s: Shop) -> DataFrame:
+    """The nightly repair after those pulls: days on which the stream lost rows, counted again from all events."""
+    events = s.product_events()
+    streamed = _disordered(s, []).groupBy(F.to_date("occurred_at").alias("date")).agg(F.count("*").alias("n"))
+    return jobs.repair_days(events, jobs.late_report(streamed, events))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tradewind.functions.predicates import recognized
 from tradewind.operators.etl import load_fact, reconcile
@@ -220,6 +220,23 @@ def stock_totals(moves: DataFrame) -> DataFrame:
 # ---- late rows ----------------------------------------------------------------------------------------
 
 
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows that a finished run refused because they came after its watermark, by the run's own progress.
+
+    Behind `dedupe_stream` these are rows: the operator that dedupes meets them one by one. An aggregation would count groups that it
+    had already combined.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def deduped_pull(pulled: DataFrame, sink: str, checkpoint: str, time: str = "occurred_at") -> int:
+    """Everything that has arrived, deduplicated into `sink`; returns how many rows came too late to be taken."""
+    writer = dedupe_stream(pulled, time=time).writeStream.format("parquet").option("path", sink)
+    query = _once(writer, checkpoint).start()
+    query.awaitTermination()
+    return dropped_by_watermark(query)
+
+
 def late_report(streamed: DataFrame, stored: DataFrame, time: str = "occurred_at") -> DataFrame:
     """Per date, how many stored rows the stream never counted. `streamed`: date, n."""
     per_row = stored.select(time)
