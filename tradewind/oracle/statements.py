@@ -590,6 +590,18 @@ SELECT {_b('grouping(channel, device_type)')} AS level, channel, device_type, {_
        {_d('sum(grand_total)')} AS revenue, {_ratio('sum(grand_total)', 'count(*)')} AS aov
 FROM e_orders WHERE status <> 'cancelled' GROUP BY ROLLUP (channel, device_type)"""
 
+_RAW["metric_prepared"] = f"""
+SELECT channel, CAST(date_trunc('month', placed_at) AS DATE) AS month, {_b('count(*)')} AS count, {_d('sum(grand_total)')} AS revenue,
+       {_d('sum(discount_total)')} AS discount, {_ratio('sum(grand_total)', 'count(grand_total)')} AS aov
+FROM e_orders WHERE status <> 'cancelled' GROUP BY 1, 2"""
+_RAW["metric_prepared_window"] = f"""
+SELECT device_type, CAST(date_trunc('week', placed_at) AS DATE) AS week, {_d('sum(grand_total)')} AS revenue,
+       {_ratio('sum(grand_total)', 'count(grand_total)')} AS aov
+FROM e_orders WHERE status <> 'cancelled' AND CAST(placed_at AS DATE) BETWEEN {DAY} - 90 AND {DAY} - 1 GROUP BY 1, 2"""
+_RAW["metric_prepared_sketches"] = f"""
+SELECT channel, {_b('count(*)')} AS count, true AS median_in_bound, true AS customers_in_bound
+FROM e_orders WHERE status <> 'cancelled' GROUP BY 1"""
+
 _L30 = "BETWEEN DATE '2001-07-02' AND DATE '2001-07-31'"
 _RAW["sq_daily_revenue"] = f"""
 SELECT CAST(placed_at AS DATE) AS day, {_d('sum(grand_total)')} AS revenue, {_b('count(*)')} AS count

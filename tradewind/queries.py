@@ -14,6 +14,7 @@ from tradewind.plans import analytics as an
 from tradewind.plans import dims_facts as df_
 from tradewind.plans import marts as m
 from tradewind.plans import metrics as mt
+from tradewind.plans import preaggregate as pre
 from tradewind.plans import reports as rp
 from tradewind.schemas import ENTITIES
 from tradewind.session import run_path, tune
@@ -655,6 +656,43 @@ def _(s: Shop) -> DataFrame:
     return mt.rollup_levels(mt.daily_rollup(s.orders()))
 
 
+def _prepared(s: Shop) -> DataFrame:
+    path = run_path(s.spark, "prepared")
+    pre.refresh(s.orders(), path, date(1990, 1, 1))
+    return pre.read(s.spark, path)
+
+
+@query("metric_prepared")
+def _(s: Shop) -> DataFrame:
+    """Orders by channel and month, answered from the stored days."""
+    return pre.answer(
+        _model(s), _prepared(s), [f"Orders.{x}" for x in pre.EXACT], ["Orders.channel"], "Orders.placed_at", "month"
+    )
+
+
+@query("metric_prepared_window")
+def _(s: Shop) -> DataFrame:
+    """Orders of the last 90 days by device and week, answered from the stored days of these months."""
+    return pre.answer(
+        _model(s), _prepared(s), ["Orders.revenue", "Orders.aov"], ["Orders.device_type"], "Orders.placed_at", "week", _last(90)
+    )
+
+
+@query("metric_prepared_sketches")
+def _(s: Shop) -> DataFrame:
+    """Per channel, whether merged sketches put the median total within 2 % of its rank and the customers within 5 %."""
+    told = pre.answer(_model(s), _prepared(s), ["Orders.median_total", "Orders.unique_customers"], ["Orders.channel"], approximate=True)
+    live = s.orders().filter("status <> 'cancelled'").join(told, "channel")
+    below = F.avg((F.col("grand_total") < F.col("median_total")).cast("double"))
+    upto = F.avg((F.col("grand_total") <= F.col("median_total")).cast("double"))
+    exact = F.countDistinct("customer_id")
+    return live.groupBy("channel").agg(
+        F.count("*").alias("count"),
+        ((below <= 0.52) & (upto >= 0.48)).alias("median_in_bound"),
+        (F.abs(F.first("unique_customers") - exact) <= exact * 0.05 + 1).alias("customers_in_bound"),
+    )
+
+
 @query("sq_daily_revenue")
 def _(s: Shop) -> DataFrame:
     return mt.metric_query(
