@@ -1021,6 +1021,10 @@ FROM n GROUP BY session_id, session
 HAVING max(occurred_at) + INTERVAL 6 HOUR
        <= (SELECT date_trunc('milliseconds', max(occurred_at)) - INTERVAL 2 HOUR FROM e_shop_events)"""
 
+_RAW["stream_sessions_by_timer"] = f"""
+SELECT * FROM ({_RAW["sessionize"]}) WHERE session_end + INTERVAL 6 HOUR
+  <= (SELECT date_trunc('milliseconds', max(occurred_at)) - INTERVAL 2 HOUR FROM e_shop_events)"""
+
 _RAW["stream_cart_to_order"] = f"""
 SELECT c.id AS cart_id, o.id AS order_id, {_b("date_sub('minute', c.created_at, o.placed_at)")} AS minutes
 FROM e_carts c JOIN e_orders o ON o.customer_id = c.customer_id

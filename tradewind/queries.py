@@ -19,10 +19,11 @@ from tradewind.plans import reports as rp
 from tradewind.schemas import ENTITIES
 from tradewind.session import run_path, tune
 from tradewind.sources.driver import Shop
-from tradewind.streaming import jobs
+from tradewind.streaming import jobs, timers
 
 AS_OF_TS = datetime(2001, 8, 1, 23, 59, 59)
 AS_OF_DATE = date(2001, 8, 1)
+LATE_FROM = AS_OF_DATE - timedelta(days=10)  # streams in several pulls: the days before, the days since
 SERIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", forecast.TOTAL_SERIES]  # the shop's categories and their sum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1115,6 +1116,20 @@ def _(s: Shop) -> DataFrame:
     )
 
 
+@query("stream_sessions_by_timer")
+def _(s: Shop) -> DataFrame:
+    """Sessions per user closed by event-time timers, over two pulls: the second starts from the checkpoint of the first."""
+    events = _timed(s.shop_events().select("user_id", "event_type", "occurred_at"), "occurred_at")
+    arrived, sink, progress = (run_path(s.spark, f"timers-{x}") for x in ("in", "closed", "progress"))
+    early = F.col("occurred_at") < F.lit(LATE_FROM.isoformat()).cast("timestamp")
+    for pull in (events.filter(early), events.filter(~early)):
+        pull.write.mode("append").parquet(arrived)
+        stream = s.spark.readStream.schema(events.schema).parquet(arrived)
+        closed = timers.run_with_rocksdb(timers.closed_sessions(stream, timedelta(hours=6), jobs.DELAY), sink, progress)
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
+    return closed.withColumns(ntz)
+
+
 @query("stream_cart_to_order")
 def _(s: Shop) -> DataFrame:
     live = s.streaming("events", "orders")
@@ -1177,9 +1192,6 @@ def _(s: Shop) -> DataFrame:
     return jobs.repair_days(events, jobs.late_report(streamed, events))
 
 
-LATE_FROM = AS_OF_DATE - timedelta(days=10)
-
-
 def _disordered(s: Shop, dropped: list[int]) -> DataFrame:
     """Click events taken by a stream in three pulls, and what each pull lost: the days before LATE_FROM, the days since, and
     then every 13th event of all days, most of them far behind the watermark by now."""
