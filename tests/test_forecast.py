@@ -34,10 +34,70 @@ def test_short_series_are_skipped_and_fall_back(spark):
     assert fc.forecast_all(s).select("category_name").distinct().count() == 4
 
 
-def test_yearly_terms_switch_on_at_365():
-    day = np.arange(400)
-    assert fc._design(day, 0, 399, False).shape[1] == 8
-    assert fc._design(day, 0, 399, True).shape[1] == 8 + 2 * fc.YEARLY_TERMS
+def direct(days, y, ask, yearly=None):
+    """The same model fitted from the rows themselves, with numpy."""
+    yearly = len(y) >= 365 if yearly is None else yearly
+
+    def design(day):
+        columns = [np.ones((len(day), 1)), ((day - days[0]) / 400)[:, None], np.eye(7)[day % 7][:, 1:]]
+        angle = 2 * np.pi * np.outer(day, np.arange(1, fc.YEARLY_TERMS + 1)) / 365.25
+        return np.hstack([*columns, np.sin(angle), np.cos(angle)] if yearly else columns)
+
+    x = design(days)
+    penalty = np.full(x.shape[1], fc.RIDGE)
+    penalty[:2] = 0
+    beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
+    return design(ask) @ beta, float(np.std(y - x @ beta))
+
+
+def noisy(n, seed, gaps=False):
+    rng = np.random.default_rng(seed)
+    days = (START - date(1970, 1, 1)).days + np.arange(n)
+    y = (1e6 + 900.0 * np.arange(n) + 5e4 * np.sin(days / 50) + 1e5 * (days % 7 == 2) + rng.normal(0, 3e4, n)).round(2)
+    kept = np.sort(rng.choice(n, n * 4 // 5, replace=False)) if gaps else np.arange(n)
+    return days[kept], y[kept]
+
+
+def as_series(spark, data):
+    rows_ = [(k, str(date(1970, 1, 1) + timedelta(days=int(d))), f"{v:.2f}") for k, (days, y) in data.items() for d, v in zip(days, y, strict=True)]
+    return frame(spark, "category_name string, date date, revenue decimal(18|2)", rows_)
+
+
+def test_fit_from_sums_equals_a_direct_fit(spark):
+    """Also where yearly waves switch on at 365 rows, and for series with days missing."""
+    data = {"s60": noisy(60, 1), "s364": noisy(364, 2), "s365": noisy(365, 3), "gaps": noisy(540, 4, gaps=True)}
+    got = {(r.category_name, r.forecast_date): r for r in fc.forecast_fit(as_series(spark, data)).collect()}
+    assert len(got) == 4 * 30
+    for name, (days, y) in data.items():
+        ask = days[-1] + 1 + np.arange(30)
+        want, spread = direct(days, y, ask)
+        for d, yhat in zip(ask, want, strict=True):
+            r = got[name, date(1970, 1, 1) + timedelta(days=int(d))]
+            assert r.yhat == pytest.approx(yhat, rel=1e-9) and r.yhat_upper - r.yhat == pytest.approx(fc.Z80 * spread, rel=1e-6)
+
+
+def test_walk_forward_from_sums_equals_direct_fits(spark):
+    data = {"long": noisy(500, 5), "gaps": noisy(450, 6, gaps=True), "mid": noisy(130, 7)}
+    s = as_series(spark, data)
+    want, total = {}, {}
+    for name, (days, y) in data.items():
+        for split in range(1, 5):
+            cut = len(y) - 30 * split
+            asked, real = days[cut : cut + 30], y[cut : cut + 30]
+            if cut >= 60:
+                reach = asked <= days[cut - 1] + 30
+                yhat, spread = direct(days[:cut], y[:cut], asked[reach])
+                inside = np.abs(real[reach] - yhat) <= fc.Z80 * spread
+                want[name, split] = (cut, 30, float(np.mean(np.abs(real[reach] - yhat) / real[reach])), float(np.mean(inside)))
+            if split <= 3 and len(y) >= 120:
+                yhat, spread = direct(days[:cut], y[:cut], asked, yearly=True)
+                total.setdefault(name, []).append(float(np.mean(np.abs(real - yhat) / real)))
+    got = {(r.category_name, r.split): (r.n_train, r.n_test, r.mape, r.coverage_80) for r in fc.walk_forward(s).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-6), k
+    summary = {r.category_name: r.mape_mean for r in fc.walk_forward_summary(s).collect()}
+    assert summary == pytest.approx({k: float(np.mean(v)) for k, v in total.items()}, rel=1e-5)
 
 
 def test_fit_follows_trend_and_weekday(spark):
@@ -169,5 +229,5 @@ def test_model_runs_where_the_package_is_missing():
     from pyspark import cloudpickle
 
     code = "import sys, pickle; print(pickle.loads(sys.stdin.buffer.read()).__name__)"
-    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fc.fit_predict), cwd="/", capture_output=True)
-    assert done.stdout.strip() == b"fit_predict", done.stderr
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(fc.solve_ridge), cwd="/", capture_output=True)
+    assert done.stdout.strip() == b"solve_ridge", done.stderr

@@ -1,14 +1,15 @@
 """Demand forecasts: one small model per series, all series in parallel.
 
-A series holds one row per day, so the frame handed to one model is bounded by the history length.
-Everything around the fit is plain DataFrame work; a linear baseline needs no Python at all.
+A model needs sums over its series, not the series: products of its columns are added up like any other aggregate, and Python
+only solves one small system per series or fold. A linear baseline needs no Python at all.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Sequence
-from datetime import date, datetime, timedelta
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,7 @@ Z80 = 1.2815515655446004  # fixed value: half-width of the central 80% of a norm
 COLD_START_WIDENING = 2.0
 RIDGE = 1.0
 YEARLY_TERMS = 4
-
-FORECAST_SCHEMA = "category_name string, forecast_date date, yhat double, yhat_lower double, yhat_upper double"
-SPLIT_SCHEMA = (
-    "category_name string, split int, split_end date, n_train int, n_test int, mape double, coverage_80 double"
-)
+EPOCH = "2000-01-01"
 
 
 # ---- series ---------------------------------------------------------------------------------------
@@ -69,61 +66,98 @@ def forecast_series(history: DataFrame) -> DataFrame:
 # ---- the model ------------------------------------------------------------------------------------
 
 
-def _design(day: np.ndarray, origin: int, span: int, yearly: bool) -> np.ndarray:
-    """Intercept, trend, weekday contrasts and, with enough history, yearly waves."""
-    t = (day - origin) / max(span, 1)
-    weekday = np.eye(7)[day % 7][:, 1:]
-    columns = [np.ones_like(t)[:, None], t[:, None], weekday]
-    if yearly:
-        k = np.arange(1, YEARLY_TERMS + 1)
-        angle = 2 * np.pi * np.outer(day, k) / 365.25
-        columns += [np.sin(angle), np.cos(angle)]
-    return np.hstack(columns)
+def _design(day: Column) -> list[Column]:
+    """Level, trend in years, weekday contrasts and yearly waves of a date, as the columns of the model."""
+    number = F.unix_date(day)
+    weekday = F.pmod(number, F.lit(7))
+    angle = [2 * math.pi * k * number / 365.25 for k in range(1, YEARLY_TERMS + 1)]
+    return [
+        F.lit(1.0),
+        dbl(F.datediff(day, F.lit(EPOCH).cast("date"))) / 365.25,
+        *[(weekday == k).cast("double") for k in range(1, 7)],
+        *[F.sin(x) for x in angle],
+        *[F.cos(x) for x in angle],
+    ]
 
 
-def fit_predict(
-    train_days: np.ndarray, y: np.ndarray, ask_days: np.ndarray, yearly: bool | None = None
-) -> tuple[np.ndarray, float]:
-    """Ridge fit on whole-day numbers; returns predictions and the residual spread."""
-    if yearly is None:
-        yearly = len(y) >= YEARLY_MIN_POINTS
-    origin, span = int(train_days.min()), int(train_days.max() - train_days.min())
-    x = _design(train_days, origin, span, yearly)
-    penalty = np.full(x.shape[1], RIDGE)
-    penalty[:2] = 0.0  # level and trend are not shrunk
-    beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
-    spread = float(np.std(y - x @ beta))
-    return _design(ask_days, origin, span, yearly) @ beta, spread
+PLAIN_TERMS = 8  # level, trend and weekdays; the yearly waves follow
+TERMS = PLAIN_TERMS + 2 * YEARLY_TERMS
+PAIRS = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
 
 
-def _days(dates: pd.Series) -> np.ndarray:
-    return pd.to_datetime(dates).to_numpy().astype("datetime64[D]").astype(np.int64)
+def fit_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Everything a fit needs of its rows (date, y), added up where the rows are: no series is ever gathered.
 
+    Per key: n, the last date, the sums of products of design columns (`gram`, by PAIRS), those with y (`xy`) and of y squared (`yy`).
+    """
+    x = [f"_x{i}" for i in range(TERMS)]
+    wide = rows.select(*keys, "date", "y", *[c.alias(name) for c, name in zip(_design(F.col("date")), x, strict=True)])
+    return wide.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.max("date").alias("last"),
+        F.array(*[F.sum(F.col(x[i]) * F.col(x[j])) for i, j in PAIRS]).alias("gram"),
+        F.array(*[F.sum(F.col(c) * F.col("y")) for c in x]).alias("xy"),
+        F.sum(F.col("y") * F.col("y")).alias("yy"),
+    )
 
-def _dates(days: np.ndarray) -> list[date]:
-    return [date(1970, 1, 1) + timedelta(days=int(d)) for d in days]
 
+def solve_ridge(n: int, gram: np.ndarray, xy: np.ndarray, yy: float, yearly: bool) -> tuple[np.ndarray, float]:
+    """Weights of all terms (zero for the waves of a series too short for them) and the residual spread, from sums."""
+    terms = TERMS if yearly else PLAIN_TERMS
+    products = np.zeros((TERMS, TERMS))
+    for (i, j), value in zip(PAIRS, gram, strict=True):
+        products[i, j] = products[j, i] = value
+    products, xy = products[:terms, :terms], np.asarray(xy)[:terms]
+    penalty = np.full(terms, RIDGE)
+    penalty[:2] = 0.0  # level and trend are not shrunk, so the trend may be measured from its mean, which keeps digits
+    shift = np.eye(terms)
+    shift[1, 0] = -products[0, 1] / products[0, 0]
+    beta = shift.T @ np.linalg.solve(shift @ products @ shift.T + np.diag(penalty), shift @ xy)
+    square = yy - 2 * beta @ xy + beta @ products @ beta
+    return np.concatenate([beta, np.zeros(TERMS - terms)]), float(np.sqrt(max(square, 0.0) / n))
+
+
+def fitted(rows: DataFrame, keys: Sequence[str], yearly: bool | None = None) -> DataFrame:
+    """One row per key: n, last, beta, spread. `yearly` decides on the waves; by default the length of the history does."""
+    sums = fit_sums(rows, keys)
+    kept = [*keys, "n", "last"]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            waves = pdf["n"] >= YEARLY_MIN_POINTS if yearly is None else [yearly] * len(pdf)
+            solved = [solve_ridge(*row) for row in zip(pdf["n"], pdf["gram"], pdf["xy"], pdf["yy"], waves, strict=True)]
+            yield pdf[kept].assign(beta=[b for b, _ in solved], spread=[s for _, s in solved])
+
+    schema = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in kept)
+    return sums.mapInPandas(solve, f"{schema}, beta array<double>, spread double")
+
+
+def listed_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sums of a fit as rows: mean product of term i and term j, and with j = TERMS the mean product of term i and y."""
+    products = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col("gram")[k].alias("total")) for k, (i, j) in enumerate(PAIRS)]
+    products += [F.struct(F.lit(i).cast("long").alias("i"), F.lit(TERMS).cast("long").alias("j"), F.col("xy")[i].alias("total")) for i in range(TERMS)]
+    mean = F.col("s.total") / F.col("n")
+    return sums.select(*keys, "n", F.explode(F.array(*products)).alias("s")).select(
+        *keys, "n", "s.i", "s.j", F.when(F.col("s.j") < TERMS, F.round(mean, 6)).otherwise(F.round(mean, 2)).alias("mean")
+    )
 
-def forecast_fit(series: DataFrame, horizon: int = HORIZON, min_points: int = MIN_HISTORY_POINTS) -> DataFrame:
-    """The next `horizon` days of every series with enough history; shorter series are skipped."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_points:
-            return pd.DataFrame(columns=["category_name", "forecast_date", "yhat", "yhat_lower", "yhat_upper"])
-        pdf = pdf.sort_values("date")
-        days = _days(pdf["date"])
-        ask = days[-1] + 1 + np.arange(horizon)
-        yhat, spread = fit_predict(days, pdf["y"].to_numpy(), ask)
-        return pd.DataFrame({
-            "category_name": pdf["category_name"].iloc[0],
-            "forecast_date": _dates(ask),
-            "yhat": yhat,
-            "yhat_lower": yhat - Z80 * spread,
-            "yhat_upper": yhat + Z80 * spread,
-        })
+def _predicted(day: Column) -> Column:
+    """The model's value on a date, from the column `beta`."""
+    terms = [F.col("beta")[i] * x for i, x in enumerate(_design(day))]
+    return sum(terms[1:], terms[0])
+
 
+def forecast_fit(series: DataFrame, horizon: int = HORIZON, min_points: int = MIN_HISTORY_POINTS) -> DataFrame:
+    """The next `horizon` days of every series with enough history; shorter series are skipped."""
     daily = series.select("category_name", "date", dbl("revenue").alias("y"))
-    return daily.groupBy("category_name").applyInPandas(fit, FORECAST_SCHEMA)
+    fits = fitted(daily, ["category_name"]).filter(F.col("n") >= min_points)
+    days = F.sequence(F.date_add("last", 1), F.date_add("last", horizon))
+    ahead = fits.withColumn("forecast_date", F.explode(days)).withColumn("yhat", _predicted(F.col("forecast_date")))
+    half = Z80 * F.col("spread")
+    return ahead.select(
+        "category_name", "forecast_date", "yhat", (F.col("yhat") - half).alias("yhat_lower"), (F.col("yhat") + half).alias("yhat_upper")
+    )
 
 
 def cold_start(series: DataFrame, horizon: int = HORIZON, min_points: int = MIN_HISTORY_POINTS) -> DataFrame:
@@ -155,9 +189,6 @@ def forecast_all(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 # ---- the baseline without Python --------------------------------------------------------------------
 
-EPOCH = "2000-01-01"
-
-
 def _weekday_sums(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact sums per series and weekday: at most seven rows per series."""
     t = F.datediff(F.col("date"), F.lit(EPOCH).cast("date")).cast("long")
@@ -294,40 +325,37 @@ def walk_forward_baseline(
     return forecast_errors(test.select(*keys, "date", "revenue"), forecast_baseline(train, horizon, keys), keys)
 
 
-def _score(y: np.ndarray, yhat: np.ndarray, spread: float) -> tuple[float, float]:
-    nonzero = y != 0
-    mape = float(np.mean(np.abs(y - yhat)[nonzero] / y[nonzero])) if nonzero.any() else float("nan")
-    inside = (y >= yhat - Z80 * spread) & (y <= yhat + Z80 * spread)
-    return mape, float(np.mean(inside)) if len(y) else float("nan")
+def _scored(rows: DataFrame, horizon: int, reach: bool, yearly: bool | None) -> DataFrame:
+    """Scores per series and split: all folds are fitted from their sums at once, and test days meet their fold's weights.
+
+    With `reach`, only days that a forecast of `horizon` days gets to are compared.
+    """
+    keys = ["category_name", "split"]
+    train, test = F.col("i") <= F.col("cut"), (F.col("i") > F.col("cut")) & (F.col("i") <= F.col("cut") + horizon)
+    fits = fitted(rows.filter(train).select(*keys, "date", "y"), keys, yearly)
+    days = rows.filter(test).select(*keys, "date", "y").join(fits, keys)
+    counted = F.col("date") <= F.date_add("last", horizon) if reach else F.lit(True)
+    y, yhat, half = F.col("y"), F.col("yhat"), Z80 * F.col("spread")
+    inside = (y >= yhat - half) & (y <= yhat + half)
+    return (
+        days.withColumn("yhat", _predicted(F.col("date")))
+        .groupBy(*keys)
+        .agg(
+            F.max("date").alias("split_end"),
+            F.max("n").cast("int").alias("n_train"),
+            F.count("*").cast("int").alias("n_test"),
+            F.avg(F.when(counted, F.abs(y - yhat) / F.when(y != 0, y))).alias("mape"),
+            F.avg(F.when(counted, inside.cast("double"))).alias("coverage_80"),
+        )
+    )
 
 
 def walk_forward(
     series: DataFrame, horizon: int = HORIZON, n_splits: int = 4, min_points: int = MIN_HISTORY_POINTS
 ) -> DataFrame:
-    """One row per series and split; every (series, split) pair is fitted by its own task."""
-
-    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        cut = int(pdf["cut"].iloc[0])
-        days, y = _days(pdf["date"]), pdf["y"].to_numpy()
-        test = slice(cut, cut + horizon)
-        # Only dates the forecast reaches can be compared.
-        reached = days[test] <= days[cut - 1] + horizon
-        yhat, spread = fit_predict(days[:cut], y[:cut], days[test][reached])
-        mape, coverage = _score(y[test][reached], yhat, spread)
-        return pd.DataFrame({
-            "category_name": [pdf["category_name"].iloc[0]],
-            "split": [int(pdf["split"].iloc[0])],
-            "split_end": [_dates(days[test])[-1]],
-            "n_train": [cut],
-            "n_test": [len(days[test])],
-            "mape": [mape],
-            "coverage_80": [coverage],
-        })
-
-    rows = _splits(series.withColumn("revenue", dbl("revenue")), horizon, n_splits)
-    enough = rows.filter(F.col("cut") >= min_points).withColumnRenamed("revenue", "y")
-    return enough.groupBy("category_name", "split").applyInPandas(evaluate, SPLIT_SCHEMA)
+    """One row per series and split with enough history before it."""
+    rows = _splits(series.withColumn("revenue", dbl("revenue")), horizon, n_splits).withColumnRenamed("revenue", "y")
+    return _scored(rows.filter(F.col("cut") >= min_points), horizon, reach=True, yearly=None)
 
 
 def walk_forward_summary(series: DataFrame, horizon: int = HORIZON, n_splits: int = 3) -> DataFrame:
@@ -335,27 +363,10 @@ def walk_forward_summary(series: DataFrame, horizon: int = HORIZON, n_splits: in
 
     Here the yearly waves are always on, and test days are predicted wherever they fall.
     """
-    schema = "category_name string, split int, mape double, coverage_80 double"
-
-    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        cut = int(pdf["cut"].iloc[0])
-        days, y = _days(pdf["date"]), pdf["y"].to_numpy()
-        test = slice(cut, cut + horizon)
-        yhat, spread = fit_predict(days[:cut], y[:cut], days[test], yearly=True)
-        mape, coverage = _score(y[test], yhat, spread)
-        return pd.DataFrame({
-            "category_name": [pdf["category_name"].iloc[0]],
-            "split": [int(pdf["split"].iloc[0])],
-            "mape": [mape],
-            "coverage_80": [coverage],
-        })
-
     rows = _splits(series.withColumn("revenue", dbl("revenue")), horizon, n_splits).withColumnRenamed("revenue", "y")
+    enough = rows.filter(F.col("len") >= horizon * (n_splits + 1))
     scored = (
-        rows.filter(F.col("len") >= horizon * (n_splits + 1))
-        .groupBy("category_name", "split")
-        .applyInPandas(evaluate, schema)
+        _scored(enough, horizon, reach=False, yearly=True)
         .groupBy("category_name")
         .agg(
             F.avg("mape").alias("mape_mean"),

@@ -731,6 +731,17 @@ hist AS (SELECT i.order_date AS date, p.category_name, sum(line_revenue) AS reve
 series AS (SELECT category_name, date, revenue FROM hist
            UNION ALL SELECT '__total__', date, sum(revenue) FROM hist GROUP BY date)"""
 
+_WEEKDAY = "date_diff('day', DATE '1970-01-01', date)"
+_TERMS = ["1.0::DOUBLE", "date_diff('day', DATE '2000-01-01', date)::DOUBLE / 365.25::DOUBLE"]
+_TERMS += [f"({_WEEKDAY} % 7 = {k})::INT::DOUBLE" for k in range(1, 7)]
+_TERMS += [f"{f}(2 * pi() * {k} * {_WEEKDAY} / 365.25::DOUBLE)" for f in ("sin", "cos") for k in range(1, 5)]
+_RAW["forecast_sums"] = f"""
+WITH {_SERIES},
+d AS (SELECT category_name, [{', '.join(_TERMS)}, revenue::DOUBLE] AS x FROM series),
+pairs AS (SELECT i.i AS i, j.i AS j FROM range(16) i(i) JOIN range(17) j(i) ON i.i <= j.i)
+SELECT category_name, {_b('count(*)')} AS n, i, j, round(avg(x[i + 1] * x[j + 1]), CASE WHEN j = 16 THEN 2 ELSE 6 END) AS mean
+FROM d, pairs GROUP BY category_name, i, j"""
+
 _Z = "1.2815515655446004::DOUBLE"
 _T = "date_diff('day', DATE '2000-01-01', {})"
 

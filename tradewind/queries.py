@@ -857,6 +857,13 @@ def _(s: Shop) -> DataFrame:
     return forecast.forecast_baseline(series(s))
 
 
+@query("forecast_sums")
+def _(s: Shop) -> DataFrame:
+    """All that the fit of a series is made of: mean products of its design columns with each other and with the revenue."""
+    daily = series(s).select("category_name", "date", dbl("revenue").alias("y"))
+    return forecast.listed_sums(forecast.fit_sums(daily, ["category_name"]), ["category_name"])
+
+
 @query("walk_forward")
 def _(s: Shop) -> DataFrame:
     return forecast.walk_forward(series(s))
