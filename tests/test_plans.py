@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplie
 
 
 # Loads, streams and fitted models run jobs while they are built: their results are stored ones.
-EAGER = re.compile("metric_prepared|etl_(full|load|boot|reconcile_stored|jsonl)|stream_|forecast_(runs|files|metrics)|churn_(score|gradient)")
+EAGER = re.compile("metric_prepared|brand_itemsets|etl_(line_store|full|load|boot|reconcile_stored|jsonl)|stream_|forecast_(runs|files|metrics)|churn_(score|gradient)")
 DATED_ORDERS = """
 kpi_summary revenue_by_day top_products slow_movers revenue_by_channel repeat_purchase_rate aov_by_device aov_median
 gross_margin_by_category stockouts_at_risk funnel_last_30d sq_daily_revenue sq_top_skus sq_margin_category sq_aov_device

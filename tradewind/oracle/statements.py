@@ -57,6 +57,10 @@ FROM e_order_items i JOIN e_orders o ON o.id = i.order_id WHERE o.placed_at >= {
 _RAW["etl_jsonl_roundtrip"] = f"""
 SELECT id, order_number, customer_id, status, {_d('grand_total')} AS grand_total, placed_at, delivered_at FROM e_orders"""
 
+_RAW["etl_line_store"] = f"""
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, {_b('count(*)')} AS n_rows, {_b('sum(l_quantity)')} AS units
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"""
+
 _RAW["stg_dedupe"] = f"""
 SELECT id, customer_id, status, {_d('grand_total')} AS grand_total, placed_at,
        placed_at + to_hours(2) AS _ingested_at FROM e_orders"""
@@ -413,6 +417,17 @@ SELECT customer_id, {_b("DATE '2001-05-03' - max(CASE WHEN order_date <= DATE '2
 FROM e_fct_orders WHERE rec AND order_date <= {DAY}
 GROUP BY 1 HAVING count(*) FILTER (order_date <= DATE '2001-05-03') > 0"""
 
+_RAW["brand_itemsets"] = f"""
+WITH b AS (SELECT DISTINCT i.order_id, p.brand FROM e_order_items i JOIN e_products p ON p.id = i.product_id),
+t AS (SELECT count(DISTINCT order_id) AS total FROM b),
+sets AS (
+  SELECT brand AS brands, 1 AS size FROM b
+  UNION ALL SELECT x.brand || '+' || y.brand, 2 FROM b x JOIN b y ON x.order_id = y.order_id AND x.brand < y.brand
+  UNION ALL SELECT x.brand || '+' || y.brand || '+' || z.brand, 3
+  FROM b x JOIN b y ON x.order_id = y.order_id AND x.brand < y.brand JOIN b z ON z.order_id = x.order_id AND y.brand < z.brand)
+SELECT brands, CAST(size AS BIGINT) AS size, {_b('count(*)')} AS n, {_ratio('count(*)', 'any_value(total)')} AS support
+FROM sets, t GROUP BY 1, 2 HAVING count(*) >= greatest(2, ceil(any_value(total) * 0.01::DOUBLE))"""
+
 _RAW["mart_product_affinity"] = f"""
 WITH b AS (SELECT DISTINCT order_id, product_id FROM e_fct_items),
 s AS (SELECT product_id, count(*) AS n FROM b GROUP BY 1),
@@ -590,6 +605,19 @@ SELECT {_b('grouping(channel, device_type)')} AS level, channel, device_type, {_
        {_d('sum(grand_total)')} AS revenue, {_ratio('sum(grand_total)', 'count(*)')} AS aov
 FROM e_orders WHERE status <> 'cancelled' GROUP BY ROLLUP (channel, device_type)"""
 
+_RAW["metric_items_by_country"] = f"""
+SELECT c.signup_country, o.device_type, {_b('sum(i.quantity)')} AS units, {_d('sum(i.quantity * i.unit_price)')} AS revenue
+FROM e_order_items i JOIN e_orders o ON o.id = i.order_id AND o.status <> 'cancelled' LEFT JOIN e_customers c ON c.id = o.customer_id
+GROUP BY 1, 2
+UNION ALL
+SELECT NULL, NULL, {_b('sum(i.quantity)')}, {_d('sum(i.quantity * i.unit_price)')}
+FROM e_order_items i WHERE i.order_id NOT IN (SELECT id FROM e_orders WHERE status <> 'cancelled') HAVING count(*) > 0"""
+_RAW["metric_date_ranges"] = f"""
+SELECT period, CAST(placed_at AS DATE) AS day, {_b('count(*)')} AS count
+FROM e_orders JOIN (VALUES ('last 7 days', {DAY} - 7, {DAY} - 1), ('today', {DAY}, {DAY}),
+                           ('2001-01-01 to 2001-03-31', DATE '2001-01-01', DATE '2001-03-31')) p(period, a, b)
+  ON CAST(placed_at AS DATE) BETWEEN a AND b
+WHERE status <> 'cancelled' GROUP BY 1, 2"""
 _RAW["metric_prepared"] = f"""
 SELECT channel, CAST(date_trunc('month', placed_at) AS DATE) AS month, {_b('count(*)')} AS count, {_d('sum(grand_total)')} AS revenue,
        {_d('sum(discount_total)')} AS discount, {_ratio('sum(grand_total)', 'count(grand_total)')} AS aov

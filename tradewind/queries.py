@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.exprs import dbl, ts_lit
-from tradewind.operators import affinity, bulk, churn, etl, forecast, timelines
+from tradewind.operators import affinity, bulk, churn, etl, forecast, itemsets, timelines
 from tradewind.plans import analytics as an
 from tradewind.plans import dims_facts as df_
 from tradewind.plans import marts as m
@@ -201,6 +201,14 @@ def _(s: Shop) -> DataFrame:
     return etl.jsonl_roundtrip(kept, "orders")
 
 
+@query("etl_line_store")
+def _(s: Shop) -> DataFrame:
+    """Lines as they are stored by the date of their order: rows and quantity of each month."""
+    path, _ = s.line_store()
+    stored = s.spark.read.parquet(path).withColumn("month", F.trunc("dt", "MONTH"))
+    return stored.groupBy("month").agg(F.count("*").alias("n_rows"), F.sum(F.col("l_quantity").cast("long")).alias("units"))
+
+
 @query("stg_dedupe")
 def _(s: Shop) -> DataFrame:
     """Two overlapping pulls: the first saw every order as pending, the second its final status."""
@@ -454,6 +462,14 @@ def _(s: Shop) -> DataFrame:
     return affinity.mart_product_affinity(items(s))
 
 
+@query("brand_itemsets")
+def _(s: Shop) -> DataFrame:
+    """Up to three brands bought together in at least one percent of the baskets."""
+    named = s.products().select(F.col("id").alias("product_id"), "brand")
+    sets = itemsets.frequent_itemsets(s.order_items().join(named, "product_id"), "order_id", "brand", 0.01)
+    return sets.select(F.array_join("items", "+").alias("brands"), "size", "n", "support")
+
+
 @query("ltv_cac")
 def _(s: Shop) -> DataFrame:
     return m.ltv_cac(s.customers(), orders(s), s.channel_cac())
@@ -582,6 +598,24 @@ def _(s: Shop) -> DataFrame:
     return mt.metric_query(_model(s), [f"OrderItems.{x}" for x in measures], ["Products.brand"])
 
 
+@query("metric_items_by_country")
+def _(s: Shop) -> DataFrame:
+    """Measures of lines by a dimension two joins away: lines to orders to customers."""
+    return mt.metric_query(_model(s), ["OrderItems.units", "OrderItems.revenue"], ["Customers.signup_country", "Orders.device_type"])
+
+
+@query("metric_date_ranges")
+def _(s: Shop) -> DataFrame:
+    """Orders of three periods, each named by its text."""
+    out = None
+    for text in ("last 7 days", "today", "2001-01-01 to 2001-03-31"):
+        period = mt.date_range(AS_OF_DATE, text)
+        told = mt.metric_query(_model(s.dated(*period)), ["Orders.count"], time_dimension="Orders.placed_at", granularity="day", dates=period)
+        part = told.select(F.lit(text).alias("period"), "day", "count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("metric_products")
 def _(s: Shop) -> DataFrame:
     out = mt.metric_query(
