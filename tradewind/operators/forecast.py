@@ -82,64 +82,110 @@ def _design(day: Column) -> list[Column]:
 
 PLAIN_TERMS = 8  # level, trend and weekdays; the yearly waves follow
 TERMS = PLAIN_TERMS + 2 * YEARLY_TERMS
-PAIRS = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
+WAVES = range(1, YEARLY_TERMS + 1)
+
+
+def _summands(t: Column, number: Column, y: Column) -> dict[str, Column]:
+    """What is added up per weekday. Products of two waves are sums of waves of their sum and difference, so single waves up to
+    twice the order are enough."""
+    angle = {k: 2 * math.pi * k * number / 365.25 for k in range(1, 2 * YEARLY_TERMS + 1)}
+    out = {"t": t, "tt": t * t, "y": y, "ty": t * y, "yy": y * y}
+    for k, x in angle.items():
+        out |= {f"s{k}": F.sin(x), f"c{k}": F.cos(x)}
+    for k in WAVES:
+        out |= {f"ts{k}": t * F.sin(angle[k]), f"tc{k}": t * F.cos(angle[k])}
+        out |= {f"ys{k}": y * F.sin(angle[k]), f"yc{k}": y * F.cos(angle[k])}
+    return out
+
+
+SUMMANDS = (
+    ["t", "tt", "y", "ty", "yy"]
+    + [f"{f}{k}" for k in range(1, 2 * YEARLY_TERMS + 1) for f in "sc"]
+    + [f"{v}{f}{k}" for k in WAVES for v in "ty" for f in "sc"]
+)
 
 
 def fit_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Everything a fit needs of its rows (date, y), added up where the rows are: no series is ever gathered.
 
-    Per key: n, the last date, the sums of products of design columns (`gram`, by PAIRS), those with y (`xy`) and of y squared (`yy`).
+    Per key and weekday: n, the last date, and the sums of SUMMANDS.
     """
-    x = [f"_x{i}" for i in range(TERMS)]
-    wide = rows.select(*keys, "date", "y", *[c.alias(name) for c, name in zip(_design(F.col("date")), x, strict=True)])
-    return wide.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.max("date").alias("last"),
-        F.array(*[F.sum(F.col(x[i]) * F.col(x[j])) for i, j in PAIRS]).alias("gram"),
-        F.array(*[F.sum(F.col(c) * F.col("y")) for c in x]).alias("xy"),
-        F.sum(F.col("y") * F.col("y")).alias("yy"),
+    number = F.unix_date("date")
+    t = dbl(F.datediff("date", F.lit(EPOCH).cast("date"))) / 365.25
+    wide = rows.select(*keys, "date", F.pmod(number, F.lit(7)).alias("weekday"), number.alias("_d"), t.alias("_t"), F.col("y").alias("_y"))
+    parts = _summands(F.col("_t"), F.col("_d"), F.col("_y"))
+    return wide.groupBy(*keys, "weekday").agg(
+        F.count("*").alias("n"), F.max("date").alias("last"), *[F.sum(parts[name]).alias(name) for name in SUMMANDS]
     )
 
 
-def solve_ridge(n: int, gram: np.ndarray, xy: np.ndarray, yy: float, yearly: bool) -> tuple[np.ndarray, float]:
-    """Weights of all terms (zero for the waves of a series too short for them) and the residual spread, from sums."""
-    terms = TERMS if yearly else PLAIN_TERMS
-    products = np.zeros((TERMS, TERMS))
-    for (i, j), value in zip(PAIRS, gram, strict=True):
-        products[i, j] = products[j, i] = value
-    products, xy = products[:terms, :terms], np.asarray(xy)[:terms]
+def _products(n: int, sums: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Products of level, trend and waves with each other, and with y, of one weekday."""
+    s = lambda k: float(np.sign(k)) * sums[f"s{abs(k)}"] if k else 0.0
+    c = lambda k: sums[f"c{abs(k)}"] if k else float(n)
+    names = ["1", "t", *[f"s{k}" for k in WAVES], *[f"c{k}" for k in WAVES]]
+    out = np.zeros((len(names), len(names)))
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[: i + 1]):
+            if b == "1":
+                value = float(n) if a == "1" else sums[a]
+            elif b == "t":
+                value = sums["t" + a]
+            else:
+                k, m = int(a[1:]), int(b[1:])
+                if a[0] == b[0]:
+                    value = (c(k - m) + (1 if a[0] == "c" else -1) * c(k + m)) / 2
+                else:  # the cosine is always listed later
+                    value = (s(m + k) + s(m - k)) / 2
+            out[i, j] = out[j, i] = value
+    return out, np.array([sums["y" if a == "1" else "ty" if a == "t" else "y" + a] for a in names])
+
+
+def solve_ridge(parts: Sequence, yearly: bool | None) -> tuple[int, np.ndarray, float]:
+    """Rows, weights of all terms (zero for the waves of a series too short for them) and the residual spread, from the
+    (weekday, n, sums) of one series."""
+    products, xy, yy, total = np.zeros((TERMS, TERMS)), np.zeros(TERMS), 0.0, 0
+    smooth = [0, 1, *range(PLAIN_TERMS, TERMS)]
+    for weekday, n, values in parts:
+        sums = dict(zip(SUMMANDS, values, strict=True))
+        own, own_y = _products(n, sums)
+        products[np.ix_(smooth, smooth)] += own
+        xy[smooth] += own_y
+        if weekday:
+            at = weekday + 1
+            products[at, smooth] = products[smooth, at] = own[0]
+            products[at, at], xy[at] = n, own_y[0]
+        yy, total = yy + sums["yy"], total + n
+    terms = TERMS if (total >= YEARLY_MIN_POINTS if yearly is None else yearly) else PLAIN_TERMS
+    products, xy = products[:terms, :terms], xy[:terms]
     penalty = np.full(terms, RIDGE)
     penalty[:2] = 0.0  # level and trend are not shrunk, so the trend may be measured from its mean, which keeps digits
     shift = np.eye(terms)
     shift[1, 0] = -products[0, 1] / products[0, 0]
     beta = shift.T @ np.linalg.solve(shift @ products @ shift.T + np.diag(penalty), shift @ xy)
     square = yy - 2 * beta @ xy + beta @ products @ beta
-    return np.concatenate([beta, np.zeros(TERMS - terms)]), float(np.sqrt(max(square, 0.0) / n))
+    return total, np.concatenate([beta, np.zeros(TERMS - terms)]), float(np.sqrt(max(square, 0.0) / total))
 
 
 def fitted(rows: DataFrame, keys: Sequence[str], yearly: bool | None = None) -> DataFrame:
     """One row per key: n, last, beta, spread. `yearly` decides on the waves; by default the length of the history does."""
-    sums = fit_sums(rows, keys)
-    kept = [*keys, "n", "last"]
+    part = F.struct("weekday", "n", F.array(*SUMMANDS).alias("sums"))
+    weeks = fit_sums(rows, keys).groupBy(*keys).agg(F.max("last").alias("last"), F.collect_list(part).alias("parts"))  # seven at most
+    kept = [*keys, "last"]
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            waves = pdf["n"] >= YEARLY_MIN_POINTS if yearly is None else [yearly] * len(pdf)
-            solved = [solve_ridge(*row) for row in zip(pdf["n"], pdf["gram"], pdf["xy"], pdf["yy"], waves, strict=True)]
-            yield pdf[kept].assign(beta=[b for b, _ in solved], spread=[s for _, s in solved])
+            solved = [solve_ridge([(p["weekday"], p["n"], p["sums"]) for p in parts], yearly) for parts in pdf["parts"]]
+            yield pdf[kept].assign(n=[n for n, _, _ in solved], beta=[b for _, b, _ in solved], spread=[s for _, _, s in solved])
 
-    schema = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in kept)
-    return sums.mapInPandas(solve, f"{schema}, beta array<double>, spread double")
+    schema = ", ".join(f"{c} {weeks.schema[c].dataType.simpleString()}" for c in kept)
+    return weeks.mapInPandas(solve, f"{schema}, n long, beta array<double>, spread double")
 
 
 def listed_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The sums of a fit as rows: mean product of term i and term j, and with j = TERMS the mean product of term i and y."""
-    products = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col("gram")[k].alias("total")) for k, (i, j) in enumerate(PAIRS)]
-    products += [F.struct(F.lit(i).cast("long").alias("i"), F.lit(TERMS).cast("long").alias("j"), F.col("xy")[i].alias("total")) for i in range(TERMS)]
-    mean = F.col("s.total") / F.col("n")
-    return sums.select(*keys, "n", F.explode(F.array(*products)).alias("s")).select(
-        *keys, "n", "s.i", "s.j", F.when(F.col("s.j") < TERMS, F.round(mean, 6)).otherwise(F.round(mean, 2)).alias("mean")
-    )
+    """The sums of a fit as rows: the mean of every summand per key and weekday; the square of y is left out."""
+    means = [F.struct(F.lit(x).alias("term"), F.round(F.col(x) / F.col("n"), 2 if "y" in x else 6).alias("mean")) for x in SUMMANDS if x != "yy"]
+    return sums.select(*keys, F.col("weekday").cast("long").alias("weekday"), "n", F.inline(F.array(*means)))
 
 
 def _predicted(day: Column) -> Column:

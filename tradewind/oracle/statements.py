@@ -760,15 +760,18 @@ series AS (SELECT category_name, date, revenue FROM hist
            UNION ALL SELECT '__total__', date, sum(revenue) FROM hist GROUP BY date)"""
 
 _WEEKDAY = "date_diff('day', DATE '1970-01-01', date)"
-_TERMS = ["1.0::DOUBLE", "date_diff('day', DATE '2000-01-01', date)::DOUBLE / 365.25::DOUBLE"]
-_TERMS += [f"({_WEEKDAY} % 7 = {k})::INT::DOUBLE" for k in range(1, 7)]
-_TERMS += [f"{f}(2 * pi() * {k} * {_WEEKDAY} / 365.25::DOUBLE)" for f in ("sin", "cos") for k in range(1, 5)]
+_YEARS = "(date_diff('day', DATE '2000-01-01', date)::DOUBLE / 365.25::DOUBLE)"
+_WAVE = {f"{f[0]}{k}": f"{f}(2 * pi() * {k} * {_WEEKDAY} / 365.25::DOUBLE)" for k in range(1, 9) for f in ("sin", "cos")}
+_SUMMAND = {"t": _YEARS, "tt": f"{_YEARS} * {_YEARS}", "y": "revenue::DOUBLE", "ty": f"{_YEARS} * revenue::DOUBLE"} | _WAVE
+_SUMMAND |= {f"t{n}": f"{_YEARS} * {w}" for n, w in _WAVE.items() if int(n[1:]) <= 4}
+_SUMMAND |= {f"y{n}": f"revenue::DOUBLE * {w}" for n, w in _WAVE.items() if int(n[1:]) <= 4}
 _RAW["forecast_sums"] = f"""
 WITH {_SERIES},
-d AS (SELECT category_name, [{', '.join(_TERMS)}, revenue::DOUBLE] AS x FROM series),
-pairs AS (SELECT i.i AS i, j.i AS j FROM range(16) i(i) JOIN range(17) j(i) ON i.i <= j.i)
-SELECT category_name, {_b('count(*)')} AS n, i, j, round(avg(x[i + 1] * x[j + 1]), CASE WHEN j = 16 THEN 2 ELSE 6 END) AS mean
-FROM d, pairs GROUP BY category_name, i, j"""
+d AS (SELECT category_name, {_WEEKDAY} % 7 AS weekday, unnest([{', '.join(f"'{n}'" for n in _SUMMAND)}]) AS term,
+             unnest([{', '.join(_SUMMAND.values())}]) AS x FROM series)
+SELECT category_name, {_b('weekday')} AS weekday, {_b('count(*)')} AS n, term,
+       round(avg(x), CASE WHEN contains(term, 'y') THEN 2 ELSE 6 END) AS mean
+FROM d GROUP BY category_name, weekday, term"""
 
 _Z = "1.2815515655446004::DOUBLE"
 _T = "date_diff('day', DATE '2000-01-01', {})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -53,9 +54,30 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "tradewind-shared")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def run_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one; every run writes to its own."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one; every run writes to its own. It is deleted when the driver's program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove_run_paths() -> int:
+    """Delete the folders that this program made under the shared one; returns how many there were. Results that were handed out
+    lazily read from them, so this is for the end of a program."""
+    removed = 0
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue  # the session is gone, and its file systems with it
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return removed
+
+
+atexit.register(remove_run_paths)
 
 
 def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
