@@ -29,7 +29,7 @@ def _pairs(baskets: DataFrame) -> DataFrame:
 def mart_product_affinity(fct_items: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """Pairs found together in at least a share of `min_support` of the baskets, and in two."""
     baskets = fct_items.select("order_id", "product_id").distinct()
-    total = baskets.agg(F.countDistinct("order_id")).scalar()
+    total = fct_items.agg(F.countDistinct("order_id")).scalar()  # from the lines, not from the distinct baskets
     least = F.greatest(F.lit(2), F.ceil(total * F.lit(min_support)))
     support = baskets.groupBy("product_id").agg(F.count("*").alias("n_orders")).filter(F.col("n_orders") >= least)
     kept = baskets.join(support.select("product_id"), "product_id", "left_semi")
