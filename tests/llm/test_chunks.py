@@ -11,13 +11,25 @@ def brute(pairs):
     rows = sorted({(i is None, i or 0, t or "") for i, t in pairs})
     seen, out = {}, {}
     for unknown, i, text in rows:
-        data, at, kept = text.encode(), 0, b""
+        data, at, marks = text.encode(), 0, []
         for end in chunks.cuts(data):
             piece = data[at:end]
             home = seen.setdefault(piece, (unknown, i, text, at))
-            if len(piece) < chunks.MIN_REPEAT or home == (unknown, i, text, at):
-                kept += piece
+            marks.append((at, end, len(piece) >= chunks.MIN_REPEAT and home != (unknown, i, text, at)))
             at = end
+        kept, k = b"", 0
+        while k < len(marks):
+            stop = k
+            while stop < len(marks) and marks[stop][2]:
+                stop += 1
+            if stop == k:
+                kept += data[marks[k][0] : marks[k][1]]
+                k += 1
+                continue
+            run = data[marks[k][0] : marks[stop - 1][1]]
+            if len(run) < chunks.MIN_RUN and len(run) < len(data):
+                kept += run
+            k = stop
         out[None if unknown else i, text] = (len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest())
     return out
 
@@ -45,6 +57,20 @@ def test_a_passage_in_the_middle_is_removed(docs_of, prose):
     check(docs_of(pairs), pairs)
 
 
+def test_short_repeats_stay_and_passages_go(docs_of, prose):
+    """A few common words repeat in many texts; only passages and whole copies are taken out."""
+    common = "for the reason that was given above"
+    clean = [(i, " ".join(f"{prose(100 * i + k, 12)} {common}" for k in range(6))) for i in range(1, 15)]
+    passage = prose(7, 55)
+    copies = [(20 + i, f"{prose(50 + i, 30)} {passage} {prose(70 + i, 30)}") for i in range(6)]
+    short = [(40, "A short text that stands alone."), (41, "A short text that stands alone.")]
+    rows = {r["doc_id"]: r["n_removed"] for r in chunks.dedupe_chunks(docs_of(clean + copies + short), keep_text=False).collect()}
+    assert all(rows[i] == 0 for i, _ in clean)
+    assert rows[20] == 0 and all(rows[20 + i] >= len(passage) / 2 for i in range(1, 6))
+    assert rows[40] == 0 and rows[41] == len(short[1][1])
+    check(docs_of(clean + copies + short), clean + copies + short)
+
+
 def test_edge_cases(docs_of, prose):
     long = prose(5, 3000)
     pairs = [(1, None), (2, ""), (3, long), (4, long), (4, long), (5, "a" * 5000), (None, long[:900]), (None, None), (6, "short"), (6, prose(6, 30))]

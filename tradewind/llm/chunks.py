@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 32 bytes cuts every text where it falls below a bound, so an insertion moves the cuts
-near it and no others. Chunks are compared by digest. The first place of a chunk, by (doc_id, text, position), stays; every
-other place is removed from its text.
+near it and no others. Chunks are compared by digest. The first place of a chunk, by (doc_id, text, position), stays. Every
+other place is removed from its text if it lies in a run of such chunks of `MIN_RUN` bytes at least, or if the run is the
+whole text: a single chunk of three or four words repeats by chance in clean prose, a passage repeats over several.
 
 A 64-bit hash finds the chunks that may repeat; only those are compared by a second, independent 64-bit hash, so that rows are
 short where there are many. Counts meet per chunk in the shuffle, summed before it; a chunk that fills a third of the
@@ -28,6 +29,7 @@ by_value(__name__)
 
 LEAST, MEAN, MOST = 20, 40, 512  # bytes: shortest chunk, mean distance of cuts after it, longest chunk
 MIN_REPEAT = 20  # shorter repeated chunks stay where they are
+MIN_RUN = 100  # bytes of neighbouring repeated chunks that make a passage
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 17) for i in range(256)], np.uint32)
 
@@ -64,6 +66,18 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def passages(ends: list[int], repeated: list[int]) -> list[tuple[int, int]]:
+    """Byte spans of the runs of repeated chunks (sorted numbers) that are long enough, or the whole text."""
+    out: list[tuple[int, int]] = []
+    for i in repeated:
+        start = ends[i - 1] if i else 0
+        if out and out[-1][1] == start:
+            out[-1] = (out[-1][0], ends[i])
+        else:
+            out.append((start, ends[i]))
+    return [(a, b) for a, b in out if b - a >= MIN_RUN or b - a == ends[-1]]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -124,13 +138,9 @@ def dedupe_chunks(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         out = {"doc_id": batch["doc_id"], **{n: [] for n in names}}
         for data, removed in zip(utf8(batch["text"]), batch["removed"].to_pylist(), strict=True):
             ends = cuts(data)
-            pieces, n_spans, last = data, 0, -2
-            if removed:
-                gone, starts = set(removed), [0, *ends]
-                pieces = b"".join(data[starts[i] : e] for i, e in enumerate(ends) if i not in gone)
-                for i in removed:
-                    n_spans += i != last + 1
-                    last = i
+            spans = passages(ends, removed or [])
+            stays = zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(data)], strict=True)
+            pieces, n_spans = b"".join(data[a:b] for a, b in stays), len(spans)
             row = (len(data), len(ends), len(data) - len(pieces), n_spans, pieces, hashlib.sha256(pieces).hexdigest())
             for n, v in zip(names, row, strict=True):
                 out[n].append(v)
