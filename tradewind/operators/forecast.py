@@ -183,9 +183,9 @@ def fitted(rows: DataFrame, keys: Sequence[str], yearly: bool | None = None) ->
 
 
 def listed_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The sums of a fit as rows: the mean of every summand per key and weekday; the square of y is left out."""
-    means = [F.struct(F.lit(x).alias("term"), F.round(F.col(x) / F.col("n"), 2 if "y" in x else 6).alias("mean")) for x in SUMMANDS if x != "yy"]
-    return sums.select(*keys, F.col("weekday").cast("long").alias("weekday"), "n", F.inline(F.array(*means)))
+    """The sums of a fit as rows: every summand per key and weekday; the square of y, which has too many digits, is left out."""
+    totals = [F.struct(F.lit(x).alias("term"), F.round(x, 2 if "y" in x else 6).alias("total")) for x in SUMMANDS if x != "yy"]
+    return sums.select(*keys, F.col("weekday").cast("long").alias("weekday"), "n", F.inline(F.array(*totals)))
 
 
 def _predicted(day: Column) -> Column:

@@ -770,7 +770,7 @@ WITH {_SERIES},
 d AS (SELECT category_name, {_WEEKDAY} % 7 AS weekday, unnest([{', '.join(f"'{n}'" for n in _SUMMAND)}]) AS term,
              unnest([{', '.join(_SUMMAND.values())}]) AS x FROM series)
 SELECT category_name, {_b('weekday')} AS weekday, {_b('count(*)')} AS n, term,
-       round(avg(x), CASE WHEN contains(term, 'y') THEN 2 ELSE 6 END) AS mean
+       round(sum(x), CASE WHEN contains(term, 'y') THEN 2 ELSE 6 END) AS total
 FROM d GROUP BY category_name, weekday, term"""
 
 _Z = "1.2815515655446004::DOUBLE"

@@ -893,7 +893,7 @@ def _(s: Shop) -> DataFrame:
 
 @query("forecast_sums")
 def _(s: Shop) -> DataFrame:
-    """All that the fit of a series is made of: mean products of its design columns with each other and with the revenue."""
+    """All that the fit of a series is made of: sums of its design columns, of the revenue and of their products, per weekday."""
     daily = series(s).select("category_name", "date", dbl("revenue").alias("y"))
     return forecast.listed_sums(forecast.fit_sums(daily, ["category_name"]), ["category_name"])
 
