@@ -112,18 +112,35 @@ def test_edge_cases(docs_of, prose):
     assert kept.columns[-3:] == ["root", "node", "_rank"]
 
 
-def test_classes_that_only_meet_in_a_mixed_bucket(spark, monkeypatch):
-    """Buckets are compared through in blocks; each text asks its best-agreeing text of another class."""
+def test_blocks_join_all_classes_of_a_bucket(spark, prose, monkeypatch):
+    """Buckets are compared through in blocks; the largest class does not meet itself, all others meet."""
     monkeypatch.setattr(near, "BLOCK", 4)
-    one, two = list(range(near.SKETCHES)), list(range(50, 50 + near.SKETCHES))
-    close = one[:10] + two[10:]
-    rows = [(1, bytes([i]), bytes([0]), one) for i in range(9)] + [(1, bytes([20]), bytes([20]), two), (1, bytes([21]), bytes([21]), close)]
-    rows += [(2, bytes([40 + i]), bytes([40]), one) for i in range(3)]
-    df = spark.createDataFrame(rows, "bucket long, node binary, root binary, sketches array<long>")
-    got = {(bytes(r["u"]), bytes(r["v"])) for r in near.best_partners(df).collect()}
-    # 21 agrees with 20 in 22 sketches and with each of the others in 10, and they agree with nothing else.
-    assert (bytes([21]), bytes([20])) in got and {(bytes([21]), bytes([i])) for i in range(9)} <= got
-    assert len(got) == 10
+    one, two, three = (prose(i, 60).split() for i in (1, 2, 3))
+    texts = [" ".join(vary(one, 2, i)) for i in range(19)]  # one class so far
+    texts += [" ".join(vary(words, 2, 30 + i)) for i, words in enumerate([two] * 6 + [one] * 2 + [three] * 5)]
+    texts += [prose(100 + i, 60) for i in range(7)]
+    rows = [(1, 0, bytes([i]), bytes([0 if i < 19 else i]), len(t)) for i, t in enumerate(texts)]
+    rows += [(2, 1, bytes([i]), bytes([0]), 5) for i in range(4)]  # one class only
+    members = spark.createDataFrame(rows, "bucket long, band int, node binary, root binary, size long")
+    met = near.in_blocks(members)
+    groups = {}
+    for r in met.collect():
+        assert r["bucket"] == 1
+        groups.setdefault((r["x"], r["y"]), []).append(r["node"][0])
+    assert all(any(i >= 19 for i in g) for k, g in groups.items() if k[0] != k[1])
+    together = {frozenset((i, j)) for g in groups.values() for i in g for j in g}
+    assert all(frozenset((i, j)) in together for i in range(19, len(texts)) for j in range(len(texts)))
+
+    found = [1] + [0] * (near.SKETCHES - 1)
+    named = spark.createDataFrame([(bytes([i]), found, t) for i, t in enumerate(texts)], "node binary, sketches array<long>, text string")
+    links = [(r["u"][0], r["v"][0]) for r in near.block_links(met.join(named, "node")).collect()]
+    root = [0 if i < 19 else i for i in range(len(texts))]
+    for u, v in links:
+        root = [min(root[u], root[v]) if r in (root[u], root[v]) else r for r in root]
+    assert root == [0] * 19 + [19] * 6 + [0] * 2 + [27] * 5 + list(range(32, 39))
+    # A pair that an earlier band has in common is left to that bucket.
+    later = met.withColumn("band", near.F.lit(1))
+    assert near.block_links(later.join(named, "node")).collect() == []
 
 
 def test_failing_partners_do_not_hide_others(docs_of, prose):
@@ -148,18 +165,35 @@ def test_failing_partners_do_not_hide_others(docs_of, prose):
     assert classes(docs_of(pairs).repartition(4)) == want
 
 
-def test_profiles_never_exceed_the_edits():
+def test_bounds_never_exceed_the_edits():
     known = near.WordHashes()
     for seed in range(80):
         r = random.Random(seed)
         a = [f"w{r.randrange(r.choice([3, 40, 4000]))}" for _ in range(r.choice([3, 40, 900]))]
-        x, y = (near.word_hashes(" ".join(w), known) for w in (a, vary(a, r.randrange(1 + len(a) // 5), seed)))
-        table = {
-            "own": [0, 0], "band": [0, 0], "node": [b"a", b"b"], "root": [b"a", b"b"], "sketches": [[1], [1]],
-            "profile": [near.profile(x), near.profile(y)], "refused": [None, None],
-        }
-        got, agree = near.Block(near.pa.table(table)).open(0, np.array([0, 1]))
-        assert not near.similar(x, y) or (got.tolist() == [1] and agree.tolist() == [1])
+        texts = [" ".join(w) for w in (a, vary(a, r.randrange(1 + len(a) // 5), seed))]
+        x, y = (near.word_hashes(t, known) for t in texts)
+        table = {"own": [0, 0], "band": [0, 0], "node": [b"a", b"b"], "root": [b"a", b"b"], "sketches": [[1], [1]], "text": texts}
+        got = near.Block(near.pa.table(table)).open(0, np.array([0, 1]))
+        assert not near.similar(x, y) or got.tolist() == [1]
+
+
+def test_one_of_each_has_defined_ties(spark, prose):
+    base = prose(5, 80).split()
+    texts = [" ".join(vary(base, 2, i)) for i in range(3)]
+    rows = [(1, t, lang) for t in texts for lang in ("b", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [near.one_of_each(df.repartition(n)).collect() for n in (1, 3)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] and kept[0] == near.one_of_each(spark.createDataFrame(rows[::-1], df.schema)).collect()
+
+
+def test_alignment_of_long_texts():
+    r = random.Random(3)
+    a = [r.randrange(50_000) for _ in range(60_000)]
+    b = [x if isinstance(x, int) else 99 for x in vary(a, 200, 1)]
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    got = near.edits(x, y, 12_000)
+    assert got is not None and 150 <= got <= 200 and near.edits(x, y, got - 1) is None
+    assert near.edits(x, y[::-1].copy(), 12_000) is None
 
 
 def test_components(spark):

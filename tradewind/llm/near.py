@@ -8,10 +8,10 @@ connected components of these links; exact copies are one text from the start.
 
 A bucket is the texts with one sketch in common. Every text is first compared with one other only: of the least texts of its
 buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. Buckets that still hold
-several classes after that are compared through, in blocks of bounded size: each text meets all texts in its bucket, and the
-best-agreeing text of another class is verified. Classes are merged between the two halves of the buckets. After that every pair
-of a bucket that is in two classes and was not verified is, so no candidate is left out but by proof: lengths and counts of words
-in `BINS` groups bound the edits from below, and pairs beyond the bound are not near duplicates.
+several classes after that are compared through in blocks of bounded size. A block holds its texts and the classes known so far, aligns
+the pairs that are in two classes, joins classes as it goes, and puts out only the links that joined some: fewer than it has texts.
+The largest class of a bucket never meets itself. A pair is aligned in the first bucket that it shares, or it is in one class by then,
+or it is refuted by proof: lengths and counts of words in `BINS` groups bound the edits from below.
 
 Edge cases: null counts as an empty text; texts without words form classes of exact copies; shorter texts than five words are one
 k-mer; rows that repeat both doc_id and text are copies; a class is named by its least doc_id, null if it has none.
@@ -37,8 +37,8 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 BINS = 256  # groups of words whose counts a profile holds
-BAND_ROUNDS = 2  # the buckets are compared through in so many parts, with classes merged in between
-BLOCK = 1024  # texts of a bucket that are compared with another block at once
+BLOCK = 512  # texts of a bucket that are compared with another block at once
+BLOCK_BYTES = 8 << 20  # and about so many bytes of text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(struct.pack("<q", j), 99) for j in range(SKETCHES)], np.uint64)
@@ -104,10 +104,10 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def profile(words: np.ndarray) -> bytes:
-    """Number of words, and the words of each bin up to 255; bounds the edits between two texts from below."""
-    bins = np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
-    return struct.pack("<I", len(words)) + np.minimum(bins, 255).astype(np.uint8).tobytes()
+def bins(words: np.ndarray) -> np.ndarray:
+    """How many words fall in each bin; bounds the edits between two texts from below."""
+    found = np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return np.minimum(found, 255).astype(np.int16)
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -131,10 +131,12 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     counts = np.bincount(where[:n], minlength=len(values)) - np.bincount(where[n:], minlength=len(values))
     if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > most:
         return None
-    band = max(4, m - n)
+    if n > 1000 and m - n <= 4 < most and (got := _furthest(a, b, 4)) is not None:
+        return got
+    band = max(64, m - n)
     while True:
         band = min(band, most)
-        got = _furthest(a, b, band) if band <= 64 else _banded(a, b, band)
+        got = _banded(a, b, band)
         if got is not None or band == most:
             return got
         band *= 2
@@ -172,27 +174,34 @@ def _furthest(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Row by row over the diagonals of the band."""
+    """Word by word of b over the band of rows j - most to j + most of a, whose differences are the bits of whole numbers.
+
+    Bit r stands for row j - most + r. `up` and `down` hold where a row costs one more or one less than the row above it; `free`
+    holds where a step along the diagonal costs nothing. The cost at the end is the steps of its diagonal that are not free.
+    """
     n, m = len(a), len(b)
-    width = 2 * most + 1
-    padded = np.full(n + width + most, 0, np.uint64)
-    inside = np.zeros(n + width + most, bool)
-    take = min(m, len(padded) - most)
-    padded[most : most + take] = b[:take]
-    inside[most : most + take] = True
-    steps = np.arange(width)
-    big = n + m + 1
-    row = np.where(steps >= most, steps - most, big)  # diagonal d = index - most; before a text: d insertions
-    for i in range(n):
-        differs = (padded[i : i + width] != a[i]) | ~inside[i : i + width]
-        new = np.minimum(row + differs, np.append(row[1:], big) + 1)
-        if i + 1 <= most:
-            new[: most - i - 1] = big
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return None
-    at = m - n + most
-    return int(row[at]) if 0 <= at < width and row[at] <= most else None
+    words, every, top = a.tolist(), (1 << (2 * most + 1)) - 1, 1 << (2 * most)
+    rows: dict[int, tuple[int, int]] = {}  # word -> its rows as bits, and the column that the bits are for
+    for i, word in enumerate(words[:most]):
+        rows[word] = (rows.get(word, (0, 0))[0] | 1 << (i + most), 0)
+    up, down, end, cost = every ^ ((1 << most) - 1), 0, 1 << (most + n - m), 0
+    for j, word in enumerate(b.tolist()):
+        if j + most < n:
+            bits, since = rows.get(enters := words[j + most], (0, j))
+            rows[enters] = (bits >> (j - since) | top, j)
+        same = 0
+        if word in rows:
+            bits, since = rows[word]
+            same = bits >> (j - since)
+        free = ((((same & up) + up) ^ up) | same | down) & every
+        right, left = down | (every & ~(free | up)), free & up
+        if not free & end:
+            cost += 1
+            if cost > most:
+                return None
+        free >>= 1
+        up, down = left | (every & ~(free | right)), free & right
+    return cost
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -201,20 +210,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """node (16 bytes for the text), its sketches and its profile, for texts with words."""
+    """node (16 bytes for the text), its sketches and the bytes of the text, for texts with words."""
     rows = docs.select(F.substring(text_key(), 1, 16).alias("node"), "text")
 
     def run(batch):
-        known, nodes, found, profiles = known_words(), [], [], []
+        known, nodes, found, sizes = known_words(), [], [], []
         for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = word_hashes(text or "", known)
             if len(words):
                 nodes.append(node)
                 found.append(sketches(words).view(np.int64).tolist())
-                profiles.append(profile(words))
-        return {"node": nodes, "sketches": found, "profile": profiles}
+                sizes.append(len(text.encode()))
+        return {"node": nodes, "sketches": found, "size": sizes}
 
-    return map_arrow(rows, "node binary, sketches array<long>, profile binary", run)
+    return map_arrow(rows, "node binary, sketches array<long>, size long", run)
 
 
 def bucket_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -259,141 +268,107 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The texts of one or two blocks of a bucket."""
+    """The texts of one or two blocks of a bucket, and the classes that are known of them."""
 
     def __init__(self, group: pa.Table):
+        known = known_words()
         self.owns, self.bands = group["own"].to_numpy(), group["band"].to_pylist()
         self.found = group["sketches"].combine_chunks().flatten().to_numpy().reshape(len(self.owns), -1)
         self.nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
         number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
         self.classes = np.array([number[r] for r in roots])
-        profiles = [p or bytes(4 + BINS) for p in group["profile"].to_pylist()]
-        every = np.frombuffer(b"".join(profiles), np.uint8).reshape(len(profiles), -1)
-        self.sizes = every[:, :4].copy().view("<u4")[:, 0].astype(np.int64)
-        self.bins = every[:, 4:].astype(np.int16)
-        self.place = {n: i for i, n in enumerate(self.nodes)}
-        self.refused = group["refused"].to_pylist()
-
-    def open(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of `others` in another class that share a sketch with text i and may be similar to it; how many they share."""
+        self.words = [word_hashes(text, known) for text in group["text"].to_pylist()]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.bins = np.stack([bins(w) for w in self.words])
+
+    def open(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` in another class that share a sketch with text i, this bucket's first, and may be similar to it; those
+        that share more come first."""
         others = others[self.classes[others] != self.classes[i]]
         most = np.floor(np.maximum(self.sizes[others], self.sizes[i]) * (1 - SIMILARITY) + 1e-9)
         fits = np.abs(self.sizes[others] - self.sizes[i]) <= most
         others, most = others[fits], most[fits]
-        agree = (self.found[others] == self.found[i]).sum(axis=1)
-        others, most, agree = others[agree > 0], most[agree > 0], agree[agree > 0]
+        agree = self.found[others] == self.found[i]
+        fits = agree[:, self.bands[i]] & ~agree[:, : self.bands[i]].any(axis=1)
+        others, most, agree = others[fits], most[fits], agree[fits].sum(axis=1)
         more = self.bins[others] - self.bins[i]
         above = np.maximum(more, 0).sum(axis=1, dtype=np.int64)
         fits = np.maximum(above, above - more.sum(axis=1, dtype=np.int64)) <= most
-        return others[fits], agree[fits]
+        others, agree = others[fits], agree[fits]
+        return others[np.argsort(-agree, kind="stable")]
+
+    def links(self, asking: int, asked: int):
+        """Pairs (i, j) of similar texts of two blocks, those that join classes."""
+        every = np.flatnonzero(self.owns == asked)
+        for i in np.flatnonzero(self.owns == asking).tolist():
+            for j in self.open(i, every[every > i] if asking == asked else every).tolist():
+                if self.classes[j] != self.classes[i] and similar(self.words[i], self.words[j]):
+                    self.classes[self.classes == self.classes[j]] = self.classes[i]
+                    yield i, j
 
 
-def _in_blocks(members: DataFrame, name: str, both: bool, pairs) -> DataFrame:
-    """u, v, agree of the (i, j, agree) that `pairs` yields for a Block, a text and the texts it meets.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """bucket, x, y, own, node, root, band: each text in every pair of blocks x, y of its bucket that it has to be in.
 
-    members: bucket, node, root, sketches, and if known band, profile and refused (nodes that the text asked before). A bucket of
-    n texts is cut into blocks, and each two blocks meet in one task; with `both`, each of two texts meets the other.
+    members: bucket, band, node, root, size. Only buckets of several classes count. The largest class of a bucket has blocks of its own,
+    which meet the blocks of the other texts but not each other; the others meet all.
     """
-    for column, kind in (("band", "int"), ("profile", "binary"), ("refused", "array<binary>")):
-        if column not in members.columns:
-            members = members.withColumn(column, F.lit(None).cast(kind))
-    sizes = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")
-    )
-    mixed = stored(sizes.filter("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), name)
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    rows = members.join(mixed, "bucket").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        "own", "node", "root", "band", "sketches", "profile", "refused",
+    by_class = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    by_bucket = by_class.groupBy("bucket").agg(
+        F.max(F.struct("n", "root", "bytes")).alias("largest"),
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"),
     )
-    out = "u binary, v binary, agree int"
-    schema = arrow_schema(out)
-
-    def run(group: pa.Table) -> pa.Table:
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        block, found = Block(group), []
-        for asking, asked in [(x, y), (y, x)] if both and x != y else [(x, y)]:
-            others = np.flatnonzero(block.owns == asked)
-            for i in np.flatnonzero(block.owns == asking).tolist():
-                found += pairs(block, i, others if both or x != y else others[others > i])
-        rows = [(block.nodes[i], block.nodes[j], n) for i, j, n in found]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, with the lesser node as v."""
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
 
-def proposals(members: DataFrame) -> DataFrame:
-    """One pair (u, v) for each text in a bucket that holds several classes: v is the text of another class that agrees with u in
-    most sketches, among those that may be similar and that u has not asked. The rows grow with the texts and not with their pairs."""
-
-    def best(block, i, others):
-        found, agree = block.open(i, others)
-        known = [block.place[n] for n in block.refused[i] or () if n in block.place]
-        agree[np.isin(found, known)] = 0
-        if len(agree) and agree.max() > 0:
-            yield i, int(found[agree.argmax()]), int(agree.max())
-
-    chosen = _in_blocks(members, "near-mixed", True, best).groupBy("u").agg(F.max(F.struct("agree", "v")).alias("best"))
-    return chosen.select("u", F.col("best.v").alias("v"))
-
+    rest = blocks(F.col("n") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes"))
+    mixed = by_bucket.filter("classes > 1").select(
+        "bucket", F.col("largest.root").alias("of"), rest.alias("rest"), blocks(F.col("largest.n"), F.col("largest.bytes")).alias("large")
+    )
+    rows = members.join(stored(mixed, "near-mixed"), "bucket")
+    dealt, large = F.xxhash64("node", F.lit(1)), F.col("root") == F.col("of")
+    rows = rows.withColumn(
+        "own", F.when(large, F.col("rest") + F.pmod(dealt, "large")).otherwise(F.pmod(dealt, "rest")).cast("int")
+    )
+    others = F.sequence(F.lit(0), F.when(large, F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "band")
 
-def best_partners(members: DataFrame) -> DataFrame:
-    """The pairs of `proposals`, each once."""
-    return ordered(proposals(members))
 
+def block_links(rows: DataFrame) -> DataFrame:
+    """Links (u, v) that join all classes of similar texts that meet in a block.
 
-def open_pairs(members: DataFrame) -> DataFrame:
-    """Every pair (u, v) of two classes that shares a bucket and may be similar, from the first band in which they agree."""
+    rows: as `in_blocks` makes them, with sketches and text. A block puts out fewer links than it has texts.
+    """
+    out = "u binary, v binary"
+    schema = arrow_schema(out)
 
-    def every(block, i, others):
-        found, agree = block.open(i, others)
-        first = (block.found[found] == block.found[i]).argmax(axis=1)
-        return [(i, j, n) for j, n, b in zip(found.tolist(), agree.tolist(), first.tolist(), strict=True) if b == block.bands[i]]
+    def run(group: pa.Table) -> pa.Table:
+        block = Block(group)
+        found = list(block.links(group["x"][0].as_py(), group["y"][0].as_py()))
+        columns = [[block.nodes[pair[k]] for pair in found] for k in (0, 1)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return ordered(_in_blocks(members, "near-mixed", False, every))
+    return rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """node -> root for every text that is similar to another one."""
     found = stored(sketch_rows(docs).dropDuplicates(["node"]), "near-sketches")
-    exploded = found.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    rows = exploded.select("node", "band", F.xxhash64("band", "sketch").alias("bucket"))
+    exploded = found.select("node", "size", F.posexplode("sketches").alias("band", "sketch"))
+    rows = exploded.select("node", "size", "band", F.xxhash64("band", "sketch").alias("bucket"))
     often = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-buckets")
     members = stored(rows.join(often, "bucket", "left_semi"), "near-members")
     texts = bucket_texts(docs, members)
     asked = stored(star_pairs(members.withColumn("root", F.col("node"))), "near-stars")
     links = stored(verified(asked, texts), "near-links")
     roots = stored(components(links), "near-roots")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        classes = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = classes.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-        return stored(classes.join(several.select("bucket"), "bucket", "left_semi"), "near-classes").join(found, "node")
-
-    for number in [*range(BAND_ROUNDS), None]:
-        if number is None:
-            pairs = open_pairs(mixed(members))
-        else:
-            refused = asked.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("refused"))
-            part = mixed(members.filter(F.col("band") % BAND_ROUNDS == number))
-            proposed = stored(proposals(part.join(refused, "node", "left")), "near-proposed")
-            pairs = ordered(proposed)
-        pairs = stored(pairs.join(ordered(asked), ["u", "v"], "left_anti"), "near-pairs")
-        more = stored(verified(pairs, texts), "near-links")
-        links = links.unionByName(more)
-        if number is not None:
-            asked = asked.unionByName(proposed)
-        if not more.isEmpty():
-            roots = stored(components(links), "near-roots")
-    return roots
+    classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = stored(in_blocks(classes), "near-blocks")
+    rows = met.join(found.select("node", "sketches"), "node").join(texts, "node")
+    more = stored(block_links(rows), "near-links")
+    return roots if more.isEmpty() else stored(components(links.unionByName(more)), "near-roots")
 
 
 def with_class(docs: DataFrame, name: str = "class_node") -> DataFrame:
@@ -418,8 +393,9 @@ def class_ids(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class the row with the least doc_id; nulls come last, equal ids in any order."""
+    """Of each class the row with the least doc_id; nulls come last, equal ids by the digest of their text, then by the other columns'."""
     rank, of = free_name(docs, "_rank"), free_name(docs, "_class")
     rows = with_class(docs, of)
-    order = Window.partitionBy(of).orderBy(F.col("doc_id").asc_nulls_last())
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy(of).orderBy(F.col("doc_id").asc_nulls_last(), text_key(), F.xxhash64(*hashed))
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
