@@ -37,7 +37,7 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 BINS = 256  # groups of words whose counts a profile holds
-BLOCK = 512  # texts of a bucket that are compared with another block at once
+BLOCK = 2048  # texts of a bucket that are compared with another block at once: about a second's work for a few MB that are moved
 BLOCK_BYTES = 8 << 20  # and about so many bytes of text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -226,17 +226,18 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, "node binary, sketches array<long>, size long", run)
 
 
-def bucket_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """node and text of every text that shares a bucket. The texts are moved once, by the same plan at every size."""
+def bucket_texts(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """node, text and sketches of every text that shares a bucket. The texts are moved once, by the same plan at every size."""
     named = docs.select(F.substring(text_key(), 1, 16).alias("node"), "text")
     nodes = members.select("node").distinct().hint("merge")
-    return stored(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    once = named.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return stored(once.join(found.select("node", "sketches").hint("merge"), "node"), "near-texts")
 
 
 def verified(pairs: DataFrame, every: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar, with the texts of the nodes in `every`."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("merge")
-    texts = stored(every.join(asked, "node", "left_semi"), "near-asked")
+    texts = stored(every.select("node", "text").join(asked, "node", "left_semi"), "near-asked")
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
@@ -360,14 +361,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = exploded.select("node", "size", "band", F.xxhash64("band", "sketch").alias("bucket"))
     often = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near-buckets")
     members = stored(rows.join(often, "bucket", "left_semi"), "near-members")
-    texts = bucket_texts(docs, members)
+    texts = bucket_texts(docs, members, found)
     asked = stored(star_pairs(members.withColumn("root", F.col("node"))), "near-stars")
     links = stored(verified(asked, texts), "near-links")
     roots = stored(components(links), "near-roots")
     classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = stored(in_blocks(classes), "near-blocks")
-    rows = met.join(found.select("node", "sketches"), "node").join(texts, "node")
-    more = stored(block_links(rows), "near-links")
+    more = stored(block_links(met.join(texts, "node")), "near-links")
     return roots if more.isEmpty() else stored(components(links.unionByName(more)), "near-roots")
 
 
