@@ -1,40 +1,20 @@
 from __future__ import annotations
 
-import hashlib
-
 import pytest
 
 from tradewind.llm import lines
 
 
-def value(line):
-    return int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-
-
-def split(text):
-    """Chunks as lists of lines."""
-    out, chunk, last = [], [], ""
-    for line in text.split("\n"):
-        chunk.append(line)
-        if (value(line) * 31 + value(last)) % lines.MEAN == 0:
-            out.append(chunk)
-            chunk = []
-        last = line
-    return out + ([chunk] if chunk else [])
-
-
 def brute(pairs):
+    """(doc_id, text) -> what is left of it and the number of lines that went."""
     rows = sorted({(i is None, i or 0, t) for i, t in pairs if t is not None})
     seen, out = {}, {}
     for unknown, i, text in rows:
-        kept, gone = [], 0
-        for at, chunk in enumerate(split(text)):
-            home = seen.setdefault(tuple(chunk), (unknown, i, text, at)) if len(chunk) >= lines.LEAST else None
-            if home in (None, (unknown, i, text, at)):
-                kept += chunk
-            else:
-                gone += len(chunk)
-        out[None if unknown else i, text] = ("\n".join(kept), gone)
+        split, gone = text.split("\n"), set()
+        for at, two in enumerate(zip(split, split[1:], strict=False)):
+            if len(two[0]) + len(two[1]) >= lines.LEAST_CHARS and seen.setdefault(two, (unknown, i, text, at)) != (unknown, i, text, at):
+                gone |= {at, at + 1}
+        out[None if unknown else i, text] = ("\n".join(x for at, x in enumerate(split) if at not in gone), len(gone))
     return out
 
 
@@ -49,25 +29,44 @@ def paragraph(seed, n):
     return "\n".join(f"line {seed} {k} of some length" for k in range(n))
 
 
-def test_chunks_resist_an_inserted_line():
+def test_chunks_resist_an_inserted_line(docs_of):
     a = paragraph(1, 60)
     b = a.replace("line 1 30", "new line\nline 1 30")
-    before, after = {tuple(c) for c in split(a)}, {tuple(c) for c in split(b)}
-    assert len(before & after) >= len(before) - 2
+    found = {r["doc_id"]: sorted(r["places"]) for r in lines.chunks(docs_of([(1, a), (2, b)])).collect()}
+    # The inserted line parts one chunk in two and leaves the other pairs of lines as they were.
+    assert found[1] == [i for i in range(59) if i != 29] and found[2] == [i for i in range(60) if i not in (29, 30)]
+
+
+@pytest.mark.parametrize("n", range(2, 9))
+def test_every_line_of_a_shared_passage_goes(docs_of, n):
+    """Passages of two to eight lines at the front, in the middle and at the end of texts."""
+    pairs, want = [], {}
+    for k in range(6):
+        shared = paragraph(100 + k, n)
+        before, after = paragraph(10 * k + 1, k % 3), paragraph(10 * k + 2, 2 + k % 2)
+        texts = [f"{paragraph(10 * k + 3, 3)}\n{shared}\n{paragraph(10 * k + 4, 4)}", "\n".join(x for x in (before, shared, after) if x)]
+        for j, text in enumerate(texts):
+            pairs.append((2 * k + j, text))
+            want[2 * k + j] = j * n
+    check(docs_of(pairs).repartition(3), pairs)
+    assert {r["doc_id"]: r["removed_lines"] for r in lines.drop_repeated_lines(docs_of(pairs)).collect()} == want
 
 
-def test_shared_passage_goes_and_the_rest_stays(docs_of):
-    shared = paragraph(7, 20)
-    pairs = [(1, f"{paragraph(1, 9)}\n{shared}\n{paragraph(2, 4)}"), (2, f"{paragraph(3, 5)}\n{shared}\n{paragraph(4, 8)}")]
+def test_overlapping_passages_and_single_lines(docs_of):
+    a, b, c, d = (f"a sentence of the text number {k}" for k in range(4))
+    pairs = [
+        (1, "\n".join([a, b, c])), (2, "\n".join([b, c, d])), (3, "\n".join([c, d, a])), (4, "\n".join([d, "other words in between", b])),
+        (5, "\n".join([a, a, a, a])), (6, "}\n}\n" + a + "\n}\n}"), (7, "}\n}\n" + b + "\n}\n}"),
+    ]
     check(docs_of(pairs), pairs)
-    gone = {r["doc_id"]: r["removed_lines"] for r in lines.drop_repeated_lines(docs_of(pairs)).collect()}
-    assert gone[1] == 0 and gone[2] >= 10
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs_of(pairs)).collect()}
+    assert got[2] == d and got[3] == a and got[4] == pairs[3][1] and got[5] == a and got[6] == pairs[5][1] and got[7] == pairs[6][1]
 
 
 def test_edge_cases(docs_of):
     long = paragraph(5, 3000)
     pairs = [
-        (1, None), (2, ""), (3, "\n\n\n\n"), (4, "\n\n\n\n"), (5, "B\nB\nL\nLB\nB"), (6, "B\nB\nL\nLB\nB"), (7, long), (8, long),
+        (1, None), (2, ""), (3, "\n\n\n\n"), (4, "\n\n\n\n"), (5, "B\nB\nL\nLB\nB"), (6, "B\nB\nL\nLB\nB"), (7, long), (8, long), (14, "\n".join(["ä" * 10, "ö" * 10])), (15, "\n".join(["ä" * 10, "ö" * 10, ""])),
         (8, long), (8, paragraph(5, 40)), (None, paragraph(5, 40)), (None, None), (9, "one line"), (10, "one line"),
         (11, "é\r\nä\r\n$1\\n\n"), (12, "é\r\nä\r\n$1\\n\n"), (13, "a\n"),
     ]

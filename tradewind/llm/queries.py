@@ -54,7 +54,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that an earlier place in the corpus has."""
+    """Every document without the runs of lines that an earlier place in the corpus has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = lines.drop_repeated_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
     sha = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -66,21 +66,12 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
 each AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM split),
-valued AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM each),
-rolled AS (
-  SELECT *, v * 31 + lag(v, 1, CAST('0x' || substr(md5(''), 1, 8) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM valued
-),
-numbered AS (
-  SELECT doc_id, line, i, coalesce(sum(CASE WHEN r % {lines.MEAN} = 0 THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq
-  FROM rolled
-),
-chunk AS (SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM numbered GROUP BY doc_id, seq),
-placed AS (SELECT doc_id, seq, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, seq) AS k FROM chunk),
-marked AS (
-  SELECT l.doc_id, l.line, l.i, p.n >= {lines.LEAST} AND p.k > 1 AS gone
-  FROM numbered l JOIN placed p ON p.doc_id = l.doc_id AND p.seq = l.seq
+pair AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM each),
+placed AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM pair WHERE length(body) > {lines.LEAST_CHARS}
 ),
+gone AS (SELECT doc_id, i FROM placed WHERE k > 1 UNION SELECT doc_id, i + 1 FROM placed WHERE k > 1),
+marked AS (SELECT e.doc_id, e.line, e.i, g.i IS NOT NULL AS gone FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
 done AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
