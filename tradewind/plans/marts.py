@@ -24,7 +24,7 @@ from tradewind.functions.exprs import (
 )
 from tradewind.functions.money import cents, exact_share, money, sum_cents, sum_money
 from tradewind.functions.predicates import reached_checkout
-from tradewind.functions.sizing import sums_by_attribute
+from tradewind.functions.sizing import by_shuffle, sums_by_attribute
 from tradewind.plans.dims_facts import calendar
 
 
@@ -175,9 +175,9 @@ def mart_stockout_risk(
     p = products.select(F.col("id").alias("product_id"), "sku", "name")
     cover = F.col("days_of_cover")
     return (
-        v.join(p, "product_id")
-        .join(rate, "variant_id", "left")
-        .join(stock, "variant_id", "left")
+        v.join(by_shuffle(p), "product_id")
+        .join(by_shuffle(rate), "variant_id", "left")
+        .join(by_shuffle(stock), "variant_id", "left")
         .withColumn("days_of_cover", ratio("on_hand", "units_per_day"))
         .select(
             "variant_id",
@@ -201,11 +201,11 @@ def mart_inventory_aging(inventory: DataFrame, variants: DataFrame, dim_product:
     )
     v = variants.select(F.col("id").alias("variant_id"), "product_id")
     per_product = (
-        per_variant.join(v, "variant_id")
+        per_variant.join(by_shuffle(v), "variant_id")
         .groupBy("product_id")
         .agg(F.sum("on_hand").alias("on_hand"), F.sum("available").alias("available"))
     )
-    return per_product.join(dim_product, "product_id").select(
+    return per_product.join(by_shuffle(dim_product), "product_id").select(
         "category_name",
         "brand",
         "product_id",
