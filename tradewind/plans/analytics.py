@@ -22,6 +22,7 @@ from tradewind.functions.exprs import (
 from tradewind.functions.money import cents, sum_cents, sum_money
 from tradewind.functions.predicates import not_cancelled, reached_checkout, recognized, sellable
 from tradewind.functions.quantiles import group_quantiles
+from tradewind.functions.sizing import by_shuffle
 from tradewind.plans.marts import cohort_activity
 
 TOP_N = 50
@@ -125,15 +126,15 @@ def top_products(
 def _product_stock(inventory: DataFrame, variants: DataFrame) -> DataFrame:
     per_variant = inventory.groupBy("variant_id").agg(F.sum("on_hand").alias("on_hand"))
     v = variants.select(F.col("id").alias("variant_id"), "product_id")
-    return per_variant.join(v, "variant_id").groupBy("product_id").agg(F.sum("on_hand").alias("on_hand"))
+    return per_variant.join(by_shuffle(v), "variant_id").groupBy("product_id").agg(F.sum("on_hand").alias("on_hand"))
 
 
 def _slowest(products: DataFrame, units: DataFrame, stock: DataFrame, max_units: int) -> DataFrame:
     return (
         products.filter("is_active")
         .withColumnRenamed("id", "product_id")
-        .join(units, "product_id", "left")
-        .join(stock, "product_id", "left")
+        .join(by_shuffle(units), "product_id", "left")
+        .join(by_shuffle(stock), "product_id", "left")
         .withColumn("units_sold", zero_if_null("units"))
         .filter(F.col("units_sold") <= max_units)
         .select("sku", "name", "brand", "units_sold", zero_if_null("on_hand").alias("on_hand"), "price", "cost")
@@ -230,11 +231,11 @@ def _at_risk(
     p = products.select(F.col("id").alias("product_id"), "sku", "name")
     return (
         inventory.select("variant_id", "warehouse_code", "on_hand", "reorder_point")
-        .join(rate, "variant_id")
+        .join(by_shuffle(rate), "variant_id")
         .withColumn("_cover", ratio("on_hand", "units_per_day"))
         .filter("_cover < 14")
-        .join(v, "variant_id")
-        .join(p, "product_id")
+        .join(by_shuffle(v), "variant_id")
+        .join(by_shuffle(p), "product_id")
         .withColumn("days_of_cover", half_even_int("_cover"))
         .orderBy("days_of_cover", "variant_id", "warehouse_code")
         .limit(TOP_N)
