@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from helpers import frame, rows
 
 from pyspark.sql import functions as F
@@ -64,3 +65,49 @@ def test_late_events_do_not_reopen_and_nothing_is_closed_early(spark, tmp_path):
     assert pull((1, "add_to_cart", "2024-01-01 00:00:00"), (2, "view", "2024-01-01 07:59:59")) == []
     assert pull((2, "view", "2024-01-01 08:00:00")) == [(1, 1, "abandoned")]
     assert pull((1, "purchase", "2024-01-01 01:00:00"), (2, "view", "2024-01-03 00:00:00")) == [(1, 1, "abandoned"), (2, 2, "browsing")]
+
+
+class _Handle:
+    """Stands in for Spark's handle: one user's state and timers."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class _Clock:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_a_user_has_one_timer_however_many_sessions_are_open():
+    hour, n = 3_600_000_000, 400
+    handle, job = _Handle(), timers.OpenSessions("user_id", GAP)
+    job.init(handle)
+    for k in (n // 2, 0):  # the earlier half comes last, so the timer moves forward in time
+        at = [24 * hour * d for d in range(k, k + n // 2)]
+        list(job.handleInputRows((1,), iter([pd.DataFrame({"at": at, "adds": 0, "buys": 0})]), _Clock(0)))
+    assert handle.timers == {6 * hour // 1000} and handle.calls == 2
+    fired = _Clock((24 * hour * (n - 1) - 1) // 1000)  # all days but the last are over
+    handle.timers.clear()
+    closed = pd.concat(list(job.handleExpiredTimer((1,), fired, _Clock(6 * hour // 1000))))
+    assert len(closed) == n - 1 and len(handle.rows) == 1
+    assert handle.timers == {(24 * hour * (n - 1) + 6 * hour) // 1000}
