@@ -85,3 +85,21 @@ def test_windowed_lines_are_all_lines_of_the_window(spark):
     got = windowed.join(raw, raw.o_orderkey == windowed.order_id, "left_semi")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert 0 < windowed.count() < lines.count() / 10
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplied tables")
+def test_store_holds_what_entities_read(spark):
+    """Columns that no entity reads would be shuffled twice and written for nothing."""
+    shop = Shop(spark, SF)
+    stored = spark.read.parquet(shop.line_store()[0])
+    kept = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    assert stored.columns == [*kept, "dt"] and shop.dated(date(2001, 6, 1), date(2001, 7, 1)).table("lineitem").columns == kept
+    assert stored.count() == shop.table("lineitem").count()
+
+
+def test_dates_of_orders_are_not_broadcast_to_lines(spark):
+    lines = spark.range(9).selectExpr("id as order_id", "cast(id as int) as n")
+    orders = spark.range(5).selectExpr("id", "timestamp_ntz'2001-02-01 00:00:00' as at")
+    plan = line_store.with_dates(lines, orders, "order_id", "id", "at", "DAY")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.filter("dt is null").count() == 4
