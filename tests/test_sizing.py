@@ -5,6 +5,7 @@ from datetime import date, datetime
 from helpers import frame, rows
 
 from pyspark.sql import functions as F
+from tradewind import queries
 from tradewind.functions.money import cents, money, sum_money
 from tradewind.functions.sizing import sums_by_attribute
 from tradewind.plans import analytics, dims_facts, marts
@@ -52,3 +53,17 @@ def test_sides_as_long_as_the_catalog_are_not_broadcast(spark):
         # The orders of a window may still be broadcast, the catalog may not.
         assert sizes.count("BroadcastHashJoin") <= (name == "stockouts_at_risk"), name
         assert df.count() == n, name
+
+
+def test_tasks_stay_small_whatever_the_number_of_shuffle_partitions(spark):
+    """Four shuffle partitions, as in these tests, would hand a quarter of any table to one task."""
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        queries.all_queries()["dim_channel"](spark, "/root/testdata/sf0.001")  # any query tunes its session
+        per_key = spark.range(2_500_000).selectExpr("xxhash64(id) as k", "uuid() as u").groupBy("k").agg(F.max("u").alias("u"))
+        assert per_key.rdd.getNumPartitions() > 4
+        assert int(spark.conf.get(keys[1])) >= 400
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
