@@ -204,6 +204,35 @@ def test_components(spark):
     assert cc.components(df.limit(0)).collect() == []
 
 
+def test_components_of_any_graph(spark):
+    r = random.Random(4)
+    for n, m in ((60, 30), (60, 60), (200, 180), (40, 300)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for u, v in edges:
+            root = [min(root[u], root[v]) if x in (root[u], root[v]) else x for x in root]
+        got = {x["node"]: x["root"] for x in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {i: root[i] for e in edges if e[0] != e[1] for i in e}
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Links to one smaller node each take large stars alone, which halve their depth; a round that would change nothing is not taken."""
+    written, store = [], cc.stored
+    monkeypatch.setattr(cc, "stored", lambda df, name: written.append(name) or store(df, name))
+    chains = [(100 * k + i, 100 * k + i - 1) for k in range(5) for i in range(1, 9)]
+    got = cc.components(spark.createDataFrame(chains, "u long, v long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == [(100 * k + i, 100 * k) for k in range(5) for i in range(9)]
+    assert len(written) == 8  # the edges, three rounds of two tables, and the look that ends them
+
+
+def test_blocks_put_out_stars_of_roots(prose):
+    words = prose(1, 60).split()
+    texts = [" ".join(vary(words, 1, i)) for i in range(6)]
+    table = {"own": [0] * 6, "band": [0] * 6, "node": [bytes([i]) for i in range(6)], "root": [bytes([i // 2 * 2]) for i in range(6)]}
+    block = near.Block(near.pa.table(table | {"sketches": [[1]] * 6, "text": texts}))
+    assert list(block.stars(0, 0)) == [(bytes([2]), bytes([0])), (bytes([4]), bytes([0]))]
+
+
 def test_query_against_brute_force(spark):
     from tradewind.llm.common import table, tune
     from tradewind.llm.queries import op7_near

@@ -9,7 +9,8 @@ connected components of these links; exact copies are one text from the start.
 A bucket is the texts with one sketch in common. Every text is first compared with one other only: of the least texts of its
 buckets, the one it shares most buckets with; so a large group of copies makes a star, not all pairs. Buckets that still hold
 several classes after that are compared through in blocks of bounded size. A block holds its texts and the classes known so far, aligns
-the pairs that are in two classes, joins classes as it goes, and puts out only the links that joined some: fewer than it has texts.
+the pairs that are in two classes, joins classes as it goes, and puts out a star of each set of classes that it joined: fewer links than
+it has texts, all between the least texts of known classes, so that what is joined last is a small graph of little depth.
 The largest class of a bucket never meets itself. A pair is aligned in the first bucket that it shares, or it is in one class by then,
 or it is refuted by proof: lengths and counts of words in `BINS` groups bound the edits from below.
 
@@ -275,8 +276,9 @@ class Block:
         known = known_words()
         self.owns, self.bands = group["own"].to_numpy(), group["band"].to_pylist()
         self.found = group["sketches"].combine_chunks().flatten().to_numpy().reshape(len(self.owns), -1)
-        self.nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
+        roots = group["root"].to_pylist()
         number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        self.roots = list(number)
         self.classes = np.array([number[r] for r in roots])
         self.words = [word_hashes(text, known) for text in group["text"].to_pylist()]
         self.sizes = np.array([len(w) for w in self.words])
@@ -307,6 +309,18 @@ class Block:
                     self.classes[self.classes == self.classes[j]] = self.classes[i]
                     yield i, j
 
+    def stars(self, asking: int, asked: int):
+        """Pairs of roots (u, v): v is the least root of the classes that two blocks join, u each other one."""
+        before = self.classes.copy()
+        for _ in self.links(asking, asked):
+            pass
+        joined: dict[int, set[bytes]] = {}
+        for old, new in zip(before.tolist(), self.classes.tolist(), strict=True):
+            joined.setdefault(new, set()).add(self.roots[old])
+        for roots in joined.values():
+            least = min(roots)
+            yield from ((u, least) for u in sorted(roots - {least}))
+
 
 def in_blocks(members: DataFrame) -> DataFrame:
     """bucket, x, y, own, node, root, band: each text in every pair of blocks x, y of its bucket that it has to be in.
@@ -338,7 +352,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def block_links(rows: DataFrame) -> DataFrame:
-    """Links (u, v) that join all classes of similar texts that meet in a block.
+    """Links (u, v) between roots that join all classes of similar texts that meet in a block.
 
     rows: as `in_blocks` makes them, with sketches and text. A block puts out fewer links than it has texts.
     """
@@ -347,8 +361,8 @@ def block_links(rows: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         block = Block(group)
-        found = list(block.links(group["x"][0].as_py(), group["y"][0].as_py()))
-        columns = [[block.nodes[pair[k]] for pair in found] for k in (0, 1)]
+        found = list(block.stars(group["x"][0].as_py(), group["y"][0].as_py()))
+        columns = [[pair[k] for pair in found] for k in (0, 1)]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return rows.groupBy("bucket", "x", "y").applyInArrow(run, out)
@@ -368,7 +382,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = stored(in_blocks(classes), "near-blocks")
     more = stored(block_links(met.join(texts, "node")), "near-links")
-    return roots if more.isEmpty() else stored(components(links.unionByName(more)), "near-roots")
+    if more.isEmpty():
+        return roots
+    # Classes are joined by their roots alone; what they were joined from is named after that.
+    last = stored(components(more), "near-roots")
+    named = roots.join(last.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return stored(named.unionByName(last).distinct(), "near-roots")
 
 
 def with_class(docs: DataFrame, name: str = "class_node") -> DataFrame:
