@@ -101,6 +101,27 @@ def test_models_whose_longer_pieces_come_first():
             assert ids == judge.encode(text, add_eos=True), (text, scored)
 
 
+def test_one_look_up_a_round(monkeypatch):
+    """Pairs that merges make are looked up once, and before that only beside pieces that may be followed too early."""
+    own = pieces.PieceModel(model_of([("a", -9.0), ("b", -9.0), ("ab", -1.0), ("abab", -2.0), ("ababab", -3.0)], trainer=b"\x18\x02\x98\x02\x01"))
+    calls = {"lookup": 0, "_merges": 0}
+    for name in calls:
+        plain = getattr(own, name)
+        monkeypatch.setattr(own, name, lambda *a, n=name, f=plain: calls.update({n: calls[n] + 1}) or f(*a))
+    own.encode_words(["abababab", "bab" * 7])
+    assert calls["lookup"] == calls["_merges"] > 2
+
+
+def test_words_are_forgotten_and_come_again(monkeypatch):
+    monkeypatch.setattr(pieces, "KEEP_WORDS", 20)
+    r = random.Random(12)
+    for _ in range(30):
+        same(["".join(r.choice(PARTS) for _ in range(r.randrange(40))) for _ in range(5)] + ["", "the same words", "x" * 300])
+    with pytest.raises(UnicodeEncodeError):
+        MODEL.encode_batch(["new \ud800 words"])
+    same(["new words", "the same words"])
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError, match="BPE"):
         pieces.PieceModel(model_of([("a", -1.0)], trainer=b"\x18\x01\x98\x02\x01"))

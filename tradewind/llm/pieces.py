@@ -2,11 +2,13 @@
 
 The library merges, over a whole text, the adjacent pair whose joined piece scores highest, the leftmost first. Here a text is cut
 into words that no piece of the model can span, and the distinct words of a batch that are not remembered yet lie one after
-another in flat arrays: a symbol and the rank of the pair that starts there. A round finds the least rank of each word
-(segmented minimum), merges its occurrences from the left, and compacts the arrays, until no pair is left.
+another in flat arrays: a symbol and the pair that starts there with its rank. A round finds the least rank of each word
+(segmented minimum), merges its occurrences from the left, and compacts the arrays, until no pair is left. Remembered words have
+numbers, their ids lie in one array, and the ids of a batch are gathered from it at once.
 
 Merging all occurrences at once equals merging one by one as long as no new pair ranks as low as the one just merged.
-Where one does, only the leftmost is merged in this round.
+Where one does, only the leftmost is merged in this round. Pairs are looked up for that only beside pieces of which the model has such a
+pair at all.
 
 Long words are cut into segments of SEGMENT symbols (64 to 127 each at the start), and a segment merges when its least rank is not
 above its neighbours': a chain of merges that starts further away would have to swallow a whole segment with one piece, and no
@@ -28,7 +30,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ from tradewind.llm.common import by_value, map_arrow, worker_memory
 by_value(__name__)
 
 SEGMENT = 64
-KEEP_WORDS = 300_000
+KEEP_WORDS, KEEP_CHARS = 300_000, 6_000_000
 MAX_MODEL = 64 << 20
 NEVER = np.iinfo(np.int32).max
 BLANK = "▁"
@@ -74,6 +76,19 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class Numbers(dict):
+    """Word -> its number, in the order in which words come; `fresh` has those that came since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        self.fresh.append(word)
+        return found
+
+
 def joins_whole(sizes: set[int], widest: int) -> bool:
     """Whether `widest` blanks, joined pair by pair from the left, end as one piece; further blanks then change nothing."""
     run = [1] * widest
@@ -114,7 +129,12 @@ class PieceModel:
         unknown = trainer.get(UNKNOWN_SURFACE, b" \xe2\x81\x87 ")
         self.surfaces = [self._surface(t, kind, unknown) for t, _, kind in pieces]
         self._pairs({t: (i, score) for i, (t, score, kind) in enumerate(pieces) if kind == NORMAL})
-        self.words: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is remembered any more."""
+        self.words, self.chars = Numbers(), 0
+        self.kept, self.starts, self.counts = (np.empty(0, np.int64) for _ in range(3))
 
     @staticmethod
     def _surface(text: str, kind: int, unknown: bytes) -> bytes:
@@ -144,6 +164,19 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.joined = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        # Slots of a hash table for the pairs, at most an eighth full; a pair lies at its slot or soon after it.
+        self.shift = np.uint64(64 - max(4, len(pairs)).bit_length() - 3)
+        self.slots = np.full((1 << (64 - int(self.shift))) + len(pairs) + 1, -1, np.int32)
+        for at, slot in enumerate(self._slot(self.keys).tolist()):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot] = at
+        # Pieces that some pair holds which ranks as low as the piece itself.
+        self.early = np.zeros(self.symbols, bool)
+        own = np.full(self.symbols, -1, np.int64)
+        own[[i for i, _ in known.values()]] = [order[score] for _, score in known.values()]
+        for side in (self.keys // self.symbols, self.keys % self.symbols):
+            self.early[side[self.ranks <= own[side]]] = True
         # Words end before a blank, if no piece goes on from another character to a blank.
         spans = any(BLANK in text.lstrip(BLANK) for text in known)
         self.word = re.compile(".+" if spans else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.DOTALL)
@@ -160,16 +193,26 @@ class PieceModel:
         )
         self.run = re.compile(f"{BLANK}{{{widest}}}(?={BLANK})") if whole else None
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the tables, -1 if the two do not join."""
         wanted = left * self.symbols + right
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == wanted, at, -1)
+        slot = self._slot(wanted)
+        at = self.slots[slot]
+        open_ = np.flatnonzero(at >= 0)
+        open_ = open_[self.keys[at[open_]] != wanted[open_]]
+        while open_.size:
+            slot[open_] += 1
+            at[open_] = found = self.slots[slot[open_]]
+            open_ = open_[found >= 0]
+            open_ = open_[self.keys[at[open_]] != wanted[open_]]
+        return at
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at = self.lookup(left, right)
-        return np.where(at < 0, NEVER, self.ranks[at])
+        return np.where(at < 0, NEVER, self.ranks[at]) if len(self.ranks) else np.full(len(at), NEVER, np.int32)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; joined they give the text with its first blank and all blanks as pieces write them."""
@@ -189,48 +232,53 @@ class PieceModel:
             at = found.end()
         return [*out, word[at:]]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Piece ids of each word; all words are merged together, round by round."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all words, one word after another, and how many each has; all words are merged together, round by round."""
         sizes = np.array([len(w) for w in words], np.int64)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        symbol, origin = self.first[codes], np.arange(len(codes))
-        word = np.repeat(np.arange(len(words)), sizes)
+        symbol, origin = self.first[codes], np.arange(len(codes), dtype=np.int32)
         # Segments never change owner: a symbol belongs to the segment in which it starts.
         per_word = np.maximum(sizes // SEGMENT, 1)
-        inside = origin - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        part = np.minimum(inside // SEGMENT, np.repeat(per_word, sizes) - 1)
-        segment = np.repeat(np.cumsum(per_word) - per_word, sizes) + part
         owner = np.repeat(np.arange(len(words)), per_word)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rank, touched = np.full(symbol.size, NEVER, np.int32), np.arange(symbol.size)
+        if len(owner) == len(words):
+            segment = np.repeat(np.arange(len(words)), sizes)
+        else:
+            inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            part = np.minimum(inside // SEGMENT, np.repeat(per_word, sizes) - 1)
+            segment = np.repeat(np.cumsum(per_word) - per_word, sizes) + part
+        ended_at: list[tuple[np.ndarray, np.ndarray]] = []
+        pair, rank, touched = np.full(symbol.size, -1, np.int32), np.full(symbol.size, NEVER, np.int32), np.arange(symbol.size)
         while symbol.size:
             # Only pairs beside a merge have a new rank.
+            pair[touched], rank[touched] = -1, NEVER
             inner = touched[touched < symbol.size - 1]
-            rank[touched] = NEVER
-            rank[inner] = np.where(word[inner] == word[inner + 1], self.rank(symbol[inner], symbol[inner + 1]), NEVER)
+            inner = inner[owner[segment[inner]] == owner[segment[inner + 1]]]
+            at = self.lookup(symbol[inner], symbol[inner + 1])
+            inner, at = inner[at >= 0], at[at >= 0]
+            pair[inner], rank[inner] = at, self.ranks[at]
             starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             active = segment[starts]
             least = np.full(len(owner), NEVER, np.int32)
             least[active] = np.minimum.reduceat(rank, starts)
-            merge = self._merges(symbol, rank, segment, owner, least)
-            if merge.size:
-                at = self.lookup(symbol[merge], symbol[merge + 1])
-                symbol[merge] = self.joined[at]
+            merge = self._merges(symbol, pair, rank, segment, owner, least)
+            symbol[merge] = self.joined[pair[merge]]
             stay = np.ones(symbol.size, bool)
             stay[merge + 1] = False
             # Words without a pair left are put aside.
             alive = np.zeros(len(words), bool)
             alive[owner[least < NEVER]] = True
-            ended = ~alive[word]
+            ended = ~alive[owner][segment]
             if ended.any():
-                done.append((word[ended], origin[ended], symbol[ended]))
+                ended_at.append((origin[ended], symbol[ended]))
                 stay &= ~ended
-            symbol, origin, word, segment, rank = symbol[stay], origin[stay], word[stay], segment[stay], rank[stay]
-            place = (np.cumsum(stay) - 1)[merge]
-            touched = np.union1d(place, place[place > 0] - 1)
-        return self._ids(done, codes, len(words))
-
-    def _merges(self, symbol, rank, segment, owner, least) -> np.ndarray:
+            touched = np.zeros(symbol.size, bool)
+            touched[merge] = True
+            symbol, origin, segment, pair, rank, touched = (x[stay] for x in (symbol, origin, segment, pair, rank, touched))
+            touched[:-1] |= touched[1:].copy()
+            touched = np.flatnonzero(touched)
+        return self._ids(ended_at, codes, sizes)
+
+    def _merges(self, symbol, pair, rank, segment, owner, least) -> np.ndarray:
         """Places of the left halves of the pairs that merge in this round."""
         n = len(owner)
         before, after = np.full(n, NEVER, np.int32), np.full(n, NEVER, np.int32)
@@ -244,19 +292,22 @@ class PieceModel:
         run_start = np.maximum.accumulate(np.where(gap, np.arange(wanted.size), 0))
         chosen = wanted[(np.arange(wanted.size) - run_start) % 2 == 0]
         own = segment[chosen]
-        made = self.joined[self.lookup(symbol[chosen], symbol[chosen + 1])]
-        # Ranks of the pairs that these merges make, as the one-by-one order would meet them.
-        left = symbol[np.maximum(chosen - 1, 0)].copy()
-        follows = np.concatenate([[False], np.diff(chosen) == 2])
-        left[follows] = made[:-1][follows[1:]]
-        has_left = (chosen > 0) & (owner[segment[np.maximum(chosen - 1, 0)]] == owner[own])
-        right_at = np.minimum(chosen + 2, symbol.size - 1)
-        has_right = (chosen + 2 < symbol.size) & (owner[segment[right_at]] == owner[own])
-        new = np.minimum(
-            np.where(has_left, self.rank(left, made), NEVER), np.where(has_right, self.rank(made, symbol[right_at]), NEVER)
-        )
+        made = self.joined[pair[chosen]]
         unsafe = np.zeros(n, bool)
-        unsafe[own[new <= least[own]]] = True
+        early = np.flatnonzero(self.early[made])
+        if early.size:
+            # Ranks of the pairs that these merges make, as the one-by-one order would meet them.
+            left = symbol[np.maximum(chosen - 1, 0)].copy()
+            follows = np.concatenate([[False], np.diff(chosen) == 2])
+            left[follows] = made[:-1][follows[1:]]
+            at, piece, of = chosen[early], made[early], owner[own[early]]
+            has_left = (at > 0) & (owner[segment[np.maximum(at - 1, 0)]] == of)
+            right_at = np.minimum(at + 2, symbol.size - 1)
+            has_right = (at + 2 < symbol.size) & (owner[segment[right_at]] == of)
+            new = np.minimum(
+                np.where(has_left, self.rank(left[early], piece), NEVER), np.where(has_right, self.rank(piece, symbol[right_at]), NEVER)
+            )
+            unsafe[own[early][new <= least[own[early]]]] = True
         # A segment may act if no neighbour comes first; of neighbours with one rank, those up to the first that may not or
         # is not safe.
         may = (least < NEVER) & (before >= least) & (after >= least)
@@ -268,43 +319,49 @@ class PieceModel:
         first = np.concatenate([[True], own[1:] != own[:-1]])
         return chosen[acts[own] & (first | ~unsafe[own])]
 
-    def _ids(self, done, codes, n_words) -> list[tuple[int, ...]]:
-        """Symbols in text order as ids; symbols without a piece as the bytes of their character."""
-        if not done:
-            return [()] * n_words
-        word, origin, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
-        order = np.argsort(origin, kind="stable")
-        word, origin, symbol = word[order], origin[order], symbol[order]
-        bare = symbol >= len(self.texts)
-        ids: list = symbol.tolist()
-        if bare.any():
-            for i in np.flatnonzero(bare).tolist():
-                ids[i] = [self.bytes_at[b] for b in chr(codes[origin[i]]).encode()]
-        ends = np.cumsum(np.bincount(word, minlength=n_words)).tolist()
-        out, at, odd = [], 0, set(word[bare].tolist())
-        for w, end in enumerate(ends):
-            part = ids[at:end]
-            if w in odd:
-                part = chain.from_iterable(i if isinstance(i, list) else (i,) for i in part)
-            out.append(tuple(part))
-            at = end
-        return out
+    def _ids(self, ended, codes, sizes) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols in text order as ids, symbols without a piece as the bytes of their character; the number of ids of each word."""
+        found = np.full(len(codes), -1, np.int64)
+        for origin, symbol in ended:
+            found[origin] = symbol
+        each = (found >= 0).astype(np.int64)
+        bare = np.flatnonzero(found >= len(self.texts))
+        as_bytes = [[self.bytes_at[b] for b in chr(codes[i]).encode()] for i in bare.tolist()]
+        each[bare] = [len(x) for x in as_bytes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = np.repeat(found, each)
+        for at, x in zip(ends[bare].tolist(), as_bytes, strict=True):
+            ids[at : at + len(x)] = x
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _learn(self) -> None:
+        """Encode the words that have come since the last time, and remember their ids by number."""
+        fresh, self.words.fresh = self.words.fresh, []
+        try:
+            ids, counts = self.encode_words(fresh)
+        except BaseException:
+            self._forget()  # their numbers would have no ids
+            raise
+        self.chars += sum(map(len, fresh))
+        at = len(self.kept) + np.cumsum(counts) - counts
+        self.kept, self.starts, self.counts = (
+            np.concatenate(x) for x in ((self.kept, ids), (self.starts, at), (self.counts, counts))
+        )
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text with the end id; new words of all texts are merged in the same rounds."""
+        if len(self.words) > KEEP_WORDS or self.chars > KEEP_CHARS:
+            self._forget()
         split = [self.split(t) for t in texts]
-        if len(self.words) > KEEP_WORDS:
-            self.words.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.words))
-        found = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
-        self.words.update((w, ids) for w, ids in found.items() if len(w) <= SEGMENT)
-        known = {w: ids for w, ids in found.items() if len(w) > SEGMENT}
-        words = self.words
-
-        def ids_of(w: str) -> tuple[int, ...]:
-            return words[w] if w in words else known[w]
-
-        return [[*chain.from_iterable(map(ids_of, s)), self.end] for s in split]
+        sizes = np.array([len(s) for s in split], np.int64)
+        number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+        if self.words.fresh:
+            self._learn()
+        counts = self.counts[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.kept[np.repeat(self.starts[number] - ends[:-1], counts) + np.arange(ends[-1])].tolist()
+        ends = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [[*ids[a:b], self.end] for a, b in pairwise(ends)]
 
     def decode(self, ids: list[int]) -> str:
         blank = self._leads_with_blank(ids)
