@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from tradewind.llm import chunks
 from tradewind.llm.common import table, tune
@@ -57,6 +58,18 @@ def test_a_passage_in_the_middle_is_removed(docs_of, prose):
     check(docs_of(pairs), pairs)
 
 
+def test_passages_of_fifty_short_words_are_caught(docs_of):
+    """Of passages a little over fifty words of natural length nearly all lose half of their bytes or more, wherever they lie."""
+    r = random.Random(21)
+    text = lambda n: " ".join("".join(r.choices("etaoinshrdlu", k=r.choice([2, 3, 3, 4, 4, 5, 6]))) for _ in range(n))
+    passages = [text(r.randrange(51, 56)) for _ in range(150)]
+    pairs = [(2 * i + k, f"{text(r.randrange(3, 40))} {p} {text(r.randrange(3, 40))}") for i, p in enumerate(passages) for k in (0, 1)]
+    rows = {x["doc_id"]: x["n_removed"] for x in chunks.dedupe_chunks(docs_of(pairs), keep_text=False).collect()}
+    assert all(rows[2 * i] == 0 for i in range(150))
+    assert sum(rows[2 * i + 1] >= len(p) / 2 for i, p in enumerate(passages)) >= 0.95 * 150
+    check(docs_of(pairs), pairs)
+
+
 def test_short_repeats_stay_and_passages_go(docs_of, prose):
     """A few common words repeat in many texts; only passages and whole copies are taken out."""
     common = "for the reason that was given above"

@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last 32 bytes cuts every text where it falls below a bound, so an insertion moves the cuts
-near it and no others. Chunks are compared by digest. The first place of a chunk, by (doc_id, text, position), stays. Every
+A gear rolling hash over the last 16 bytes cuts every text where it falls below a bound, so an insertion moves the cuts
+near it and no others. Chunks are short, about 40 bytes: at its ends a passage loses a hash's width and part of a chunk, which for one
+of fifty short words must leave well over `MIN_RUN` bytes. Chunks are compared by digest. The first place of a chunk, by (doc_id, text, position), stays. Every
 other place is removed from its text if it lies in a run of such chunks of `MIN_RUN` bytes at least, or if the run is the
-whole text: a single chunk of three or four words repeats by chance in clean prose, a passage repeats over several.
+whole text: one or two chunks of a few words repeat by chance in clean prose, a passage repeats over several.
 
 A 64-bit hash finds the chunks that may repeat; only those are compared by a second, independent 64-bit hash, so that rows are
 short where there are many. Counts meet per chunk in the shuffle, summed before it; a chunk that fills a third of the
@@ -27,17 +28,17 @@ from tradewind.llm.common import by_value, map_arrow, stored, utf8
 
 by_value(__name__)
 
-LEAST, MEAN, MOST = 20, 40, 512  # bytes: shortest chunk, mean distance of cuts after it, longest chunk
-MIN_REPEAT = 20  # shorter repeated chunks stay where they are
+LEAST, MEAN, MOST = 16, 24, 512  # bytes: shortest chunk, mean distance of cuts after it, longest chunk
+MIN_REPEAT = 16  # shorter repeated chunks stay where they are
 MIN_RUN = 100  # bytes of neighbouring repeated chunks that make a passage
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 17) for i in range(256)], np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte, over the 32 bytes up to it (fewer at the start)."""
+    """The rolling hash after each byte, over the 16 bytes up to it (fewer at the start)."""
     h = GEAR[data]
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8):
         shifted = h[:-step] << np.uint32(step)
         h = h.copy()
         h[step:] += shifted
